@@ -79,8 +79,8 @@ def robust_scale(df, cols, fit_on=None):
 
 def global_standardize(df: DataFrame, arr: str, out: str | None = None) -> DataFrame:
     """One mean and one sample deviation over all cells of an array column."""
-    cells = df.select(F.explode(arr).cast("double").alias("x"))
-    mean, std = cells.agg(F.avg("x"), F.stddev_samp("x")).first()
+    x = F.col("x").cast("double")
+    mean, std = df.select(F.explode(arr).alias("x")).agg(F.avg(x), F.stddev_samp(x)).first()
     return df.withColumn(out or arr, F.transform(
         arr, lambda x: (x.cast("double") - F.lit(mean)) / F.lit(_divisor(std))))
 

@@ -1,6 +1,12 @@
 """Registered queries, grouped as in the survey."""
 
-from mlframe.plans import clean_queries, encode_queries, profile_queries  # noqa: F401
+from mlframe.plans import (  # noqa: F401
+    clean_queries,
+    encode_queries,
+    profile_queries,
+    sequence_queries,
+    text_queries,
+)
 from mlframe.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
