@@ -118,13 +118,15 @@ def nearest(train: DataFrame, query: DataFrame, key: str, vec: str, k: int, with
         return {r["_cell"]: (r["n"], r["far"]) for r in rows}
 
     pairs = _cell_pairs(stats(left), stats(right), near, groups, pivots, need, block)
-    table = F.broadcast(spark.createDataFrame(pairs, "_qc int, _tc int, _nq int, _nt int"))
     draw = md5_int(F.col(key))
-    t = (left.join(table, left["_cell"] == F.col("_tc"))
-         .withColumn("_tb", (draw % F.col("_nt")).cast("int"))
+
+    def with_pairs(df, own):  # at most MAX_PIVOTS² pairs, and one table per side
+        table = spark.createDataFrame(pairs, "_qc int, _tc int, _nq int, _nt int")
+        return df.withColumnRenamed("_cell", own).join(F.broadcast(table), own)
+
+    t = (with_pairs(left, "_tc").withColumn("_tb", (draw % F.col("_nt")).cast("int"))
          .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1))))
-    q = (right.join(table, right["_cell"] == F.col("_qc"))
-         .withColumn("_qb", (draw % F.col("_nq")).cast("int"))
+    q = (with_pairs(right, "_qc").withColumn("_qb", (draw % F.col("_nq")).cast("int"))
          .withColumn("_tb", F.explode(F.sequence(F.lit(0), F.col("_nt") - 1))))
     cells = ["_qc", "_qb", "_tc", "_tb"]
     carried = [f"_c_{c}" for c in carry]

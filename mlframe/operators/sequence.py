@@ -51,11 +51,10 @@ def window_seq2seq(df: DataFrame, features: str, target: str, horizon: int, x: s
 
 def hold_out_tail(df: DataFrame, step: str, horizon: int) -> tuple[DataFrame, DataFrame]:
     """(training windows, forecast window): the last `horizon` windows are held out, the very last forecasts."""
-    last = df.agg(F.max(step)).first()[0]
-    count = df.count()
+    first, last, count = df.agg(F.min(step), F.max(step), F.count(step)).first()
     if count <= horizon:
         raise ValueError(f"{count} windows cannot hold out {horizon}")
-    stride = 1 if count < 2 else (last - df.agg(F.min(step)).first()[0]) // (count - 1)
+    stride = 1 if count < 2 else (last - first) // (count - 1)
     return df.filter(F.col(step) <= last - stride * horizon), df.filter(F.col(step) == last)
 
 

@@ -4,7 +4,9 @@ from mlframe.plans import (  # noqa: F401
     clean_queries,
     encode_queries,
     profile_queries,
+    publish_queries,
     sequence_queries,
+    split_queries,
     text_queries,
 )
 from mlframe.plans.catalog import ORACLES, QUERIES
