@@ -119,7 +119,7 @@ def roc_auc_per_class(df: DataFrame, y: str, scores: dict) -> DataFrame:
     Rows are first reduced to (class, score) counts; the running count of negatives is
     taken over range slices of that table, never over one class in one task.
     """
-    pairs = F.array(*[F.struct(F.lit(k).alias("class"), F.col(c).cast("double").alias("score"))
+    pairs = F.array(*[F.struct(F.lit(k).alias("class"), _c(c).cast("double").alias("score"))
                       for k, c in scores.items()])
     long = df.select(F.col(y).alias("_y"), F.inline(pairs))
     own = F.col("_y") == F.col("class")
