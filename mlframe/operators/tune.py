@@ -131,7 +131,7 @@ def search(df: DataFrame, est, candidates: Sequence[Mapping], label: str, kind:
 
 def result_frame(spark: SparkSession, candidates: Sequence[Mapping], means: Sequence[float], stds: Sequence[float]) -> DataFrame:
     """(params, mean_score, std_score, rank): rank 1 is the best, equal scores share one."""
-    rows = [(", ".join(f"{k}={v}" for k, v in c.items()), float(m), float(s), 1 + sum(o > m for o in means))
+    rows = [(", ".join(f"{k}={v}" for k, v in c.items()), float(m), float(s), 1 + sum(float(o) > float(m) for o in means))
             for c, m, s in zip(candidates, means, stds)]
     return spark.createDataFrame(rows, "params string, mean_score double, std_score double, rank int").orderBy("rank", "params")
 
@@ -172,9 +172,7 @@ def halving_search(df: DataFrame, est, candidates: Sequence[Mapping], label: str
         frames.append(frame.withColumns({"round": F.lit(r.number), "n_rows": F.lit(r.rows)}))
         ranked = {row["params"]: row["mean_score"] for row in frame.collect()}
         left.sort(key=lambda c: -ranked[", ".join(f"{k}={v}" for k, v in c.items())])
-        if r.candidates > 1:
-            survivors = math.ceil(len(left) / factor)
-        left = left[:survivors]
+        left = left[:math.ceil(len(left) / factor)]
     best = dict(left[0])
     return reduce(DataFrame.unionByName, frames), est.fit(df, param_map(est, best)), best
 

@@ -4,6 +4,7 @@ from mlframe.plans import (  # noqa: F401
     clean_queries,
     encode_queries,
     metric_queries,
+    model_queries,
     profile_queries,
     publish_queries,
     sequence_queries,
