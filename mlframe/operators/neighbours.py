@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mlframe.operators.ordering import hash_index, md5_int
+from mlframe.session import materialize
 
 MAX_PIVOTS = 1024
 
@@ -105,7 +106,9 @@ def nearest(train: DataFrame, query: DataFrame, key: str, vec: str, k: int, with
     named = [F.col(c).alias(f"_c_{c}") for c in carry]
     left, right = side(train, named), side(query)
     groups, pivots = _pivots(left, key, vec, group, block)
-    left, right = _assign(left, vec, group, groups, pivots), _assign(right, vec, group, groups, pivots)
+    # written once: the statistics and the block join both read them
+    left = materialize(_assign(left, vec, group, groups, pivots), "train")
+    right = materialize(_assign(right, vec, group, groups, pivots), "query")
     need = k + (1 if exclude_self else 0)
     ranked = left.select("_cell", "_dist").withColumn(
         "_r", F.row_number().over(Window.partitionBy("_cell").orderBy("_dist")))

@@ -75,32 +75,26 @@ def hash_cuts(df: DataFrame, key, seed: int, ranks: Callable[[dict], Mapping],
     of the table: the caller filters on the digest.
     """
     lab = F.col(label) if label else F.lit(0)
-    keyed = df.select(lab.alias("_c"), md5_key(key, seed).alias("_h"))
+    keyed = df.select(lab.alias("_c"), F.coalesce(lab.cast("string"), F.lit("")).alias("_t"), md5_key(key, seed).alias("_h"))
     if label and keyed.select("_c").distinct().limit(max_labels + 1).count() > max_labels:
         raise ValueError(f"more than {max_labels} labels in {label}")
 
     def tag(width: int) -> Column:
-        return F.concat_ws("|", F.substring("_h", 1, width), F.coalesce(F.col("_c").cast("string"), F.lit("")))
+        return F.concat_ws("|", F.substring("_h", 1, width), "_t")
 
-    def text(c) -> str:
-        return "" if c is None else str(c)
-
-    width, live, sizes, targets = 3, None, {}, []
+    width, scope, sizes, text, targets = 3, keyed, {}, {}, None
     while True:
-        scope = keyed if live is None else keyed.filter(tag(width - 3).isin(live))
-        rows = scope.groupBy("_c", F.substring("_h", 1, width).alias("_p")).count().collect()
-        if live is None:
-            for r in rows:
-                sizes[r["_c"]] = sizes.get(r["_c"], 0) + r["count"]
-            targets = [(c, rank, rank, "") for c, rs in ranks(sizes).items() for rank in rs]
         by_label: dict = {}
+        rows = scope.groupBy("_c", "_t", F.substring("_h", 1, width).alias("_p")).count().collect()
         for r in sorted(rows, key=lambda r: r["_p"]):
             by_label.setdefault(r["_c"], []).append((r["_p"], r["count"]))
+            text[r["_c"]] = r["_t"]
+        if targets is None:
+            sizes = {c: sum(n for _, n in buckets) for c, buckets in by_label.items()}
+            targets = [(c, rank, rank, "") for c, rs in ranks(sizes).items() for rank in rs]
         biggest, narrowed = 0, []
         for c, rank, rest, prefix in targets:
-            for p, n in by_label[c]:
-                if not p.startswith(prefix):
-                    continue
+            for p, n in (b for b in by_label[c] if b[0].startswith(prefix)):
                 if rest <= n:
                     narrowed.append((c, rank, rest, p))
                     biggest = max(biggest, n)
@@ -109,30 +103,20 @@ def hash_cuts(df: DataFrame, key, seed: int, ranks: Callable[[dict], Mapping],
             else:
                 raise ValueError(f"rank {rank} is beyond the {sizes[c]} rows of {c!r}")
         targets = narrowed
+        scope = keyed.filter(tag(width).isin(sorted({f"{p}|{text[c]}" for c, _, _, p in targets})))
         if biggest <= leaf or width >= 30:
             break
-        live = sorted({f"{p}|{_spark_text(keyed, c)}" for c, _, _, p in targets})
         width += 3
     cuts: dict = {c: {} for c in sizes}
     if targets:
-        wanted = sorted({f"{p}|{_spark_text(keyed, c)}" for c, _, _, p in targets})
         found: dict = {}
-        for r in keyed.filter(tag(width).isin(wanted)).collect():
+        for r in scope.collect():
             found.setdefault((r["_c"], r["_h"][:width]), []).append(r["_h"])
         for c, rank, rest, p in targets:
             cuts[c][rank] = sorted(found[(c, p)])[rest - 1]
     return sizes, cuts
 
 
-def _spark_text(keyed: DataFrame, c) -> str:
-    """The label as Spark casts it to string."""
-    if c is None:
-        return ""
-    if isinstance(c, bool):
-        return str(c).lower()
-    return str(c)
-
-
 def range_layout(df: DataFrame, order_by, partition_by: Sequence[str] = ()) -> DataFrame:
     """A written copy of `df` in value order, with `_part` (its slice) and `_pos` (place in it)."""
     keys = [*as_list(partition_by), *as_list(order_by)]

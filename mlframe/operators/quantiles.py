@@ -10,20 +10,23 @@ from pyspark.sql import functions as F
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    small: int = 200_000) -> dict[str, list[float | None]]:
+                    small: int = 1_000_000) -> dict[str, list[float | None]]:
     """{column: [quantile, ...]}, linear interpolation between ranks, nulls ignored.
 
-    Columns of at most `small` values use the built-in exact aggregate. Longer ones are
-    narrowed: a sketch brackets each wanted rank, exact counts confirm the bracket, and
-    only the distinct values of a bracket that has become small are brought back.
+    The built-in exact aggregate keeps one entry per distinct value in one task, so it
+    serves columns with at most about `small` of them. Other columns are narrowed: a
+    sketch brackets each wanted rank, exact counts confirm the bracket, and only the
+    distinct values of a bracket that has become small are brought back.
     """
-    counts = df.agg(*[F.count(c).alias(c) for c in cols]).first()
-    short = [c for c in cols if counts[c] <= small]
+    sizes = df.agg(*[F.count(c).alias(f"n_{c}") for c in cols],
+                   *[F.approx_count_distinct(c, 0.05).alias(f"d_{c}") for c in cols]).first()
+    counts = {c: sizes[f"n_{c}"] for c in cols}
+    short = [c for c in cols if min(counts[c], 1.25 * sizes[f"d_{c}"]) <= small]
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
-    if short:
+    for i in range(0, len(short), 4):  # four columns per pass bound the aggregate's memory
         row = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(float(p)) for p in probs])).alias(c)
-                       for c in short]).first()
-        out.update({c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in short})
+                       for c in short[i:i + 4]]).first().asDict()
+        out.update({c: list(q) if q is not None else [None] * len(probs) for c, q in row.items()})
     long = [c for c in cols if c not in short]
     if long:
         ranks = {(c, f(p * (counts[c] - 1))) for c in long for p in probs for f in (math.floor, math.ceil)}
@@ -58,23 +61,29 @@ def _values_at(df: DataFrame, targets: list[tuple[str, int]], small: int,
     open_ = {t: (None, None, 0, sizes[t[0]]) for t in targets}  # lo, hi, rows before, rows inside
     margin = 2 / accuracy
     while wide := [t for t in open_ if open_[t][3] > small]:
-        picks = []
-        for i, t in enumerate(wide):
-            lo, hi, before, inside = open_[t]
-            q = (t[1] - before) / inside
-            near = F.array(F.lit(max(0.0, q - margin)), F.lit(min(1.0, q + margin)))
-            picks.append(F.percentile_approx(F.when(_inside(t[0], lo, hi), F.col(t[0])), near, accuracy).alias(f"q{i}"))
+        shared: dict = {}  # targets of one bracket share a sketch
+        for t in wide:
+            shared.setdefault((t[0], *open_[t][:2]), []).append(t)
+        picks, near = [], {}
+        for i, ((c, lo, hi), ts) in enumerate(shared.items()):
+            at = []
+            for t in ts:
+                q = (t[1] - open_[t][2]) / open_[t][3]
+                near[t] = (f"q{i}", len(at))
+                at += [F.lit(max(0.0, q - margin)), F.lit(min(1.0, q + margin))]
+            picks.append(F.percentile_approx(F.when(_inside(c, lo, hi), F.col(c)), F.array(*at), accuracy).alias(f"q{i}"))
         sketch = df.agg(*picks).first()
+        ends = {t: tuple(sketch[q][i:i + 2]) for t, (q, i) in near.items()}
         checks = []
         for i, t in enumerate(wide):
-            (a, b), (lo, hi, _, _), v = sketch[f"q{i}"], open_[t], F.col(t[0])
+            (a, b), (lo, hi, _, _), v = ends[t], open_[t], F.col(t[0])
             checks += [F.count(F.when(_inside(t[0], lo, hi) & (v < a), 1)).alias(f"left{i}"),
                        F.count(F.when(v == a, 1)).alias(f"at_a{i}"),
                        F.count(F.when((v > a) & (v < b), 1)).alias(f"mid{i}"),
                        F.count(F.when(v == b, 1)).alias(f"at_b{i}")]
         seen = df.agg(*checks).first()
         for i, t in enumerate(wide):
-            a, b = sketch[f"q{i}"]
+            a, b = ends[t]
             lo, hi, before, inside = open_[t]
             edges = [(lo, a, seen[f"left{i}"], None), (None, None, seen[f"at_a{i}"], a)]
             if b > a:

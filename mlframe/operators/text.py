@@ -13,24 +13,28 @@ from mlframe.operators.ordering import as_list, global_index
 # Characters that separate words besides the space.
 SEPARATORS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n'
 
-HEAD_WORDS = 20_000  # the most frequent words, joined by broadcast
+HEAD_WORDS = 200_000  # the most frequent words, joined by broadcast
+HEAD_CHARS = 64       # and only words up to this length, which bounds the broadcast in bytes
+
+
+def _pieces(text: str | Column) -> Column:
+    t = F.col(text) if isinstance(text, str) else text
+    return F.split(F.translate(F.lower(t), SEPARATORS, " " * len(SEPARATORS)), " ", -1)
 
 
 def words(text: str | Column) -> Column:
     """array<string>: lower-cased, separators blanked, split on the space, empty parts dropped."""
-    t = F.col(text) if isinstance(text, str) else text
-    plain = F.translate(F.lower(t), SEPARATORS, " " * len(SEPARATORS))
-    return F.filter(F.split(plain, " ", -1), lambda w: w != "")
+    return F.array_remove(_pieces(text), "")
 
 
 def tokens(df: DataFrame, text: str, key) -> DataFrame:
-    """(key, pos, word) for each word; pos starts at 0."""
+    """(key, pos, word) for each word; pos grows along the text (blank parts use up numbers)."""
     key = as_list(key)
-    return df.select(*key, F.posexplode(words(text)).alias("pos", "word"))
+    return df.select(*key, F.posexplode(_pieces(text)).alias("pos", "word")).filter(F.col("word") != "")
 
 
 def word_counts(df: DataFrame, text: str) -> DataFrame:
-    return df.select(F.explode(words(text)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
+    return df.select(F.explode(_pieces(text)).alias("word")).filter(F.col("word") != "").groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def document_counts(df: DataFrame, text: str) -> DataFrame:
@@ -64,15 +68,17 @@ def texts_to_sequences(df: DataFrame, text: str, key, vocab: DataFrame, out: str
     """(key, out): known word ids in text order; unknown words are dropped.
 
     The index follows frequency, so the `head` words carry every hot key: they are joined
-    by broadcast (at most `head` rows), the rare rest by a shuffle join without skew.
+    by broadcast (at most `head` short words), the rare rest by a shuffle join.
     """
     key = as_list(key)
-    toks = df.select(*key, F.posexplode_outer(words(text)).alias("pos", "word"))
-    top = F.broadcast(vocab.filter(F.col("idx") <= head).select("word", "idx"))
+    toks = df.select(*key, F.posexplode_outer(_pieces(text)).alias("pos", "word"))
+    toks = toks.filter((F.coalesce("pos", F.lit(0)) == 0) | (F.col("word") != ""))
+    in_head = (F.col("idx") <= head) & (F.length("word") <= HEAD_CHARS)
+    top = F.broadcast(vocab.filter(in_head).select("word", "idx"))
     # the first position stays even if unknown, so a text without known words keeps its row
     known = (toks.join(top, "word", "left").select(*key, "pos", "idx")
              .filter(F.col("idx").isNotNull() | (F.coalesce("pos", F.lit(0)) == 0)))
-    rest = vocab.filter(F.col("idx") > head).select("word", "idx")
+    rest = vocab.filter(~in_head).select("word", "idx")
     if not rest.isEmpty():
         rare = toks.join(top, "word", "left_anti").join(rest, "word").select(*key, "pos", "idx")
         known = known.unionByName(rare)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+import statistics
 import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
@@ -17,8 +18,6 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,12 +32,6 @@ def _parallel(jobs: Sequence[Callable[[], object]], threads: int) -> list:
         return pool.map(inheritable_thread_target(lambda job: job()), jobs)
 
 
-def evaluator(kind: str, label: str, prediction: str = "prediction"):
-    if kind == "regression":
-        return RegressionEvaluator(labelCol=label, predictionCol=prediction, metricName="r2")
-    return MulticlassClassificationEvaluator(labelCol=label, predictionCol=prediction, metricName="accuracy")
-
-
 def with_folds(df: DataFrame, key: str, k: int, seed: int = 0, label: str | None = None) -> DataFrame:
     """Folds in an int column, stratified if a label is named."""
     tagged = stratified_kfold(df, key, label, k, seed) if label else kfold(df, key, k, seed)
@@ -48,16 +41,16 @@ def with_folds(df: DataFrame, key: str, k: int, seed: int = 0, label: str | None
 def cross_val_scores(df: DataFrame, make: Callable[[], object], label: str, kind: str, fold: str = "fold",
                      threads: int = 4) -> DataFrame:
     """(fold, score) of one estimator."""
-    folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]
     df = df.persist()
+    folds = [int(r[0]) for r in df.select(fold).distinct().orderBy(fold).collect()]
 
     def one(f):
         model = make().fit(df.filter(F.col(fold) != f))
-        return models.score(model.transform(df.filter(F.col(fold) == f)), label, kind)
+        return float(models.score(model.transform(df.filter(F.col(fold) == f)), label, kind))
 
     scores = _parallel([lambda f=f: one(f) for f in folds], threads)
     df.unpersist()
-    return df.sparkSession.createDataFrame(list(zip(map(int, folds), map(float, scores))), "fold int, score double")
+    return df.sparkSession.createDataFrame(list(zip(folds, scores)), "fold int, score double")
 
 
 # --- candidates ------------------------------------------------------------------------
@@ -117,16 +110,30 @@ def param_map(stage, params: Mapping) -> dict:
 
 # --- searches --------------------------------------------------------------------------
 
+def cross_validate(df: DataFrame, est, candidates: Sequence[Mapping], label: str, kind: str, fold: str = "fold",
+                   threads: int = 4) -> list[list[float]]:
+    """Fold scores of every candidate; all fits read one stored copy of the fold-tagged table."""
+    df = df.persist()
+    folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]
+
+    def one(params, f):
+        model = est.fit(df.filter(F.col(fold) != f), param_map(est, params))
+        return models.score(model.transform(df.filter(F.col(fold) == f)), label, kind)
+
+    flat = _parallel([lambda c=c, f=f: one(c, f) for c in candidates for f in folds], threads)
+    df.unpersist()
+    return [flat[i:i + len(folds)] for i in range(0, len(flat), len(folds))]
+
+
 def search(df: DataFrame, est, candidates: Sequence[Mapping], label: str, kind: str, fold: str = "fold",
-           parallelism: int = 4):
+           threads: int = 4, refit: bool = True):
     """Cross-validate every candidate, refit the best. Returns (result frame, best model, best params)."""
-    folds = df.agg(F.count_distinct(fold)).first()[0]
-    cv = CrossValidator(estimator=est, estimatorParamMaps=[param_map(est, c) for c in candidates],
-                        evaluator=evaluator(kind, label), numFolds=folds, foldCol=fold, parallelism=parallelism)
-    fitted = cv.fit(df)
-    frame = result_frame(df.sparkSession, candidates, fitted.avgMetrics, fitted.stdMetrics)
-    best = max(range(len(candidates)), key=lambda i: fitted.avgMetrics[i])
-    return frame, fitted.bestModel, dict(candidates[best])
+    scores = cross_validate(df, est, candidates, label, kind, fold, threads)
+    means = [statistics.fmean(s) for s in scores]
+    stds = [statistics.pstdev(s) for s in scores]
+    frame = result_frame(df.sparkSession, candidates, means, stds)
+    best = dict(candidates[max(range(len(candidates)), key=lambda i: means[i])])
+    return frame, est.fit(df, param_map(est, best)) if refit else None, best
 
 
 def result_frame(spark: SparkSession, candidates: Sequence[Mapping], means: Sequence[float], stds: Sequence[float]) -> DataFrame:
@@ -163,12 +170,12 @@ def schedule_frame(spark: SparkSession, rounds: Sequence[Round]) -> DataFrame:
 
 
 def halving_search(df: DataFrame, est, candidates: Sequence[Mapping], label: str, kind: str, key: str, min_rows: int,
-                   factor: int = 3, folds: int = 3, seed: int = 0, stratify: bool = False, parallelism: int = 4):
+                   factor: int = 3, folds: int = 3, seed: int = 0, stratify: bool = False, threads: int = 4):
     """Successive halving. Returns (result frame with the round, best model on all rows, best params)."""
     left, frames = list(candidates), []
     for r in halving_schedule(len(left), min_rows, df.count(), factor):
         part = with_folds(sample_k(df, key, r.rows, seed), key, folds, seed, label if stratify else None)
-        frame, _, _ = search(part, est, left, label, kind, parallelism=parallelism)
+        frame, _, _ = search(part, est, left, label, kind, threads=threads, refit=False)
         frames.append(frame.withColumns({"round": F.lit(r.number), "n_rows": F.lit(r.rows)}))
         ranked = {row["params"]: row["mean_score"] for row in frame.collect()}
         left.sort(key=lambda c: -ranked[", ".join(f"{k}={v}" for k, v in c.items())])

@@ -34,8 +34,10 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __call__(self, name: str, *cols: str) -> DataFrame:
-        df = load_table(self.spark, self.folder, name)
-        return df.select(*cols) if cols else df
+        return load_table(self.spark, self.folder, name, cols)
+
+    def spread(self, name: str, *cols: str) -> DataFrame:
+        return load_table(self.spark, self.folder, name, cols, spread=True)
 
 
 def r6(c: Column | str) -> Column:

@@ -8,7 +8,7 @@ from mlframe.functions import arrays, metrics
 from mlframe.operators import models, reduce, resample, split, tune
 from mlframe.plans import recipes
 from mlframe.plans.catalog import cells, query, r6
-from mlframe.session import scratch_path
+from mlframe.session import scratch_path, spread
 from mlframe.sources import load_model, read_labelled_files, save_model
 
 _LINE = ["l_quantity", "l_discount", "l_tax"]
@@ -18,18 +18,19 @@ _LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 def _lines(t, *extra):
     """(train, test) of line prices, assembled."""
     df = t("lineitem", *_LINE_KEY, *_LINE, "l_extendedprice", *extra)
-    return split.train_test_split(models.assemble(df, _LINE), _LINE_KEY, 0.2, 1)
+    train, test = split.train_test_split(models.assemble(df, _LINE), _LINE_KEY, 0.2, 1)
+    return spread(train), test
 
 
 def _vectors(t):
     """(train, test) of the labelled embeddings as feature vectors."""
-    df = reduce.to_vector(t("embeddings"), "embedding").select("vec_id", "label", "embedding", "features")
+    df = reduce.to_vector(t.spread("embeddings"), "embedding").select("vec_id", "label", "embedding", "features")
     return split.train_test_split(df, "vec_id", 0.2, 1)
 
 
 def _toxic(t):
     """(train, test) of document labels with length features: a two-class task."""
-    df = t("documents").join(t("labels"), "doc_id").select(
+    df = t.spread("documents", "doc_id", "n_chars", "text").join(t("labels"), "doc_id").select(
         "doc_id", "toxic", "quality", F.col("n_chars").cast("double").alias("n_chars"),
         F.length(F.regexp_replace("text", "[^.]", "")).cast("double").alias("stops"))
     df = models.assemble(df, ["n_chars", "stops"])
@@ -57,7 +58,7 @@ def event_value_regression(t):
 @query()
 def text_quality_classifier(t):
     """Whole texts to a thresholded prediction."""
-    df = t("documents").join(t("labels"), "doc_id")
+    df = t.spread("documents", "doc_id", "lang", "text").join(t("labels"), "doc_id")
     return recipes.text_classification(df, "doc_id", ["lang", "text"], "quality", 2000, 0.2, 3)[1]
 
 
@@ -247,7 +248,7 @@ def gradient_boosting(t):
 def boosting_stopped_early(t):
     """I8: the number of trees kept with a validation part."""
     train, test = _lines(t)
-    fit, valid = split.train_test_split(train, _LINE_KEY, 0.2, 5)
+    fit, valid = split.train_test_split(train.persist(), _LINE_KEY, 0.2, 5)
     model = models.fit_early_stopped(fit, valid, "regression", "l_extendedprice", maxIter=15, stepSize=0.5)
     return _regression_scores(model, test).withColumn("trees", F.lit(model.getNumTrees))
 
@@ -331,7 +332,7 @@ def voted_classifiers(t):
 def stacked_models(t):
     """A ridge over out-of-fold predictions, inputs passed through."""
     train, test = _lines(t)
-    folded = tune.with_folds(train, _LINE_KEY, 3, 4).persist()
+    folded = tune.with_folds(train.persist(), _LINE_KEY, 3, 4)
     bases = {"linear": lambda n: models.estimator("regression", "linear", "l_extendedprice", prediction=n),
              "tree": lambda n: models.estimator("regression", "tree", "l_extendedprice", prediction=n)}
     return _regression_scores(models.fit_stack(folded, "fold", "l_extendedprice", bases), test)
@@ -384,7 +385,7 @@ m AS (SELECT g.fold, regr_slope(f.y, f.x) AS b, regr_intercept(f.y, f.x) AS a FR
 
 
 def _one_feature_folds(t, k):
-    df = models.assemble(t("lineitem", *_LINE_KEY, "l_quantity", "l_extendedprice"), ["l_quantity"])
+    df = models.assemble(t.spread("lineitem", *_LINE_KEY, "l_quantity", "l_extendedprice"), ["l_quantity"]).persist()
     return tune.with_folds(df, _LINE_KEY, k, 3).select("features", "l_extendedprice", "fold")
 
 
@@ -399,14 +400,14 @@ def cross_validated_scores(t):
 
 
 @query("WITH " + _FOLDS.format(k=3) + """
-SELECT fold, count(*) AS n, round(sqrt(avg(pow(y - a - b * x, 2))), 4) AS rmse, round(sum(a + b * x), 2) AS total FROM f JOIN m USING (fold) GROUP BY fold
+SELECT fold, count(*) AS n, round(sqrt(avg(pow(y - a - b * x, 2))), 4) AS rmse, round(avg(a + b * x), 4) AS mean_p FROM f JOIN m USING (fold) GROUP BY fold
 """)
 def held_out_predictions(t):
     """V3: every row predicted by the model that did not see it."""
     bases = {"p": lambda n: models.estimator("regression", "linear", "l_extendedprice", prediction=n)}
     done = models.out_of_fold(_one_feature_folds(t, 3).persist(), "fold", bases)
     return done.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.round(metrics.rmse("l_extendedprice", "p"), 4).alias("rmse"),
-                                    F.round(F.sum("p"), 2).alias("total"))
+                                    F.round(F.avg("p"), 4).alias("mean_p"))
 
 
 _GRIDS = [{"maxDepth": [2, 4]}, {"minInstancesPerNode": [5, 50], "maxBins": [16]}]
@@ -414,7 +415,7 @@ _GRIDS = [{"maxDepth": [2, 4]}, {"minInstancesPerNode": [5, 50], "maxBins": [16]
 
 def _search_input(t, folds=3):
     train, test = _lines(t)
-    return tune.with_folds(train, _LINE_KEY, folds, 3), test
+    return tune.with_folds(train.persist(), _LINE_KEY, folds, 3).select("features", "l_extendedprice", "fold"), test
 
 
 @query()
@@ -492,8 +493,8 @@ def all_estimators(t):
 
 
 def _line_parts(t):
-    df = t("lineitem", *_LINE_KEY, *_LINE, "l_extendedprice")
-    return split.train_test_split(df, _LINE_KEY, 0.2, 1)
+    train, test = split.train_test_split(t("lineitem", *_LINE_KEY, *_LINE, "l_extendedprice"), _LINE_KEY, 0.2, 1)
+    return spread(train), test
 
 
 @query()
@@ -528,7 +529,7 @@ def scaler_comparison(t):
 def winner_refitted(t):
     """Scores on a validation part; the smallest error is refitted on both parts."""
     train, test = _lines(t)
-    fit, valid = split.train_test_split(train, _LINE_KEY, 0.25, 9)
+    fit, valid = split.train_test_split(train.persist(), _LINE_KEY, 0.25, 9)
     makers = {n: lambda n=n: models.estimator("regression", n, "l_extendedprice") for n in ("linear", "tree")}
     table, model, _ = tune.refit_winner(fit.persist(), valid.persist(), "l_extendedprice", makers)
     final = model.transform(test).agg(metrics.rmse("l_extendedprice", "prediction")).first()[0]

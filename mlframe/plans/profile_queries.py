@@ -130,7 +130,7 @@ SELECT max(n) AS max_len, min(n) AS min_len, round(avg(n), 6) AS mean_len FROM w
 """)
 def document_length_profile(t):
     """Longest, shortest and mean number of words."""
-    df = t("documents", "text").select(words("text").alias("words"))
+    df = t.spread("documents", "text").select(words("text").alias("words"))
     return profile.length_profile(df, "words").withColumn("mean_len", r6("mean_len"))
 
 

@@ -30,8 +30,12 @@ _DOCS = vocab_sql("documents", "doc_id")
 _CONV = vocab_sql("conversations", "conv_id, turn")
 
 
+def _docs(t):
+    return t.spread("documents", "doc_id", "text")
+
+
 def _doc_vocab(t):
-    return text.build_vocab(t("documents"), "text", "doc_id")
+    return text.build_vocab(_docs(t), "text", "doc_id")
 
 
 def _conv(t):
@@ -47,13 +51,13 @@ def ids_text(arr: str = "seq"):
 @query(f"WITH {_DOCS} SELECT word, count(*) AS cnt FROM toks GROUP BY word")
 def word_counts(t):
     """X1."""
-    return text.word_counts(t("documents"), "text")
+    return text.word_counts(_docs(t), "text")
 
 
 @query(f"WITH {_DOCS} SELECT word, count(DISTINCT doc_id) AS docs FROM toks GROUP BY word")
 def word_document_counts(t):
     """Texts per word."""
-    return text.document_counts(t("documents"), "text")
+    return text.document_counts(_docs(t), "text")
 
 
 @query(f"WITH {_DOCS} SELECT word, cnt, idx FROM vocab")
@@ -69,7 +73,7 @@ SELECT d.doc_id, coalesce(s.ids, '') AS ids, coalesce(s.n, 0) AS n FROM document
 """)
 def text_sequences(t):
     """Every text as ids in order."""
-    df = t("documents", "doc_id", "text")
+    df = _docs(t)
     seqs = text.texts_to_sequences(df, "text", "doc_id", _doc_vocab(t))
     return seqs.select("doc_id", ids_text().alias("ids"), F.size("seq").alias("n"))
 

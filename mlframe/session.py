@@ -56,3 +56,13 @@ def materialize(df: DataFrame, stem: str = "step") -> DataFrame:
     path = scratch_path(df.sparkSession, stem)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a scan out to all cores if it comes in fewer pieces than there are cores.
+
+    For work that is heavy per row (training, tokenising). A table large enough to fill
+    the cluster stays as it is. Call it on scans and filters: the plan is only inspected.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mlframe.session import spread as deal_out
+
 
 def normalize_missing(df: DataFrame) -> DataFrame:
     """NaN becomes NULL in every floating column, so there is one notion of missing."""
@@ -23,8 +27,11 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, key: st
     return normalize_missing(df)
 
 
-def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def load_table(spark: SparkSession, folder: str, name: str, cols: Sequence[str] = (), spread: bool = False) -> DataFrame:
+    """A stored table, or some of its columns; `spread` deals a small one out to all cores."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    df = df.select(*cols) if cols else df
+    return deal_out(df) if spread else df
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True, key: str | None = None,
