@@ -31,7 +31,7 @@ HEADLINE = [
 
 def main() -> None:
     from mlframe.plans import QUERIES
-    from mlframe.session import get_session
+    from mlframe.session import get_session, release_scratch
 
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -46,6 +46,7 @@ def main() -> None:
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
         spark.catalog.clearCache()
+        release_scratch(spark)
     ratio = {}
     if "grid_search" in seconds and "halving_grid_search" in seconds:
         ratio["grid_over_halving"] = round(seconds["grid_search"] / seconds["halving_grid_search"], 3)

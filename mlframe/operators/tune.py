@@ -29,7 +29,7 @@ def _parallel(jobs: Sequence[Callable[[], object]], threads: int) -> list:
     if threads <= 1 or len(jobs) < 2:
         return [job() for job in jobs]
     with ThreadPool(min(threads, len(jobs))) as pool:
-        return pool.map(inheritable_thread_target(lambda job: job()), jobs)
+        return pool.map(inheritable_thread_target(SparkSession.active())(lambda job: job()), jobs)
 
 
 def with_folds(df: DataFrame, key: str, k: int, seed: int = 0, label: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: str | None = None
+_written: list[str] = []
 
 
 def get_session(app: str = "mlframe", master: str | None = None, **conf: str) -> SparkSession:
@@ -44,7 +45,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, stem: str) -> str:
-    return f"{shared_dir(spark)}/mlframe/{stem}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, removed again by `release_scratch`."""
+    path = f"{shared_dir(spark)}/mlframe/{stem}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables this process wrote; call it once no frame reads them."""
+    conf, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
 
 
 def materialize(df: DataFrame, stem: str = "step") -> DataFrame:

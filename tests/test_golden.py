@@ -134,6 +134,17 @@ def test_csv_nan_is_missing(spark, tmp_path):
     assert back.filter("x is null").count() == 2
 
 
+def test_scratch_is_released(spark):
+    import os
+
+    from mlframe.session import materialize, release_scratch
+
+    release_scratch(spark)
+    df = materialize(spark.range(5))
+    folder = os.path.dirname(df.inputFiles()[0].removeprefix("file://"))
+    assert df.count() == 5 and release_scratch(spark) == 1 and not os.path.exists(folder)
+
+
 def test_activation_values(spark):
     df = spark.createDataFrame([(-2.0,), (0.0,), (3.0,), (800.0,), (-800.0,)], "x double")
     x = np.array([-2.0, 0.0, 3.0, 800.0, -800.0])

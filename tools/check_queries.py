@@ -62,7 +62,7 @@ def compare(df, con, sql) -> str | None:
 
 def main() -> int:
     from mlframe.plans import ORACLES, QUERIES
-    from mlframe.session import get_session
+    from mlframe.session import get_session, release_scratch
 
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
@@ -88,6 +88,8 @@ def main() -> int:
                     state = "DIFF no rows"
         except Exception as e:  # noqa: BLE001
             state = f"FAIL {type(e).__name__} {str(e)[:1500]}"
+        spark.catalog.clearCache()
+        release_scratch(spark)
         bad += state.startswith(("DIFF", "FAIL"))
         print(f"{name:34s} {time.time() - start:6.2f}s {state[:1700]}", flush=True)
     print(f"{bad} bad")
