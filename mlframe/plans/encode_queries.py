@@ -228,7 +228,7 @@ def polynomial_degree_2(t):
 
 
 @query(f"""
-SELECT {_KEY}, 1 AS bias, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c, round(a * b, 6) AS ab, round(a * c, 6) AS ac,
+SELECT {_KEY}, 1.0::DOUBLE AS bias, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c, round(a * b, 6) AS ab, round(a * c, 6) AS ac,
        round(b * c, 6) AS bc, round(a * b * c, 6) AS abc
 FROM (SELECT *, l_quantity AS a, l_discount AS b, l_tax AS c FROM lineitem)
 """)

@@ -45,11 +45,24 @@ def rows_of(names, rows):
     return sorted(names), sorted((tuple(norm(r[i]) for i in order) for r in rows), key=repr)
 
 
+def kinds(names, rows):
+    """Kind of value per column: whole, float, text..."""
+    out = {}
+    for i, name in enumerate(names):
+        out[name] = {type(r[i]).__name__ for r in rows if r[i] is not None}
+    return out
+
+
 def compare(df, con, sql) -> str | None:
     """None if equal, else what differs."""
-    names, mine = rows_of(df.columns, df.collect())
+    left = df.collect()
+    names, mine = rows_of(df.columns, left)
     cur = con.execute(sql)
-    other, theirs = rows_of([d[0] for d in cur.description], cur.fetchall())
+    columns, right = [d[0] for d in cur.description], cur.fetchall()
+    other, theirs = rows_of(columns, right)
+    a, b = kinds(df.columns, left), kinds(columns, right)
+    if mismatch := [f"{n}: {a[n]} vs {b[n]}" for n in a if n in b and a[n] and b[n] and a[n] != b[n]]:
+        return f"types {mismatch}"
     if names != other:
         return f"columns {names} vs {other}"
     if len(mine) != len(theirs):
@@ -66,6 +79,7 @@ def main() -> int:
 
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
+    ap.add_argument("--sql-only", action="store_true")
     ap.add_argument("names", nargs="*")
     args = ap.parse_args()
     spark = get_session("check", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
@@ -75,6 +89,8 @@ def main() -> int:
     for name, fn in QUERIES.items():
         if args.names and not any(name.startswith(n) for n in args.names):
             continue
+        if args.sql_only and name not in ORACLES:
+            continue
         start = time.time()
         try:
             df = fn(spark, args.sf)
