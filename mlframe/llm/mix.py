@@ -2,8 +2,8 @@
 
 A source's documents fall into blocks of about equal size by a hash of key and text, so the block
 number is a random permutation of the source. A source contributes its blocks whole, in that order,
-up to its target: every block in each full pass, a prefix in the last one, and of the block at the
-edge a prefix of its documents. The blocks a source gives are its exact quota. A binary tree over the
+up to its target: every block in each full pass, a prefix in the last one, and at the edge single
+documents that still fit. The blocks a source gives are its exact quota. A binary tree over the
 output shards then splits the vector of quotas: at each node the left half's share is one multivariate
 hypergeometric draw, so shards are random, disjoint and sum to the quotas. Inside a shard the
 documents are put in hash order.
@@ -20,12 +20,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mlframe.llm.common import fresh, word_count
 from mlframe.session import materialize
 
+LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
+BEHIND, FILLERS = 7, 64  # blocks and documents looked at to fill the last gap
+
 
 @dataclass(frozen=True)
 class MixSpec:
@@ -131,55 +134,69 @@ def planned(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
         rest[i] = target - full_pass[i] * size_ if size_ else 0.0
         sums = np.cumsum(words[first[i]:first[i + 1]])
         edge[i] = int(np.searchsorted(sums, rest[i], side="right")) if rest[i] > 0 else 0
-    inner = {i: rest[i] - float(words[first[i]:first[i] + edge[i]].sum()) for i in edge}
-    at = [(i, int(edge[i]), float(inner[i])) for i in edge if inner[i] > 0 and edge[i] < cat["blocks"][i]]
-    cut = _edge_cuts(blocks, at)
+    at = [(i, e, float(rest[i] - words[first[i]:first[i] + e].sum())) for i, e in edge.items() if rest[i] > 0 and e < cat["blocks"][i]]
+    partial = _edge_parts(blocks, at)
 
     rng = np.random.default_rng(spec.seed)
     given, quota = [], np.zeros(len(cat), np.int64)
     for i in range(len(cat)):
-        b = int(cat["blocks"][i])
-        number = np.concatenate([np.tile(np.arange(b), full_pass[i]), np.arange(edge[i] + (i in cut))]).astype(np.int64)
-        turn = np.concatenate([np.repeat(np.arange(full_pass[i]), b), np.full(edge[i] + (i in cut), full_pass[i])]).astype(np.int64)
-        limit = np.full(len(number), np.iinfo(np.int64).max)
-        if i in cut:
-            limit[-1] = cut[i]
+        b, more = int(cat["blocks"][i]), partial.get(i, [])
+        number = np.concatenate([np.tile(np.arange(b), full_pass[i]), np.arange(edge[i]), [m[0] for m in more]]).astype(np.int64)
+        turn = np.concatenate([np.repeat(np.arange(full_pass[i]), b), np.full(edge[i] + len(more), full_pass[i])]).astype(np.int64)
+        low = np.concatenate([np.full(len(number) - len(more), LOWEST), [m[1] for m in more]]).astype(np.int64)
+        high = np.concatenate([np.full(len(number) - len(more), HIGHEST), [m[2] for m in more]]).astype(np.int64)
         order = rng.permutation(len(number))
-        given.append((number[order], turn[order], limit[order]))
+        given.append((number[order], turn[order], low[order], high[order]))
         quota[i] = len(number)
     shards = int(min(spec.max_shards, max(1, math.ceil(cat["target"].sum() / spec.shard_words)), max(1, quota.sum())))
     used, table = np.zeros(len(cat), np.int64), []
     for shard, (ids, counts) in enumerate(split_quotas(quota, shards, rng)):
         for i, c in zip(ids.tolist(), counts.tolist()):
-            number, turn, limit = (x[used[i]:used[i] + c] for x in given[i])
-            table.append(pd.DataFrame({"b_no": i, "b_block": number, "b_pass": turn, "b_shard": shard, "b_limit": limit}))
+            number, turn, low, high = (x[used[i]:used[i] + c] for x in given[i])
+            table.append(pd.DataFrame({"b_no": i, "b_block": number, "b_pass": turn, "b_shard": shard, "b_low": low, "b_high": high}))
             used[i] += c
-    schema = "b_no int, b_block long, b_pass int, b_shard int, b_limit long"
+    schema = "b_no int, b_block long, b_pass int, b_shard int, b_low long, b_high long"
     table = spark.createDataFrame(pd.concat(table), schema) if table else spark.createDataFrame([], schema)
-    table = table.groupBy("b_no", "b_block").agg(F.sort_array(F.collect_list(F.struct("b_pass", "b_shard", "b_limit"))).alias("b_draws"))
+    table = table.groupBy("b_no", "b_block").agg(F.sort_array(F.collect_list(F.struct("b_pass", "b_shard", "b_low", "b_high"))).alias("b_draws"))
 
     out = placed(full, source, n.hash, n.no, n.block)
     out = out.join(F.broadcast(table), (F.col(n.no) == F.col("b_no")) & (F.col(n.block) == F.col("b_block")), "left")
-    kept = F.filter("b_draws", lambda d: F.col(n.hash) <= d["b_limit"])
+    kept = F.filter("b_draws", lambda d: F.col(n.hash).between(d["b_low"], d["b_high"]))
     draws = F.transform(kept, lambda d: F.struct(d["b_pass"].alias("pass"), d["b_shard"].alias("shard")))
     out = out.withColumn(n.draws, F.coalesce(draws, F.array().cast("array<struct<pass:int,shard:int>>")))
     cat.attrs["shards"] = shards
     return out.drop("b_no", "b_block", "b_draws"), cat, n
 
 
-def _edge_cuts(blocks: DataFrame, at: list[tuple[int, int, float]]) -> dict[int, int]:
-    """Highest document hash taken from the edge block of each source: the prefix whose words come nearest."""
-    from pyspark.sql import Window
+def _edge_parts(blocks: DataFrame, at: list[tuple[int, int, float]]) -> dict[int, list[tuple[int, int, int]]]:
+    """(block, lowest hash, highest hash) of what each source gives beyond its whole blocks.
 
+    Of the edge block the longest prefix that fits, then up to `FILLERS` single documents, in order, from
+    the rest of it and the blocks behind it that still fit. So a very long document at the edge is passed over.
+    """
     if not at:
         return {}
     edges = blocks.sparkSession.createDataFrame(at, "e_no int, e_block long, e_words double")
-    rows = blocks.join(F.broadcast(edges), (F.col("no") == F.col("e_no")) & (F.col("block") == F.col("e_block")))
-    rows = rows.groupBy("no", "h", "e_words").agg(F.sum("size").alias("size"))
-    before = F.sum("size").over(Window.partitionBy("no").orderBy("h").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("before", F.coalesce(before, F.lit(0)))
-    found = rows.filter(F.col("before") + F.col("size") / 2 <= F.col("e_words")).groupBy("no").agg(F.max("h").alias("h")).collect()
-    return {r.no: r.h for r in found}
+    near = F.col("block").between(F.col("e_block"), F.col("e_block") + BEHIND)
+    rows = blocks.join(F.broadcast(edges), (F.col("no") == F.col("e_no")) & near)
+    rows = materialize(rows.groupBy("no", "block", "h", "e_block", "e_words").agg(F.sum("size").alias("size")), "mix-edge")
+    order = Window.partitionBy("no").orderBy("h")
+    upto = rows.filter("block = e_block").withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    prefix = upto.filter("upto <= e_words").groupBy("no").agg(F.max("h").alias("h"), F.max("upto").alias("words")).collect()
+    prefix = {r.no: (r.h, r.words) for r in prefix}
+    gap = {i: w - prefix.get(i, (0, 0))[1] for i, _, w in at}
+    cuts = [(i, prefix[i][0] if i in prefix else None, gap[i]) for i in gap]
+    cut = F.broadcast(blocks.sparkSession.createDataFrame(cuts, "c_no int, c_h long, c_gap double"))
+    free = (F.col("block") > F.col("e_block")) | F.col("c_h").isNull() | (F.col("h") > F.col("c_h"))
+    fit = rows.join(cut, F.col("no") == F.col("c_no")).filter(free & (F.col("size") > 0) & (F.col("size") <= F.col("c_gap")))
+    nth = F.row_number().over(Window.partitionBy("no").orderBy("block", "h"))
+    fit = fit.withColumn("nth", nth).filter(F.col("nth") <= FILLERS).select("no", "block", "h", "size", "nth").collect()
+    out = {i: [(e, LOWEST, prefix[i][0])] for i, e, _ in at if i in prefix}
+    for r in sorted(fit, key=lambda r: (r.no, r.nth)):
+        if r["size"] <= gap[r.no]:
+            gap[r.no] -= r["size"]
+            out.setdefault(r.no, []).append((r.block, r.h, r.h))
+    return out
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
