@@ -140,11 +140,12 @@ def planned(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
     rng = np.random.default_rng(spec.seed)
     given, quota = [], np.zeros(len(cat), np.int64)
     for i in range(len(cat)):
-        b, more = int(cat["blocks"][i]), partial.get(i, [])
-        number = np.concatenate([np.tile(np.arange(b), full_pass[i]), np.arange(edge[i]), [m[0] for m in more]]).astype(np.int64)
-        turn = np.concatenate([np.repeat(np.arange(full_pass[i]), b), np.full(edge[i] + len(more), full_pass[i])]).astype(np.int64)
-        low = np.concatenate([np.full(len(number) - len(more), LOWEST), [m[1] for m in more]]).astype(np.int64)
-        high = np.concatenate([np.full(len(number) - len(more), HIGHEST), [m[2] for m in more]]).astype(np.int64)
+        b, more = int(cat["blocks"][i]), np.array(partial.get(i, []), np.int64).reshape(-1, 3)
+        number = np.concatenate([np.tile(np.arange(b), full_pass[i]), np.arange(edge[i]), more[:, 0]])
+        turn = np.concatenate([np.repeat(np.arange(full_pass[i]), b), np.full(edge[i] + len(more), full_pass[i])])
+        whole = len(number) - len(more)
+        low = np.concatenate([np.full(whole, LOWEST), more[:, 1]])
+        high = np.concatenate([np.full(whole, HIGHEST), more[:, 2]])
         order = rng.permutation(len(number))
         given.append((number[order], turn[order], low[order], high[order]))
         quota[i] = len(number)
