@@ -5,7 +5,8 @@ one by one: neighbouring windows that share their minimizer (the smallest hash a
 words) form one nonbranching piece, cut at the same words wherever the passage stands, so pieces compact
 the graph inside the tasks and the minimizer is the key under which equal windows must meet.
 
-1. Pieces are counted by (minimizer, content). A piece that occurs twice repeats with all its windows.
+1. A minimizer that occurs once is done with. The other pieces are counted by (minimizer, content), and one
+   that occurs twice repeats with all its windows.
 2. A window may also repeat in two different pieces of one minimizer, at the ends of a shared passage.
    Only minimizers with two or more different pieces are opened: one occurrence of each piece is looked
    up at its source coordinates and its windows are counted one by one.
@@ -117,11 +118,13 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """(id, th, spans): for each document the [lo, hi) word ranges that stand elsewhere too; th is a hash of its text."""
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.hash(text).alias("th"), F.col(text).alias("text"))
     piece = materialize(rows.mapInArrow(_pieces, _sql(PIECE)), "db-pieces")
+    live = piece.groupBy("m").agg(F.count("*").alias("c"), F.min("e").alias("lo"), F.max("e").alias("hi")).filter("c > 1")
+    piece = materialize(piece.join(live.select("m", (F.col("lo") != F.col("hi")).alias("open")), "m"), "db-live")
     first = F.min(F.struct("id", "th", "start"))
-    kinds = materialize(piece.groupBy("m", "e").agg(F.count("*").alias("c"), F.first("n").alias("n"), first.alias("at")), "db-kinds")
+    kinds = piece.groupBy("m", "e").agg(F.count("*").alias("c"), F.first("n").alias("n"), first.alias("at"), F.first("open").alias("open"))
+    kinds = materialize(kinds, "db-kinds")
 
-    shared = kinds.groupBy("m").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("m")
-    opened = kinds.join(shared, "m", "left_semi")
+    opened = kinds.filter("open")
     opened = opened.groupBy("at.id", "at.th").agg(F.collect_list(F.struct(F.col("at.start").alias("start"), "n", (F.col("c") == 1).alias("once"))).alias("opened"))
     opened = opened.withColumnsRenamed({"id": "oid", "th": "oth"})
     met = rows.join(opened, F.col("id").eqNullSafe(F.col("oid")) & (F.col("th") == F.col("oth"))).select("id", "th", "text", "opened")
