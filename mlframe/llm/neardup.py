@@ -8,10 +8,10 @@ length; texts with an empty one extend their time. Two texts agree on a coordina
 equal to their weighted Jaccard similarity.
 
 Candidates. `bands` x `rows` coordinates give bucket keys. At similarity 0.8 a pair shares no bucket with
-probability (1 - 0.8^5)^24 < 1e-4. Inside a bucket no pairs are spelled out: the smallest member is
-compared with the rest, links join classes, and only members outside the first member's class become
-further pivots (1, 2, 4, ... a round) until no two members of different classes are uncompared. Each
-comparison counts the shared elements of both whole texts.
+probability (1 - 0.8^5)^24 < 1e-4. Inside a bucket no pairs are spelled out: one member is compared
+with the rest, links join classes, and only members outside the first member's class become
+further pivots (1, 4, 16, ... a round) until no two members of different classes are uncompared. Pairs
+that cannot reach the threshold by their elements found nowhere else are left out. Each comparison counts the shared elements of both whole texts.
 """
 
 from __future__ import annotations
@@ -194,23 +194,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     whole = whole.dropDuplicates(["id", "h1", "h2"]).select("id", "text")
     features = materialize(whole.mapInPandas(_features(weighted), "id long, items binary, counts binary"), "dart-items")
 
+    member = materialize(_bounded(member, features, weighted, threshold), "dart-open")
+
     links = names = None
     seen = spark.createDataFrame([], "a long, b long")
     done = spark.createDataFrame([], "key long, pivot long")
     width = 1
     while True:
         pairs, pivots = _pairs(member, names, done, width, threshold)
-        done = pivots if links is None else done.unionByName(pivots)
-        fresh_pairs = pairs.join(seen, ["a", "b"], "left_anti") if links is not None else pairs
-        fresh_pairs = materialize(fresh_pairs, "dart-pairs")
-        if links is not None and pivots.isEmpty():
+        if names is not None and pivots.isEmpty():
             break
-        checked = materialize(_check(fresh_pairs, features, weighted, threshold), "dart-checked")
-        seen = seen.unionByName(fresh_pairs.select("a", "b"))
-        found = checked.filter("linked").select("a", "b")
+        pairs = materialize(pairs.join(seen, ["a", "b"], "left_anti") if names is not None else pairs, "dart-pairs")
+        found = materialize(_check(pairs, features, weighted, threshold), "dart-checked").filter("linked").select("a", "b")
         links = found if links is None else links.unionByName(found)
-        names = components(links)
-        width *= 2
+        if names is None or not found.isEmpty():
+            names = components(links)
+        done = done.unionByName(pivots)
+        seen = seen.unionByName(pairs.select("a", "b"))
+        width *= 4
     known = reps.join(names, reps["rep"] == names["id"], "left").select("h1", "h2", "rep", F.coalesce("comp", "rep").alias("class_id"))
     out = signed.select("id", "h1", "h2").join(known, ["h1", "h2"], "left")
     has = F.col("id").isNotNull()
@@ -218,28 +219,57 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
 
 
 def _shared(reps: DataFrame) -> DataFrame:
-    """(key, rep, n) for the buckets with two or more representatives."""
+    """(key, rep, n, size, rank) for the buckets with two or more representatives.
+
+    `rank` orders pivots: the text whose buckets hold the most others first, as the original among edited
+    copies does, which links them all in one round; then by key.
+    """
     member = reps.select("rep", "n", F.explode("keys").alias("key"))
     live = member.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    return member.join(live, "key").select("key", "rep", "n", "size")
+    member = materialize(member.join(live, "key").select("key", "rep", "n", "size"), "dart-live")
+    weight = member.groupBy("rep").agg(F.sum("size").alias("weight"))
+    return member.join(weight, "rep").select("key", "rep", "n", "size", F.struct(F.col("weight"), (-F.col("rep")).alias("low")).alias("rank"))
+
+
+def _bounded(member: DataFrame, features: DataFrame, weighted: bool, threshold: float) -> DataFrame:
+    """`member` with `u`, the weight of a text's elements that no other candidate has.
+
+    These can't be shared, so x and y share at most min(n_x - u_x, n_y - u_y) of at least
+    max(n_x + u_y, n_y + u_x). Texts that by this bound reach the threshold with nobody leave here.
+    """
+    def items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.iloc[at:at + 256]
+                found = [np.frombuffer(x, np.uint64 if weighted else np.uint32) for x in part["items"]]
+                counts = [np.frombuffer(c, np.uint32) for c in part["counts"]] if weighted else [np.ones(len(f), np.uint32) for f in found]
+                yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), [len(f) for f in found]), "c": np.concatenate(counts).astype(np.int64),
+                                    "item": np.concatenate(found).astype(np.uint64).view(np.int64)})
+
+    item = features.mapInPandas(items, "id long, c long, item long")
+    alone = item.groupBy("item").agg(F.count("*").alias("texts"), F.min("id").alias("id"), F.min("c").alias("c")).filter("texts = 1")
+    alone = alone.groupBy("id").agg(F.sum("c").alias("u")).withColumnRenamed("id", "uid")
+    out = member.join(alone, member["rep"] == alone["uid"], "left").drop("uid").withColumn("u", F.coalesce("u", F.lit(0)))
+    return out.filter(F.col("n") - F.col("u") + SLACK >= threshold * F.col("n"))
 
 
 def _pairs(member: DataFrame, names: DataFrame | None, done: DataFrame, width: int,
            threshold: float) -> tuple[DataFrame, DataFrame]:
     """Comparisons still open: each bucket's next pivots against its members of other classes."""
     if names is None:
-        pivots = materialize(member.groupBy("key").agg(F.min("rep").alias("pivot"), F.min_by("n", "rep").alias("pn")), "dart-pivots")
+        pivots = materialize(member.groupBy("key").agg(F.max_by("rep", "rank").alias("pivot"), F.max_by("n", "rank").alias("pn"), F.max_by("u", "rank").alias("pu")), "dart-pivots")
         pairs = member.join(pivots, "key").filter("rep <> pivot")
     else:
-        now = member.join(names, member["rep"] == names["id"], "left").select("key", "rep", "n", "size", F.coalesce("comp", "rep").alias("comp"))
-        home = now.groupBy("key").agg(F.min_by("comp", "rep").alias("home"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+        now = member.join(names, member["rep"] == names["id"], "left").select("key", "rep", "n", "u", "size", "rank", F.coalesce("comp", "rep").alias("comp"))
+        home = now.groupBy("key").agg(F.max_by("comp", "rank").alias("home"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
         now = materialize(now.join(home.select("key", "home"), "key"), "dart-open")
         outside = now.filter("comp <> home").join(done, (now["key"] == done["key"]) & (now["rep"] == done["pivot"]), "left_anti")
         turn = F.pmod(F.xxhash64("rep"), F.lit(width))
-        pivots = outside.groupBy("key", turn.alias("turn")).agg(F.min(F.struct("rep", "n", "comp")).alias("p"))
-        pivots = materialize(pivots.select("key", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pcomp")), "dart-pivots")
+        pivots = outside.groupBy("key", turn.alias("turn")).agg(F.max(F.struct("rank", "rep", "n", "u", "comp")).alias("p"))
+        pivots = materialize(pivots.select("key", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.u").alias("pu"), F.col("p.comp").alias("pcomp")), "dart-pivots")
         pairs = now.join(pivots, "key").filter("comp <> pcomp")
-    pairs = pairs.filter(F.least("n", "pn") + SLACK >= threshold * F.greatest("n", "pn"))
+    pairs = pairs.filter(
+        F.least(F.col("n") - F.col("u"), F.col("pn") - F.col("pu")) + SLACK >= threshold * F.greatest(F.col("n") + F.col("pu"), F.col("pn") + F.col("u")))
     pairs = pairs.select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b"), F.ceil(F.col("size") / GROUP).alias("groups"))
     return pairs.groupBy("a", "b").agg(F.max("groups").alias("groups")), pivots.select("key", "pivot")
 
