@@ -41,11 +41,24 @@ class Merges:
         self.symbols: dict[int, tuple[int, ...]] = {}
         for token in self.ids.values():
             self.spell(token, parts)
-        self.token = {s: t for t, s in self.symbols.items() if self.merge(s) == [t]}
+        self.size = {t: len(s) for t, s in self.symbols.items()}
+        #: Ends of tokens -> token, or -1 where the end alone is none: inside a word, and at its end.
+        self.inner, self.final = {}, {}
+        for name, t in self.ids.items():
+            if self.merge(self.symbols[t]) == [t]:
+                at_end = self.suffix and name.endswith(self.suffix) and len(name) > len(self.suffix)
+                table, name = (self.final, name.removesuffix(self.suffix)) if at_end else (self.inner, name)
+                table[name] = t
+                for i in range(1, len(name)):
+                    table.setdefault(name[i:], -1)
+        self.final = self.final if self.suffix else self.inner
         #: The sufficient lookahead of the merge list, in symbols.
-        self.lookahead = max(map(len, self.token), default=1)
-        self.tails = {s[i:] for s in self.token for i in range(len(s))}
-        self.apart = Cache(lambda pair: self.merge(self.symbols[pair[0]] + self.symbols[pair[1]]) == list(pair), 500_000)
+        self.lookahead = max(map(len, [*self.inner, *self.final]), default=1)
+        self.apart = Cache(self.stay_apart, 500_000)
+
+    def stay_apart(self, pair: int) -> bool:
+        a, b = pair >> 32, pair & 0xFFFFFFFF
+        return self.merge(self.symbols[a] + self.symbols[b]) == [a, b]
 
     def spell(self, token: int, parts: dict) -> tuple[int, ...]:
         """The symbols of a token, by undoing its merges."""
@@ -72,106 +85,111 @@ class Merges:
         return out
 
 
-class Transducer:
-    """One word: push symbols, take tokens as they become final, finish for the rest."""
+class FrontEnd:
+    """The tokenizer's own normaliser and pre-tokenizer, on words, and its added tokens."""
 
-    def __init__(self, merges: Merges):
-        self.m = merges
-        self.symbols: list[int] = []
-        self.last: list[int] = []  # last[j]: last token of the first j + 1 buffered symbols
-        self.before = -1  # the token emitted in front of the buffer
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    def fit(self) -> int:
-        """The last token of all that is buffered."""
-        m, end, tail = self.m, len(self.symbols), ()
-        for size in range(1, min(m.lookahead, end) + 1):
-            tail = (self.symbols[end - size], *tail)
-            if tail not in m.tails:
-                break
-            token = m.token.get(tail)
-            if token is not None:
-                ahead = self.last[end - size - 1] if size < end else self.before
-                if ahead < 0 or m.apart[ahead, token]:
-                    return token
-        raise ValueError("the merge list does not build its tokens from single symbols")
-
-    def push(self, symbol: int) -> None:
-        self.symbols.append(symbol)
-        self.last.append(self.fit())
-
-    def chain(self, end: int) -> list[int]:
-        """Boundaries from `end` back to the buffer's start."""
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.normal, self.cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        # if it lower-cases letters and parts them from the stops behind them, plain words need no call of it
+        self.simple = self.full("Qwertyuiopasdfghjklzxcvbnm.,") == ["qwertyuiopasdfghjklzxcvbnm", ".,"]
+
+    def full(self, text: str) -> list[str]:
+        text = self.normal.normalize_str(text) if self.normal else text
+        return [p for p, _ in self.cut.pre_tokenize_str(text)] if self.cut else [text]
+
+    def pieces(self, text: str) -> list[str]:
+        """Pre-tokens of a text without white space and added tokens."""
+        if self.simple and text.isascii():
+            core = text.rstrip(".,")
+            if core.isalpha():
+                return [core.lower(), text[len(core):]] if len(core) < len(text) else [core.lower()]
+        return self.full(text)
+
+    def parts(self, word: bytes) -> Iterator[str | int]:
+        """Pre-tokens of a word and ids of the added tokens in it, leftmost and longest first."""
+        text = word.decode()
+        while text:
+            at, size = min(((text.find(a), -len(a)) for a in self.added if a in text), default=(len(text), 0))
+            if at:
+                yield from self.pieces(text[:at])
+            if size:
+                yield self.added[text[at:at - size]]
+            text = text[at - size:]
+
+
+def transduce(m: Merges, piece: str, hold: int | None = None) -> Iterator[int]:
+    """Ids of one pre-token, read symbol by symbol; at most about `hold` symbols wait at a time."""
+    hold = hold or 8 * m.lookahead
+    base, before, last = 0, -1, []  # what is emitted ends at base, in token before; last[j]: last token of piece[:base + j + 1]
+    size, apart, total = m.size, m.apart, len(piece)
+
+    def bounds(end: int) -> list[int]:
         out = [end]
-        while end > 0:
-            end -= len(self.m.symbols[self.last[end - 1]])
+        while end > base:
+            end -= size[last[end - base - 1]]
             out.append(end)
         return out
 
-    def stable(self) -> list[int]:
-        """Emit the tokens that no further symbol can change."""
-        end = len(self.symbols)
-        common = set(self.chain(end))
-        for e in range(max(1, end - self.m.lookahead + 1), end):
-            common &= set(self.chain(e))
-        return self.emit(max(common, default=0))
-
-    def emit(self, upto: int) -> list[int]:
-        bounds, out = self.chain(upto), []
-        for end in reversed(bounds[:-1]):
-            out.append(self.last[end - 1])
-        if out:
-            self.before = out[-1]
-            del self.symbols[:upto], self.last[:upto]
-        return out
+    def taken(upto: int) -> list[int]:
+        return [last[end - base - 1] for end in reversed(bounds(upto)[:-1])]
 
-    def finish(self) -> list[int]:
-        return self.emit(len(self.symbols))
+    for end in range(1, total + 1):
+        names, fits = m.final if end == total else m.inner, []
+        for start in range(end - 1, max(base, end - m.lookahead) - 1, -1):
+            token = names.get(piece[start:end])
+            if token is None:
+                break
+            if token >= 0:
+                fits.append((start, token))
+        for start, token in reversed(fits):
+            ahead = last[start - base - 1] if start > base else before
+            if ahead < 0 or apart[ahead << 32 | token]:
+                last.append(token)
+                break
+        else:
+            raise ValueError("the merge list does not build its tokens from single symbols")
+        if end - base >= hold and end < total:
+            common = set(bounds(end))
+            for e in range(max(base + 1, end - m.lookahead + 1), end):
+                common &= set(bounds(e))
+            if (upto := max(common)) > base:
+                yield from (out := taken(upto))
+                del last[:upto - base]
+                base, before = upto, out[-1]
+    yield from taken(total)
 
 
 class Codec:
     """Encoder and decoder for a tokenizer file of the byte-level kind."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         spec = json.load(open(path, encoding="utf-8"))
-        front = Tokenizer.from_file(path)
-        self.normal, self.cut = front.normalizer, front.pre_tokenizer
+        self.front = FrontEnd(path)
         self.merges = Merges(spec["model"])
         self.names = {i: t for t, i in spec["model"]["vocab"].items()}
         self.names.update({t["id"]: t["content"] for t in spec["added_tokens"]})
-        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.decoder = (spec.get("decoder") or {}).get("type")
-        self.piece = Cache(lambda p: np.array(list(self.tokens(p)), "<u4").tobytes())
+        self.piece = Cache(self.fresh)
         self.word = Cache(self.encode_word)
 
-    def tokens(self, piece: str) -> Iterator[int]:
-        """Ids of one pre-token, streamed: only a bounded tail of it is held."""
-        m, t = self.merges, Transducer(self.merges)
-        final = len(piece) - 1
-        for i, c in enumerate(piece):
-            t.push(m.ids[c + m.suffix] if i == final else m.ids[c])
-            if len(t.symbols) >= 8 * m.lookahead:
-                yield from t.stable()
-        yield from t.finish()
-
-    def encode_part(self, part: str) -> bytes:
-        text = self.normal.normalize_str(part) if self.normal else part
-        pieces = [p for p, _ in self.cut.pre_tokenize_str(text)] if self.cut else [text]
-        return b"".join(self.piece[p] if len(p) <= CACHED_CHARS else np.array(list(self.tokens(p)), "<u4").tobytes() for p in pieces)
+    def fresh(self, piece: str) -> bytes:
+        return np.fromiter(transduce(self.merges, piece), "<u4").tobytes()
+
+    def encode_piece(self, piece: str | int) -> bytes:
+        if isinstance(piece, int):
+            return np.array([piece], "<u4").tobytes()
+        return self.piece[piece] if len(piece) <= CACHED_CHARS else self.fresh(piece)
 
     def encode_word(self, word: bytes) -> bytes:
-        """Ids of a text without white space; strings of added tokens become their ids, leftmost and longest first."""
-        text, out = word.decode(), []
-        while text:
-            at, size = min(((text.find(a), -len(a)) for a in self.added if a in text), default=(len(text), 0))
-            if at:
-                out.append(self.encode_part(text[:at]))
-            if size:
-                out.append(np.array([self.added[text[at:at - size]]], "<u4").tobytes())
-            text = text[at - size:]
-        return b"".join(out)
+        """Ids of a text without white space."""
+        return b"".join(map(self.encode_piece, self.front.parts(word)))
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""

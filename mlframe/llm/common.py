@@ -86,7 +86,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class Cache(dict):
     """key -> compute(key), holding at most twice `most` entries: the older half goes when the newer is full."""
 
-    def __init__(self, compute, most: int = 150_000):
+    def __init__(self, compute, most: int = 250_000):
         super().__init__()
         self.compute, self.most, self.old = compute, most, {}
 

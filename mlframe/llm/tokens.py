@@ -11,8 +11,6 @@ Segments are rows that Spark writes and commits, so files appear whole or not at
 
 from __future__ import annotations
 
-import os
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -23,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mlframe.llm.bpe import FrontEnd
 from mlframe.llm.common import Cache
 
 END = 2
@@ -36,22 +35,21 @@ LEVEL = 3
 class Encoder:
     """Ids of whole texts from the tokenizers library, word by word.
 
-    For a tokenizer whose pre-tokenizer drops white space and never joins across it, a text's ids are its
-    words' ids in order, so words come from a bounded cache.
+    The pre-tokenizer drops white space and never joins across it, so a text's ids are its words' ids in
+    order, and words come from a bounded cache.
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.front = FrontEnd(path)
+        self.model = self.front.tokenizer.model
+        self.width = 2 if self.front.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.word = Cache(self.fresh)
 
     def fresh(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, f"<u{self.width}").tobytes()
+        ids: list[int] = []
+        for piece in self.front.parts(word):
+            ids += [piece] if isinstance(piece, int) else [t.id for t in self.model.tokenize(piece)]
+        return b"".join([i.to_bytes(self.width, "little") for i in ids])
 
     def ids(self, text: str | None) -> bytes:
         return b"".join(map(self.word.__getitem__, text.encode().split())) if text else b""
@@ -179,7 +177,3 @@ def read_ids(spark: SparkSession, out: str, key: int | None = None) -> DataFrame
         segments = segments.filter(F.array_contains("keys", key))
     found = segments.mapInArrow(unpack, FOUND).join(ahead, ["part", "seg"])
     return found.select("key", (F.col("from") + F.col("rel")).alias("start"), "n_tokens", "ids")
-
-
-def crc32_unsigned(ids: bytes) -> int:
-    return zlib.crc32(ids)
