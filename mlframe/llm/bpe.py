@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from mlframe.llm.common import BINARY, LONG, STRING, Cache, map_text, unpacked
 
+NEVER = 1 << 62
 CACHED_CHARS = 64  # longer words are encoded afresh, so the cache stays small
 
 
@@ -37,10 +38,10 @@ class Merges:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         glue = lambda a, b: a + b
         self.rank = {(self.ids[a], self.ids[b]): (r, self.ids[glue(a, b)]) for r, (a, b) in enumerate(pairs)}
-        parts = {self.ids[glue(a, b)]: (self.ids[a], self.ids[b]) for a, b in reversed(pairs)}
+        self.made = {self.ids[glue(a, b)]: (r, self.ids[a], self.ids[b]) for r, (a, b) in reversed(list(enumerate(pairs)))}
         self.symbols: dict[int, tuple[int, ...]] = {}
         for token in self.ids.values():
-            self.spell(token, parts)
+            self.spell(token)
         self.size = {t: len(s) for t, s in self.symbols.items()}
         #: Ends of tokens -> token, or -1 where the end alone is none: inside a word, and at its end.
         self.inner, self.final = {}, {}
@@ -57,17 +58,32 @@ class Merges:
         self.apart = Cache(self.stay_apart, 500_000)
 
     def stay_apart(self, pair: int) -> bool:
-        a, b = pair >> 32, pair & 0xFFFFFFFF
-        return self.merge(self.symbols[a] + self.symbols[b]) == [a, b]
+        """Whether two tokens side by side stay as they are.
 
-    def spell(self, token: int, parts: dict) -> tuple[int, ...]:
+        Undo their merges, the latest first, and look at the two tokens that touch. Their own rule would have
+        come first if it stands before the merge that ends either of them; on a tie the left place goes first.
+        """
+        a, b, a_ends, b_ends = pair >> 32, pair & 0xFFFFFFFF, NEVER, NEVER
+        while True:
+            rule = self.rank.get((a, b))
+            if rule and rule[0] < a_ends and rule[0] <= b_ends:
+                return False
+            a_made, b_made = self.made.get(a), self.made.get(b)
+            if a_made is None and b_made is None:
+                return True
+            if b_made is None or (a_made is not None and a_made[0] > b_made[0]):
+                a_ends, a = a_made[0], a_made[2]
+            else:
+                b_ends, b = b_made[0], b_made[1]
+
+    def spell(self, token: int) -> tuple[int, ...]:
         """The symbols of a token, by undoing its merges."""
         if token not in self.symbols:
             todo, out = [token], []
             while todo:
                 t = todo.pop()
-                if t in parts:
-                    todo += reversed(parts[t])
+                if t in self.made:
+                    todo += reversed(self.made[t][1:])
                 else:
                     out.append(t)
             self.symbols[token] = tuple(out)
