@@ -88,8 +88,10 @@ class Parser:
             codes = self.code[points(text)]
             step = suffix_automaton(codes, self.width)
             root = np.where(step[0] < 0, 0, step[0])
-            # where no substring goes on, the phrase ends and the next one starts with this character
+            # where no substring goes on, a new phrase starts with this character; the start state is met
+            # only before the first character and behind one that no substring has
             ends = step < 0
+            ends[0] = True
             to = np.where(ends, root[None, :], step)
             tables.append(((to + base) * self.width * 2 + ends).ravel())
             self.start.append(base * self.width * 2)
@@ -104,7 +106,7 @@ class Parser:
         for i, p in enumerate(pieces):
             grid[:len(p), i] = p
         state = np.repeat(np.array(self.start, np.int32)[:, None], len(pieces), axis=1)
-        count = np.ones(state.shape, np.int32)
+        count = np.zeros(state.shape, np.int32)
         alive = len(pieces)
         for row, chars in enumerate(grid):
             while size[alive - 1] <= row:

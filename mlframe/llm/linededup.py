@@ -16,10 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mlframe.llm.common import WORD, packed, unpacked
+from mlframe.llm.common import WORD, fresh
 from mlframe.session import materialize
 
-DIVISOR = 4
+DIVISOR = 3
 SALTS = 16
 
 
@@ -79,12 +79,16 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     document and keep the same lines. A document may end up empty; no row is dropped.
     """
     gone = materialize(removed_chunks(docs, key, text), "ld-gone")
-    cut = packed(docs, id=F.col(key), text=F.col(text), hash=F.xxhash64(F.col(text)))
+    # numbered names keep the input's columns apart from working ones
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    cut = docs.toDF(*at.values()).withColumns({"id": F.col(at[key]), "text": F.col(at[text]), "hash": F.xxhash64(at[text])})
     cut = cut.join(gone, F.col("id").eqNullSafe(F.col("ld_id")) & (F.col("hash") == F.col("ld_text")), "left")
     hit = F.col("nos").isNotNull()
     cut = _laid(cut, "text")
     left = F.array_except(F.sequence(F.lit(0), F.size("ld_spans") - 1), F.col("nos"))
     cut = _once(cut, "ld_left", F.when(hit, F.flatten(F.transform(left, lambda k: _part(F.get(F.col("ld_spans"), k))))))
     total = F.when(F.col("text").isNull(), 0).otherwise(F.size("ld_lines")).cast("long")
-    return unpacked(cut, docs, {text: F.when(hit, F.array_join("ld_left", "\n")).otherwise(F.col("text"))}, n_lines=total,
-                    n_removed=F.when(hit, F.size("ld_lines") - F.size("ld_left")).otherwise(0).cast("long"))
+    gone_lines = F.when(hit, F.size("ld_lines") - F.size("ld_left")).otherwise(0).cast("long")
+    body = F.when(hit, F.array_join("ld_left", "\n")).otherwise(F.col("text"))
+    cols = [(body if c == text else F.col(name)).alias(c) for c, name in at.items()]
+    return cut.select(*cols, total.alias(fresh(docs, "n_lines")), gone_lines.alias(fresh(docs, "n_removed")))

@@ -68,7 +68,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op4_line_dedup"] = """
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
-r AS (SELECT doc_id, lines, [('0x' || substr(md5(CASE WHEN i = 1 THEN '' ELSE md5(lines[i - 1]) END || md5(lines[i])), 1, 7))::BIGINT % 4 = 0
+r AS (SELECT doc_id, lines, [('0x' || substr(md5(CASE WHEN i = 1 THEN '' ELSE md5(lines[i - 1]) END || md5(lines[i])), 1, 7))::BIGINT % 3 = 0
       FOR i IN range(1, len(lines) + 1)] AS marks FROM d),
 e AS (SELECT doc_id, lines, [i FOR i IN range(1, len(lines) + 1) IF marks[i] OR i = len(lines)] AS ends FROM r),
 c AS (SELECT doc_id, unnest(range(1, len(ends) + 1)) AS no, lines, ends FROM e),
