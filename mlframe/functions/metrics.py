@@ -128,7 +128,7 @@ def roc_auc_per_class(df: DataFrame, y: str, scores: dict) -> DataFrame:
     ranked = prefix_sum(steps, {"neg_upto": F.col("neg")}, "score", ["class"])
     wins = F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2.0)
     return ranked.groupBy("class").agg(
-        (F.sum(wins) / (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
+        (F.sum(wins) / (F.sum("pos").cast("double") * F.sum("neg").cast("double"))).alias("auc"))
 
 
 def roc_auc_macro(df: DataFrame, y: str, scores: dict) -> DataFrame:

@@ -59,7 +59,7 @@ def estimator(kind: str, name: str, label: str, features: str = "features", pred
         args.setdefault("seed", seed)
     if weight:
         args["weightCol"] = weight
-    if kind == "classification" and name in ("logistic", "tree", "forest", "mlp"):
+    if kind == "classification" and (name in ("logistic", "tree", "forest", "mlp") or (name == "gbt" and classes <= 2)):
         args["probabilityCol"] = f"{prediction}_prob"
         args["rawPredictionCol"] = f"{prediction}_raw"
     if kind == "classification" and classes > 2 and name in TWO_CLASSES_ONLY:

@@ -31,9 +31,9 @@ def md5_key(key, seed: int) -> Column:
 
 
 def md5_int(*parts: Column) -> Column:
-    """First 32 bits of the md5 of the `:`-joined parts, as a bigint in 0..2^32-1."""
+    """First 60 bits of the md5 of the `:`-joined parts, as a bigint in 0..2^60-1."""
     digest = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
 def _prefix_digits(spark: SparkSession) -> int:

@@ -16,7 +16,7 @@ from mlframe.operators.neighbours import nearest
 from mlframe.operators.ordering import hash_index, md5_int
 
 MAX_CLASSES = 1000
-_TWO32 = 4294967296.0
+_DRAWS = float(1 << 60)
 
 
 def class_sizes(df: DataFrame, label: str) -> dict:
@@ -87,7 +87,7 @@ def _synthetic(df: DataFrame, key: str, vec: str, label: str, k: int, targets, s
     ranks = _by_class(F.col(label), {c: min(k, sizes[c] - 1) for c in extra})
     draws = draws.withColumns({
         "rank": (md5_int(F.lit(seed), F.col(label), F.col("draw"), F.lit("n")) % ranks + 1).cast("int"),
-        "_u": md5_int(F.lit(seed), F.col(label), F.col("draw"), F.lit("u")) / F.lit(_TWO32)})
+        "_u": md5_int(F.lit(seed), F.col(label), F.col("draw"), F.lit("u")) / F.lit(_DRAWS)})
     drawn = indexed.join(draws, [label, "_i"]).drop("_i")
     bases = indexed.join(draws, [label, "_i"], "left_semi")
     near = nearest(pool, bases, key, space or vec, k, within=label, exclude_self=True, carry=carry)

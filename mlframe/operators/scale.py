@@ -93,7 +93,7 @@ def add_noise(df: DataFrame, arr: str, sigma: float, seed: int, key: str, lo: fl
     formula, so a recomputed task gives the same noise.
     """
     def uniform(place, salt):
-        return (md5_int(F.lit(seed), F.col(key), place, F.lit(salt)) + F.lit(0.5)) / F.lit(4294967296.0)
+        return (md5_int(F.lit(seed), F.col(key), place, F.lit(salt)) + F.lit(0.5)) / F.lit(1152921504606846976.0)
 
     def noisy(x, i):
         normal = F.sqrt(F.lit(-2.0) * F.ln(uniform(i, 0))) * F.cos(F.lit(6.283185307179586) * uniform(i, 1))

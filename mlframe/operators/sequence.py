@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mlframe.operators.ordering import as_list, global_index, look_ahead_chunks
@@ -24,6 +24,11 @@ def _chunked(df: DataFrame, order_by, partition_by, after: int, chunk_rows: int)
     return chunks, Window.partitionBy(*part, "_chunk").orderBy("step")
 
 
+def _cells(col: str, frame) -> Column:
+    """The column's values in the frame, nulls in their places."""
+    return F.transform(F.collect_list(F.struct(F.col(col).alias("cell"))).over(frame), lambda x: x["cell"])
+
+
 def sliding_windows(df: DataFrame, cols: Sequence[str], order_by, timesteps: int, stride: int = 1,
                     partition_by: Sequence[str] = (), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Full windows of `timesteps` rows, one every `stride` rows, as one array column per input.
@@ -32,7 +37,7 @@ def sliding_windows(df: DataFrame, cols: Sequence[str], order_by, timesteps: int
     """
     chunks, w = _chunked(df, order_by, partition_by, timesteps - 1, chunk_rows)
     frame = w.rowsBetween(0, timesteps - 1)
-    named = {f"{c}_window": F.collect_list(c).over(frame) for c in cols}
+    named = {f"{c}_window": _cells(c, frame) for c in cols}
     full = F.count(F.lit(1)).over(frame) == timesteps
     out = chunks.withColumns({**named, "_full": full})
     keep = F.col("_own") & F.col("_full") & ((F.col("step") - 1) % stride == 0)
@@ -73,7 +78,7 @@ def window_horizon(df: DataFrame, cols: Sequence[str], target: str, order_by, ti
     chunks, w = _chunked(df, order_by, partition_by, ahead, chunk_rows)
     frame = w.rowsBetween(0, timesteps - 1)
     out = chunks.withColumns({
-        **{f"{c}_window": F.collect_list(c).over(frame) for c in cols},
+        **{f"{c}_window": _cells(c, frame) for c in cols},
         "target": F.lead(target, ahead).over(w), "_there": F.lead(F.lit(True), ahead).over(w)})
     keep = F.col("_own") & F.col("_there") & ((F.col("step") - 1) % stride == 0)
     return out.filter(keep).drop("_own", "_there", "_chunk")

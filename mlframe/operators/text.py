@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -111,8 +112,8 @@ def token_stream(df: DataFrame, arr: str, key) -> DataFrame:
 
 
 def bag_of_words(df: DataFrame, arr: str, keep: Sequence[str], size: int, out: str = "features") -> DataFrame:
-    """Sparse word-count vectors of an id column, for the classifiers."""
-    from pyspark.ml.feature import HashingTF
+    """Sparse word-count vectors of an id column, for the classifiers; an id is its own position, below `size`."""
+    from pyspark.ml.linalg import Vectors, VectorUDT
 
-    terms = df.select(*keep, F.transform(arr, lambda t: t.cast("string")).alias("_terms"))
-    return HashingTF(inputCol="_terms", outputCol=out, numFeatures=size).transform(terms).drop("_terms")
+    counted = F.udf(lambda ids: Vectors.sparse(size, sorted(Counter(ids or []).items())), VectorUDT())
+    return df.select(*keep, counted(arr).alias(out))

@@ -125,6 +125,11 @@ def cross_validate(df: DataFrame, est, candidates: Sequence[Mapping], label: str
     return [flat[i:i + len(folds)] for i in range(0, len(flat), len(folds))]
 
 
+def _rating(score: float) -> float:
+    """A score for ranking: one that is not a number comes last."""
+    return -math.inf if math.isnan(score) else float(score)
+
+
 def search(df: DataFrame, est, candidates: Sequence[Mapping], label: str, kind: str, fold: str = "fold",
            threads: int = 4, refit: bool = True):
     """Cross-validate every candidate, refit the best. Returns (result frame, best model, best params)."""
@@ -132,13 +137,13 @@ def search(df: DataFrame, est, candidates: Sequence[Mapping], label: str, kind:
     means = [statistics.fmean(s) for s in scores]
     stds = [statistics.pstdev(s) for s in scores]
     frame = result_frame(df.sparkSession, candidates, means, stds)
-    best = dict(candidates[max(range(len(candidates)), key=lambda i: means[i])])
+    best = dict(candidates[max(range(len(candidates)), key=lambda i: _rating(means[i]))])
     return frame, est.fit(df, param_map(est, best)) if refit else None, best
 
 
 def result_frame(spark: SparkSession, candidates: Sequence[Mapping], means: Sequence[float], stds: Sequence[float]) -> DataFrame:
     """(params, mean_score, std_score, rank): rank 1 is the best, equal scores share one."""
-    rows = [(", ".join(f"{k}={v}" for k, v in c.items()), float(m), float(s), 1 + sum(float(o) > float(m) for o in means))
+    rows = [(", ".join(f"{k}={v}" for k, v in c.items()), float(m), float(s), 1 + sum(_rating(o) > _rating(m) for o in means))
             for c, m, s in zip(candidates, means, stds)]
     return spark.createDataFrame(rows, "params string, mean_score double, std_score double, rank int").orderBy("rank", "params")
 
@@ -178,7 +183,7 @@ def halving_search(df: DataFrame, est, candidates: Sequence[Mapping], label: str
         frame, _, _ = search(part, est, left, label, kind, threads=threads, refit=False)
         frames.append(frame.withColumns({"round": F.lit(r.number), "n_rows": F.lit(r.rows)}))
         ranked = {row["params"]: row["mean_score"] for row in frame.collect()}
-        left.sort(key=lambda c: -ranked[", ".join(f"{k}={v}" for k, v in c.items())])
+        left.sort(key=lambda c: -_rating(ranked[", ".join(f"{k}={v}" for k, v in c.items())]))
         left = left[:math.ceil(len(left) / factor)]
     best = dict(left[0])
     return reduce(DataFrame.unionByName, frames), est.fit(df, param_map(est, best)), best

@@ -240,8 +240,8 @@ def polynomial_interactions(t):
 
 
 @query(f"""
-WITH u AS (SELECT *, (CAST('0x' || substr(md5('7:' || vec_id || ':' || pos || ':0'), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u0,
-                     (CAST('0x' || substr(md5('7:' || vec_id || ':' || pos || ':1'), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u1
+WITH u AS (SELECT *, (CAST('0x' || substr(md5('7:' || vec_id || ':' || pos || ':0'), 1, 15) AS BIGINT) + 0.5::DOUBLE) / 1152921504606846976.0::DOUBLE AS u0,
+                     (CAST('0x' || substr(md5('7:' || vec_id || ':' || pos || ':1'), 1, 15) AS BIGINT) + 0.5::DOUBLE) / 1152921504606846976.0::DOUBLE AS u1
            FROM {_CELLS})
 SELECT vec_id, pos, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE,
        x + 0.1::DOUBLE * sqrt(-2.0::DOUBLE * ln(u0)) * cos(6.283185307179586::DOUBLE * u1))), 6) AS cell FROM u

@@ -59,7 +59,7 @@ def event_value_regression(t):
 def text_quality_classifier(t):
     """Whole texts to a thresholded prediction."""
     df = t.spread("documents", "doc_id", "lang", "text").join(t("labels"), "doc_id")
-    return recipes.text_classification(df, "doc_id", ["lang", "text"], "quality", 2000, 0.2, 3)[1]
+    return recipes.text_classification(df, "doc_id", ["lang", "text"], "quality", None, 0.2, 3)[1]
 
 
 @query("""

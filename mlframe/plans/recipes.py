@@ -28,16 +28,18 @@ def regression_report(scored: DataFrame, target: str) -> DataFrame:
         "mae": metrics.mae(target, "prediction")})
 
 
-def text_classification(df: DataFrame, key: str, texts: Sequence[str], label: str, num_words: int = 5000,
+def text_classification(df: DataFrame, key: str, texts: Sequence[str], label: str, num_words: int | None = None,
                         test_size: float = 0.1, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Merged text, vocabulary, id sequences, word-count vectors, logistic fit, 0.5 threshold.
 
-    Returns (scored test rows, one-row report with F1, accuracy and vocabulary size).
+    All words count unless `num_words` caps them. Returns (scored test rows, one-row report with F1, accuracy and vocabulary size).
     """
     merged = encode.merge_text(df, texts, " ", lower=[texts[-1]], out="_text").select(key, "_text", label)
     vocab = text.build_vocab(merged, "_text", key)
-    seqs = text.texts_to_sequences(merged, "_text", key, text.cap_vocab(vocab, num_words))
-    ready = text.bag_of_words(seqs.join(merged.select(key, label), key), "seq", [key, label], num_words)
+    known = text.cap_vocab(vocab, num_words) if num_words else vocab
+    seqs = text.texts_to_sequences(merged, "_text", key, known)
+    width = text.vocab_size(known).first()[0] or 1
+    ready = text.bag_of_words(seqs.join(merged.select(key, label), key), "seq", [key, label], width)
     train, test = split.train_test_split(ready, key, test_size, seed)
     train.persist()
     model = models.estimator("classification", "logistic", label, maxIter=20, regParam=0.01).fit(train)

@@ -16,8 +16,8 @@ def _hashed(table: str, key: str, seed: int, label: str | None = None, where: st
             f"count(*) OVER ({part}) AS n FROM {table} WHERE {where})")
 
 
-def _u32(*parts: str) -> str:
-    return "CAST('0x' || substr(md5(" + " || ':' || ".join(f"CAST({p} AS VARCHAR)" for p in parts) + "), 1, 8) AS BIGINT)"
+def _u60(*parts: str) -> str:
+    return "CAST('0x' || substr(md5(" + " || ':' || ".join(f"CAST({p} AS VARCHAR)" for p in parts) + "), 1, 15) AS BIGINT)"
 
 
 _FOLD = """CASE WHEN rn <= (n % {k}) * (n // {k} + 1) THEN (rn - 1) // (n // {k} + 1)
@@ -95,7 +95,7 @@ need AS (SELECT o_orderstatus, max(n) AS n, unnest(range(1, CASE o_orderstatus W
          FROM r GROUP BY o_orderstatus)
 SELECT o_orderkey, o_orderstatus, 0 AS draw FROM orders
 UNION ALL SELECT r.o_orderkey, r.o_orderstatus, d.draw FROM need d JOIN r ON r.o_orderstatus = d.o_orderstatus
-  AND r.rn = 1 + {_u32("'5'", 'd.o_orderstatus', 'd.draw')} % d.n
+  AND r.rn = 1 + {_u60("'5'", 'd.o_orderstatus', 'd.draw')} % d.n
 """)
 def oversampled_to_targets(t):
     """Class targets scaled with the table; draws with replacement."""
@@ -108,7 +108,7 @@ def oversampled_to_targets(t):
 WITH {_hashed('labels', 'doc_id', 2, 'toxic')}, top AS (SELECT max(n) AS m FROM r),
 need AS (SELECT toxic, max(n) AS n, unnest(range(1, (SELECT m FROM top) - max(n) + 1)) AS draw FROM r GROUP BY toxic)
 SELECT doc_id, toxic, 0 AS draw FROM labels
-UNION ALL SELECT r.doc_id, r.toxic, d.draw FROM need d JOIN r ON r.toxic = d.toxic AND r.rn = 1 + {_u32("'2'", 'd.toxic', 'd.draw')} % d.n
+UNION ALL SELECT r.doc_id, r.toxic, d.draw FROM need d JOIN r ON r.toxic = d.toxic AND r.rn = 1 + {_u60("'2'", 'd.toxic', 'd.draw')} % d.n
 """)
 def oversampled_auto(t):
     """Every class lifted to the largest."""
@@ -121,8 +121,8 @@ _VEC = "(SELECT vec_id, label, [CAST(x AS DOUBLE) for x in embedding] AS v FROM
 @query(f"""
 WITH {_hashed(_VEC, 'vec_id', 4, 'label')}, top AS (SELECT max(n) AS m FROM r),
 need AS (SELECT label, max(n) AS n, unnest(range(1, (SELECT m FROM top) - max(n) + 1)) AS draw FROM r GROUP BY label),
-d AS (SELECT label, draw, 1 + {_u32("'4'", 'label', 'draw')} % n AS rn, 1 + {_u32("'4'", 'label', 'draw', "'n'")} % least(5, n - 1) AS rank,
-             {_u32("'4'", 'label', 'draw', "'u'")} / 4294967296.0::DOUBLE AS u FROM need),
+d AS (SELECT label, draw, 1 + {_u60("'4'", 'label', 'draw')} % n AS rn, 1 + {_u60("'4'", 'label', 'draw', "'n'")} % least(5, n - 1) AS rank,
+             {_u60("'4'", 'label', 'draw', "'u'")} / 1152921504606846976.0::DOUBLE AS u FROM need),
 nn AS (SELECT a.vec_id, b.v, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS rank
        FROM {_VEC} a JOIN {_VEC} b ON a.label = b.label AND a.vec_id <> b.vec_id),
 made AS (SELECT r.vec_id, d.label, d.draw, d.u, r.v AS a, nn.v AS b FROM d JOIN r ON r.label = d.label AND r.rn = d.rn
@@ -162,7 +162,7 @@ def batches_shuffled(t):
 @query(f"""
 WITH {_hashed('customer', 'c_custkey', 6)}, d AS (SELECT unnest(range(1, (SELECT count(*) FROM customer) // 2 + 1)) AS draw)
 SELECT c_custkey, c_acctbal, 0 AS draw FROM customer
-UNION ALL SELECT r.c_custkey, r.c_acctbal, d.draw FROM d JOIN r ON r.rn = 1 + {_u32("'6'", 'd.draw')} % r.n
+UNION ALL SELECT r.c_custkey, r.c_acctbal, d.draw FROM d JOIN r ON r.rn = 1 + {_u60("'6'", 'd.draw')} % r.n
 """)
 def augmented_with_draws(t):
     """Half as many rows again, drawn with replacement."""

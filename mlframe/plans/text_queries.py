@@ -118,14 +118,15 @@ def padded_back(t):
 
 
 @query(f"""
-WITH {_CONV} SELECT conv_id, turn, string_agg(CAST(CASE WHEN idx < 500 THEN idx ELSE 2 END AS VARCHAR), ' ' ORDER BY pos) AS ids
-FROM toks JOIN vocab USING (word) GROUP BY conv_id, turn HAVING count(*) < 60
+WITH {_CONV}, s AS (SELECT conv_id, turn, string_agg(CAST(CASE WHEN idx < 500 THEN idx ELSE 2 END AS VARCHAR), ' ' ORDER BY pos) AS ids, count(*) AS n
+FROM toks JOIN vocab USING (word) GROUP BY conv_id, turn)
+SELECT conv_id, turn, coalesce(ids, '') AS ids FROM conversations LEFT JOIN s USING (conv_id, turn) WHERE coalesce(n, 0) < 60
 """)
 def capped_sequences(t):
     """Rare words become one id, over-long texts are dropped."""
     seqs, _ = _conv(t)
     out = text.cap_ids(text.drop_long(seqs, "seq", 60), "seq", 500, unknown=2)
-    return out.filter(F.size("seq") > 0).select("conv_id", "turn", ids_text().alias("ids"))
+    return out.select("conv_id", "turn", ids_text().alias("ids"))
 
 
 @query(f"WITH {_DOCS} SELECT word, cnt, idx FROM vocab WHERE idx < 1000")

@@ -5,17 +5,25 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mlframe.session import spread as deal_out
 
 
+_FLOATS = (T.DoubleType, T.FloatType)
+
+
 def normalize_missing(df: DataFrame) -> DataFrame:
-    """NaN becomes NULL in every floating column, so there is one notion of missing."""
-    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
-    return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if c in floats else F.col(c) for c in df.columns])
+    """NaN becomes NULL in every floating column and array cell, so there is one notion of missing."""
+    def known(f: T.StructField) -> Column:
+        if isinstance(f.dataType, _FLOATS):
+            return F.when(~F.isnan(f.name), F.col(f.name)).alias(f.name)
+        if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, _FLOATS):
+            return F.transform(f.name, lambda x: F.when(~F.isnan(x), x)).alias(f.name)
+        return F.col(f.name)
+    return df.select(*map(known, df.schema.fields))
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, key: str | None = None,
@@ -30,7 +38,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, key: st
 def load_table(spark: SparkSession, folder: str, name: str, cols: Sequence[str] = (), spread: bool = False) -> DataFrame:
     """A stored table, or some of its columns; `spread` deals a small one out to all cores."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
-    df = df.select(*cols) if cols else df
+    df = normalize_missing(df.select(*cols) if cols else df)
     return deal_out(df) if spread else df
 
 
@@ -48,7 +56,7 @@ def save_arrays(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def load_arrays(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return normalize_missing(spark.read.parquet(path))
 
 
 def read_labelled_files(spark: SparkSession, root: str, pattern: str = "*", max_classes: int = 10_000) -> DataFrame:
