@@ -55,7 +55,7 @@ class Merges:
         self.final = self.final if self.suffix else self.inner
         #: The sufficient lookahead of the merge list, in symbols.
         self.lookahead = max(map(len, [*self.inner, *self.final]), default=1)
-        self.apart = Cache(self.stay_apart, 500_000)
+        self.apart = Cache(self.stay_apart, 200_000)
 
     def stay_apart(self, pair: int) -> bool:
         """Whether two tokens side by side stay as they are.
@@ -192,8 +192,8 @@ class Codec:
         self.names = {i: t for t, i in spec["model"]["vocab"].items()}
         self.names.update({t["id"]: t["content"] for t in spec["added_tokens"]})
         self.decoder = (spec.get("decoder") or {}).get("type")
-        self.piece = Cache(self.fresh)
-        self.word = Cache(self.encode_word)
+        self.piece = Cache(self.fresh, 150_000)
+        self.word = Cache(self.encode_word, 60_000)
 
     def fresh(self, piece: str) -> bytes:
         return np.fromiter(transduce(self.merges, piece), "<u4").tobytes()

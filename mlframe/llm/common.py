@@ -55,6 +55,9 @@ def unpacked(df: DataFrame, docs: DataFrame, put: dict[str, Column] | None = Non
 LONG, DOUBLE, BOOL, STRING, BINARY = ("long", pa.int64()), ("double", pa.float64()), ("boolean", pa.bool_()), ("string", pa.string()), ("binary", pa.binary())
 
 
+MAP_ROWS = 512  # texts that a task holds at a time beside their Arrow batch
+
+
 def map_text(docs: DataFrame, text: str, fn, fields: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
     """`row` (see `packed`) and `fields`, computed in tasks by `fn(list of texts) -> list of columns`.
 
@@ -64,10 +67,11 @@ def map_text(docs: DataFrame, text: str, fn, fields: dict[str, tuple[str, pa.Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row = batch.column(0)
-            made = fn(row.field(at).to_pylist())
-            made = [pa.array(values, kind) for values, (_, kind) in zip(made, fields.values())]
-            yield pa.RecordBatch.from_arrays([row, *made], ["row", *fields])
+            for lo in range(0, batch.num_rows, MAP_ROWS):
+                row = batch.column(0).slice(lo, MAP_ROWS)
+                made = fn(row.field(at).to_pylist())
+                made = [pa.array(values, kind) for values, (_, kind) in zip(made, fields.values())]
+                yield pa.RecordBatch.from_arrays([row, *made], ["row", *fields])
 
     return packed(docs).mapInArrow(run, ", ".join([f"row {row_type(docs)}", *(f"{n} {t}" for n, (t, _) in fields.items())]))
 
@@ -86,7 +90,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class Cache(dict):
     """key -> compute(key), holding at most twice `most` entries: the older half goes when the newer is full."""
 
-    def __init__(self, compute, most: int = 250_000):
+    def __init__(self, compute, most: int = 100_000):
         super().__init__()
         self.compute, self.most, self.old = compute, most, {}
 

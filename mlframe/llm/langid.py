@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from mlframe.llm.common import DOUBLE, STRING, map_text, unpacked
 
-SAMPLE_CHARS = 40_000  # of each language, at most
+SAMPLE_CHARS = 24_000  # of each language, at most
 SAMPLE_DOCS = 64  # of each language, at most
 ALPHABET = 62  # most frequent letters of the samples; 0 is any non-letter, 1 any other letter
 PIECE = 1024
@@ -133,7 +133,7 @@ class Parser:
         return total * np.array(self.bits)[None, :] / np.maximum(size, 1)[:, None]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def parser(samples: tuple[tuple[str, str], ...]) -> Parser:
     """One per worker process."""
     return Parser(samples)
