@@ -43,7 +43,7 @@ class Encoder:
         self.front = FrontEnd(path)
         self.model = self.front.tokenizer.model
         self.width = 2 if self.front.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.word = Cache(self.fresh, 250_000)
+        self.word = Cache(self.fresh, 400_000)
 
     def fresh(self, word: bytes) -> bytes:
         ids: list[int] = []
