@@ -16,8 +16,10 @@ from __future__ import annotations
 import codecs
 import json
 import os
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -142,9 +144,14 @@ class FrontEnd:
 
 def transduce(m: Merges, piece: str, hold: int | None = None) -> Iterator[int]:
     """Ids of one pre-token, read symbol by symbol; at most about `hold` symbols wait at a time."""
+    return chain.from_iterable(settled(m, piece, hold))
+
+
+def settled(m: Merges, piece: str, hold: int | None = None) -> Iterator[list[int]]:
+    """The ids of `transduce`, in the blocks that become final together."""
     hold = hold or 8 * m.lookahead
     base, before, last = 0, -1, []  # what is emitted ends at base, in token before; last[j]: last token of piece[:base + j + 1]
-    size, apart, total = m.size, m.apart, len(piece)
+    size, apart, total, reach, find = m.size, m.apart, len(piece), m.lookahead, m.inner.get
 
     def bounds(end: int) -> list[int]:
         out = [end]
@@ -154,16 +161,24 @@ def transduce(m: Merges, piece: str, hold: int | None = None) -> Iterator[int]:
         return out
 
     def taken(upto: int) -> list[int]:
-        return [last[end - base - 1] for end in reversed(bounds(upto)[:-1])]
+        out = []
+        while upto > base:
+            out.append(last[upto - base - 1])
+            upto -= size[out[-1]]
+        return out[::-1]
 
     for end in range(1, total + 1):
-        names, fits = m.final if end == total else m.inner, []
-        for start in range(end - 1, max(base, end - m.lookahead) - 1, -1):
-            token = names.get(piece[start:end])
+        if end == total:
+            find = m.final.get
+        fits, start = [], end - 1
+        stop = end - reach if end - reach > base else base
+        while start >= stop:
+            token = find(piece[start:end])
             if token is None:
                 break
             if token >= 0:
                 fits.append((start, token))
+            start -= 1
         for start, token in reversed(fits):
             ahead = last[start - base - 1] if start > base else before
             if ahead < 0 or apart[ahead << 32 | token]:
@@ -173,13 +188,13 @@ def transduce(m: Merges, piece: str, hold: int | None = None) -> Iterator[int]:
             raise ValueError("the merge list does not build its tokens from single symbols")
         if end - base >= hold and end < total:
             common = set(bounds(end))
-            for e in range(max(base + 1, end - m.lookahead + 1), end):
+            for e in range(max(base + 1, end - reach + 1), end):
                 common &= set(bounds(e))
             if (upto := max(common)) > base:
-                yield from (out := taken(upto))
+                yield (out := taken(upto))
                 del last[:upto - base]
                 base, before = upto, out[-1]
-    yield from taken(total)
+    yield taken(total)
 
 
 class Codec:
@@ -192,15 +207,15 @@ class Codec:
         self.names = {i: t for t, i in spec["model"]["vocab"].items()}
         self.names.update({t["id"]: t["content"] for t in spec["added_tokens"]})
         self.decoder = (spec.get("decoder") or {}).get("type")
-        self.piece = Cache(self.fresh, 150_000)
-        self.word = Cache(self.encode_word, 60_000)
+        self.piece = Cache(self.fresh, 120_000)
+        self.word = Cache(self.encode_word, 200_000)
 
     def fresh(self, piece: str) -> bytes:
-        return np.fromiter(transduce(self.merges, piece), "<u4").tobytes()
+        return b"".join([struct.pack(f"<{len(ids)}I", *ids) for ids in settled(self.merges, piece)])
 
     def encode_piece(self, piece: str | int) -> bytes:
         if isinstance(piece, int):
-            return np.array([piece], "<u4").tobytes()
+            return struct.pack("<I", piece)
         return self.piece[piece] if len(piece) <= CACHED_CHARS else self.fresh(piece)
 
     def encode_word(self, word: bytes) -> bytes:
