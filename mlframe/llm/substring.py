@@ -119,7 +119,9 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.hash(text).alias("th"), F.col(text).alias("text"))
     piece = materialize(rows.mapInArrow(_pieces, _sql(PIECE)), "db-pieces")
     live = piece.groupBy("m").agg(F.count("*").alias("c"), F.min("e").alias("lo"), F.max("e").alias("hi")).filter("c > 1")
-    piece = materialize(piece.join(live.select("m", (F.col("lo") != F.col("hi")).alias("open")), "m"), "db-live")
+    # stored, so that the join has plain exchanges on both sides and a minimizer with very many pieces can be split
+    live = materialize(live.select("m", (F.col("lo") != F.col("hi")).alias("open")), "db-often")
+    piece = materialize(piece.join(live, "m"), "db-live")
     first = F.min(F.struct("id", "th", "start"))
     kinds = piece.groupBy("m", "e").agg(F.count("*").alias("c"), F.first("n").alias("n"), first.alias("at"), F.first("open").alias("open"))
     kinds = materialize(kinds, "db-kinds")
