@@ -36,8 +36,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with a digest of the text decoded from them."""
-    coded = bpe.encode(docs.select("doc_id", "source", "text"), tokenizer_file()).drop("text")
-    back = bpe.decode(coded, tokenizer_file())
+    back = bpe.encode(docs.select("doc_id", "source", "text"), tokenizer_file(), decoded=True)
     return back.select("doc_id", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -208,7 +208,7 @@ class Codec:
         self.names.update({t["id"]: t["content"] for t in spec["added_tokens"]})
         self.decoder = (spec.get("decoder") or {}).get("type")
         self.piece = Cache(self.fresh, 120_000)
-        self.word = Cache(self.encode_word, 200_000)
+        self.word = Cache(self.encode_word, 100_000)
 
     def fresh(self, piece: str) -> bytes:
         return b"".join([struct.pack(f"<{len(ids)}I", *ids) for ids in settled(self.merges, piece)])
@@ -263,14 +263,19 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """`docs` with `ids` (binary, little-endian unsigned 32-bit) and `n_tokens` of each whole text; null counts as empty."""
+def encode(docs: DataFrame, path: str, text: str = "text", decoded: bool = False) -> DataFrame:
+    """`docs` with `ids` (binary, little-endian unsigned 32-bit) and `n_tokens` of each whole text; null counts as empty.
+
+    With `decoded`, also the text that these ids decode to, from the same pass: each function that maps
+    batches has Python workers of its own, and a second one would load the vocabulary once more.
+    """
     def run(texts: list[str | None]) -> list:
-        coded = [codec(path).encode(t) for t in texts]
-        return [coded, [len(c) // 4 for c in coded]]
+        coder = codec(path)
+        coded = [coder.encode(t) for t in texts]
+        return [coded, [len(c) // 4 for c in coded], *([[coder.decode(c) for c in coded]] if decoded else [])]
 
-    made = map_text(docs, text, run, {"ids": BINARY, "n_tokens": LONG})
-    return unpacked(made, docs, ids=F.col("ids"), n_tokens=F.col("n_tokens"))
+    fields = {"ids": BINARY, "n_tokens": LONG, **({"decoded": STRING} if decoded else {})}
+    return unpacked(map_text(docs, text, run, fields), docs, **{name: F.col(name) for name in fields})
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:

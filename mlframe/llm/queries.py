@@ -120,8 +120,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each document's ids and of the text decoded from them."""
-    coded = bpe.encode(documents(spark, sf_dir, "doc_id", "text"), tokenizer_file()).drop("text")
-    back = bpe.decode(coded, tokenizer_file())
+    back = bpe.encode(documents(spark, sf_dir, "doc_id", "text"), tokenizer_file(), decoded=True)
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
