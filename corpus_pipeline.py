@@ -19,8 +19,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go from all documents but the first."""
-    out = linededup.dedup_lines(docs)
+    """Repeated runs of lines go, to their true ends, from all documents but the first."""
+    out = linededup.dedup_runs(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

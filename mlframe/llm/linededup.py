@@ -9,6 +9,9 @@ occurrence but the first (smallest key, then position) is removed.
 The counts travel as hashes and are summed before the shuffle; only the text of repeated chunks moves.
 A chunk that a third of all documents share is one row per task after partial aggregation, and the join
 that marks its occurrences deals it over `SALTS` parts per repeated chunk.
+
+That is `dedup_lines`, the form with an SQL twin. It leaves what lies in no whole countable chunk:
+single-line chunks and the ends of a passage. `dedup_runs` removes repeated runs of lines whole.
 """
 
 from __future__ import annotations
@@ -92,3 +95,68 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     body = F.when(hit, F.array_join("ld_left", "\n")).otherwise(F.col("text"))
     cols = [(body if c == text else F.col(name)).alias(c) for c, name in at.items()]
     return cut.select(*cols, total.alias(fresh(docs, "n_lines")), gone_lines.alias(fresh(docs, "n_removed")))
+
+
+def _paired(df: DataFrame, text: str) -> DataFrame:
+    """`df` with ld_lines and ld_pairs, array<struct<lo, hi>>: neighbouring lines that are not blank, counted from 1."""
+    df = _once(df, "ld_lines", F.split(F.col(text), "\n", -1))
+    df = _once(df, "ld_full", F.filter(F.transform("ld_lines", lambda x, i: F.when(x.rlike(WORD), i + 1)), lambda i: i.isNotNull()))
+    size = F.greatest(F.size("ld_full") - 1, F.lit(0))
+    ends = F.slice("ld_full", F.lit(1), size), F.slice("ld_full", F.lit(2), size)
+    return _once(df, "ld_pairs", F.zip_with(*ends, lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))))
+
+
+def _lines(pair: Column) -> Column:
+    return F.slice("ld_lines", pair["lo"], pair["hi"] - pair["lo"] + 1)
+
+
+def removed_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(ld_id, ld_text, lines): the numbers of the lines to remove, per document that loses any. See `dedup_runs`.
+
+    Pairs are counted and marked by a hash of their lines alone; only for those whose hash repeats is the
+    text cut out, and pairs are equal if their bytes are.
+    """
+    df = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("ld_id"), F.xxhash64(text).alias("ld_text"), F.col(text).alias("text"))
+    slim = _paired(df, "text").select("ld_id", "ld_text", F.posexplode(F.transform("ld_pairs", lambda p: F.xxhash64(_lines(p)))).alias("no", "hash"))
+    often = materialize(slim.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "ld-often")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salt = F.pmod(F.xxhash64("ld_id", "no"), F.lit(SALTS)).cast("int")
+    marked = slim.withColumn("salt", salt).join(often.withColumn("salt", salts), ["hash", "salt"], "left_semi")
+    marked = materialize(marked.groupBy(F.col("ld_id").alias("m_id"), F.col("ld_text").alias("m_text")).agg(F.collect_set("no").alias("nos")), "ld-marked")
+    cut = _paired(df.join(marked, F.col("ld_id").eqNullSafe(F.col("m_id")) & (F.col("ld_text") == F.col("m_text"))), "text")
+    pair = F.transform("nos", lambda k: F.struct(k.alias("no"), F.get(F.col("ld_pairs"), k).alias("at")))
+    pair = F.transform(pair, lambda p: F.struct(p["no"].alias("no"), p["at"].alias("at"), F.array_join(_lines(p["at"]), "\n").alias("chunk")))
+    hits = cut.select("ld_id", "ld_text", F.explode(pair).alias("p")).select("ld_id", "ld_text", "p.no", "p.at", "p.chunk")
+    hits = materialize(hits.withColumn("hash", F.xxhash64("chunk")), "ld-hits")
+    place = F.struct(F.col("ld_id").isNotNull().alias("has"), F.col("ld_id"), F.col("ld_text"), F.col("no"))
+    first = hits.groupBy("hash", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    gone = hits.withColumns({"place": place, "salt": salt}).join(first.withColumn("salt", salts), ["hash", "chunk", "salt"])
+    same = F.col("ld_id").eqNullSafe(F.col("first.ld_id")) & (F.col("ld_text") == F.col("first.ld_text"))
+    # the pair next to the first one shares a line with it: "a a a" holds "a a" once
+    gone = gone.filter((F.col("place") != F.col("first")) & ~(same & (F.col("no") == F.col("first.no") + 1)))
+    return gone.groupBy("ld_id", "ld_text").agg(F.collect_set("at").alias("pairs")).select(
+        "ld_id", "ld_text", F.array_distinct(F.flatten(F.transform("pairs", lambda p: F.sequence(p["lo"], p["hi"])))).alias("lines"))
+
+
+def dedup_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` without the repeated runs of lines in `text`, plus `n_lines` and `n_removed` (long).
+
+    A line goes if it lies in a run of two or more lines that are not blank, with the blank lines between
+    them, whose bytes also stand earlier (smaller key, null first, then text hash, then place), not
+    overlapping. So every repeated run goes to its true ends, and the first occurrence of a line stays.
+    Any such run is made of pairs of neighbouring lines that stand earlier, so pairs are all that is looked
+    up. Null, empty and equal rows are treated as in `dedup_lines`.
+    """
+    gone = materialize(removed_pairs(docs, key, text), "ld-gone")
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    cut = docs.toDF(*at.values()).withColumns({"id": F.col(at[key]), "text": F.col(at[text]), "hash": F.xxhash64(at[text])})
+    cut = cut.join(gone, F.col("id").eqNullSafe(F.col("ld_id")) & (F.col("hash") == F.col("ld_text")), "left")
+    cut = _once(cut, "ld_lines", F.split("text", "\n", -1))
+    hit = F.col("lines").isNotNull()
+    left = F.array_except(F.sequence(F.lit(1), F.size("ld_lines")), F.col("lines"))
+    cut = _once(cut, "ld_left", F.when(hit, F.transform(left, lambda k: F.get(F.col("ld_lines"), k - 1))))
+    total = F.when(F.col("text").isNull(), 0).otherwise(F.size("ld_lines")).cast("long")
+    gone_lines = F.when(hit, F.size("lines")).otherwise(0).cast("long")
+    body = F.when(hit, F.array_join("ld_left", "\n")).otherwise(F.col("text"))
+    cols = [(body if c == text else F.col(name)).alias(c) for c, name in at.items()]
+    return cut.select(*cols, total.alias(fresh(docs, "n_lines")), gone_lines.alias(fresh(docs, "n_removed")))
