@@ -2,8 +2,8 @@
 
 A source's documents fall into blocks of about equal size by a hash of key and text, so the block
 number is a random permutation of the source. A source contributes its blocks whole, in that order,
-up to its target: every block in each full pass, a prefix in the last one, and at the edge single
-documents that still fit. The blocks a source gives are its exact quota. A binary tree over the
+up to its target: every block in each full pass, a prefix in the last one, and behind it every document
+that still fits, in order, to the end of the source. The blocks a source gives are its exact quota. A binary tree over the
 output shards then splits the vector of quotas: at each node the left half's share is one multivariate
 hypergeometric draw, so shards are random, disjoint and sum to the quotas. Inside a shard the
 documents are put in hash order.
@@ -27,7 +27,6 @@ from mlframe.llm.common import fresh, word_count
 from mlframe.session import materialize
 
 LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
-BEHIND, FILLERS = 7, 64  # blocks and documents looked at to fill the last gap
 
 
 @dataclass(frozen=True)
@@ -97,6 +96,7 @@ def planned(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
             size: str | None = None, spec: MixSpec = MixSpec()) -> tuple[DataFrame, pd.DataFrame, Names]:
     """(`docs` with their size and draws, the sources with size and target, names of the added columns).
 
+    What a source gives falls short of its target by less than the smallest document it could still give.
     A draw is (pass, shard); a document is in the mix once per draw. Null or empty text has size 0 and
     follows its block; a null source is a source of its own; an empty table gives an empty plan.
     `size` names a column to use in place of the word count.
@@ -140,63 +140,75 @@ def planned(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
     rng = np.random.default_rng(spec.seed)
     given, quota = [], np.zeros(len(cat), np.int64)
     for i in range(len(cat)):
-        b, more = int(cat["blocks"][i]), np.array(partial.get(i, []), np.int64).reshape(-1, 3)
+        b, more = int(cat["blocks"][i]), np.array(partial.get(i, []), np.int64).reshape(-1, 4)
         number = np.concatenate([np.tile(np.arange(b), full_pass[i]), np.arange(edge[i]), more[:, 0]])
         turn = np.concatenate([np.repeat(np.arange(full_pass[i]), b), np.full(edge[i] + len(more), full_pass[i])])
         whole = len(number) - len(more)
         low = np.concatenate([np.full(whole, LOWEST), more[:, 1]])
         high = np.concatenate([np.full(whole, HIGHEST), more[:, 2]])
+        most = np.concatenate([np.full(whole, HIGHEST), more[:, 3]])
         order = rng.permutation(len(number))
-        given.append((number[order], turn[order], low[order], high[order]))
+        given.append((number[order], turn[order], low[order], high[order], most[order]))
         quota[i] = len(number)
     shards = int(min(spec.max_shards, max(1, math.ceil(cat["target"].sum() / spec.shard_words)), max(1, quota.sum())))
     used, table = np.zeros(len(cat), np.int64), []
     for shard, (ids, counts) in enumerate(split_quotas(quota, shards, rng)):
         for i, c in zip(ids.tolist(), counts.tolist()):
-            number, turn, low, high = (x[used[i]:used[i] + c] for x in given[i])
-            table.append(pd.DataFrame({"b_no": i, "b_block": number, "b_pass": turn, "b_shard": shard, "b_low": low, "b_high": high}))
+            number, turn, low, high, most = (x[used[i]:used[i] + c] for x in given[i])
+            table.append(pd.DataFrame({"b_no": i, "b_block": number, "b_pass": turn, "b_shard": shard, "b_low": low, "b_high": high, "b_most": most}))
             used[i] += c
-    schema = "b_no int, b_block long, b_pass int, b_shard int, b_low long, b_high long"
+    schema = "b_no int, b_block long, b_pass int, b_shard int, b_low long, b_high long, b_most long"
     table = spark.createDataFrame(pd.concat(table), schema) if table else spark.createDataFrame([], schema)
-    table = table.groupBy("b_no", "b_block").agg(F.sort_array(F.collect_list(F.struct("b_pass", "b_shard", "b_low", "b_high"))).alias("b_draws"))
+    table = table.groupBy("b_no", "b_block").agg(F.sort_array(F.collect_list(F.struct("b_pass", "b_shard", "b_low", "b_high", "b_most"))).alias("b_draws"))
 
     out = placed(full, source, n.hash, n.no, n.block)
     out = out.join(F.broadcast(table), (F.col(n.no) == F.col("b_no")) & (F.col(n.block) == F.col("b_block")), "left")
-    kept = F.filter("b_draws", lambda d: F.col(n.hash).between(d["b_low"], d["b_high"]))
+    kept = F.filter("b_draws", lambda d: F.col(n.hash).between(d["b_low"], d["b_high"]) & (F.coalesce(n.size, F.lit(0)) <= d["b_most"]))
     draws = F.transform(kept, lambda d: F.struct(d["b_pass"].alias("pass"), d["b_shard"].alias("shard")))
     out = out.withColumn(n.draws, F.coalesce(draws, F.array().cast("array<struct<pass:int,shard:int>>")))
     cat.attrs["shards"] = shards
     return out.drop("b_no", "b_block", "b_draws"), cat, n
 
 
-def _edge_parts(blocks: DataFrame, at: list[tuple[int, int, float]]) -> dict[int, list[tuple[int, int, int]]]:
-    """(block, lowest hash, highest hash) of what each source gives beyond its whole blocks.
+def _edge_parts(blocks: DataFrame, at: list[tuple[int, int, float]]) -> dict[int, list[tuple[int, int, int, int]]]:
+    """(block, lowest hash, highest hash, largest size) of what each source gives beyond its whole blocks.
 
-    Of the edge block the longest prefix that fits, then up to `FILLERS` single documents, in order, from
-    the rest of it and the blocks behind it that still fit. So a very long document at the edge is passed over.
+    The order goes on from the edge block, over documents that fit the gap alone: whole blocks of them, then of the
+    block that is too much the longest prefix. The document behind that is passed over, and the rest of the
+    order is gone through again with the smaller gap, until nothing in it fits.
     """
-    if not at:
-        return {}
-    edges = blocks.sparkSession.createDataFrame(at, "e_no int, e_block long, e_words double")
-    near = F.col("block").between(F.col("e_block"), F.col("e_block") + BEHIND)
-    rows = blocks.join(F.broadcast(edges), (F.col("no") == F.col("e_no")) & near)
-    rows = materialize(rows.groupBy("no", "block", "h", "e_block", "e_words").agg(F.sum("size").alias("size")), "mix-edge")
-    order = Window.partitionBy("no").orderBy("h")
-    upto = rows.filter("block = e_block").withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    prefix = upto.filter("upto <= e_words").groupBy("no").agg(F.max("h").alias("h"), F.max("upto").alias("words")).collect()
-    prefix = {r.no: (r.h, r.words) for r in prefix}
-    gap = {i: w - prefix.get(i, (0, 0))[1] for i, _, w in at}
-    cuts = [(i, prefix[i][0] if i in prefix else None, gap[i]) for i in gap]
-    cut = F.broadcast(blocks.sparkSession.createDataFrame(cuts, "c_no int, c_h long, c_gap double"))
-    free = (F.col("block") > F.col("e_block")) | F.col("c_h").isNull() | (F.col("h") > F.col("c_h"))
-    fit = rows.join(cut, F.col("no") == F.col("c_no")).filter(free & (F.col("size") > 0) & (F.col("size") <= F.col("c_gap")))
-    nth = F.row_number().over(Window.partitionBy("no").orderBy("block", "h"))
-    fit = fit.withColumn("nth", nth).filter(F.col("nth") <= FILLERS).select("no", "block", "h", "size", "nth").collect()
-    out = {i: [(e, LOWEST, prefix[i][0])] for i, e, _ in at if i in prefix}
-    for r in sorted(fit, key=lambda r: (r.no, r.nth)):
-        if r["size"] <= gap[r.no]:
-            gap[r.no] -= r["size"]
-            out.setdefault(r.no, []).append((r.block, r.h, r.h))
+    spark, out = blocks.sparkSession, {}
+    open_ = {i: (e, LOWEST, words) for i, e, words in at}
+    sized = blocks.filter("size > 0")
+    while open_:
+        rows = [(i, e, h, math.floor(gap)) for i, (e, h, gap) in open_.items()]
+        state = F.broadcast(spark.createDataFrame(rows, "e_no int, e_block long, e_h long, e_most long"))
+        behind = (F.col("block") > F.col("e_block")) | ((F.col("block") == F.col("e_block")) & (F.col("h") >= F.col("e_h")))
+        fit = sized.join(state, F.col("no") == F.col("e_no")).filter(behind & (F.col("size") <= F.col("e_most")))
+        got = fit.groupBy("no", "block").agg(F.sum("size").alias("size")).toPandas().sort_values(["no", "block"])
+        cuts = []
+        for i, of in got.groupby("no"):
+            e, h, gap = open_[i]
+            number, sums = of["block"].to_numpy(np.int64), np.cumsum(of["size"].to_numpy(np.int64))
+            whole = int(np.searchsorted(sums, gap, side="right"))
+            out.setdefault(i, []).extend((int(b), h if b == e else LOWEST, HIGHEST, math.floor(gap)) for b in number[:whole])
+            if whole < len(number):
+                cuts.append((int(i), int(number[whole]), float(gap - (sums[whole - 1] if whole else 0))))
+        before, open_ = open_, {}
+        if not cuts:
+            break
+        cut = F.broadcast(spark.createDataFrame(cuts, "c_no int, c_block long, c_gap double"))
+        edge = fit.join(cut, (F.col("no") == F.col("c_no")) & (F.col("block") == F.col("c_block")))
+        edge = edge.groupBy("no", "h", "c_gap").agg(F.sum("size").alias("size"))
+        order = Window.partitionBy("no").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+        edge = edge.withColumn("upto", F.sum("size").over(order)).withColumn("fits", F.col("upto") <= F.col("c_gap"))
+        ends = edge.groupBy("no").agg(F.max(F.when(F.col("fits"), F.col("upto"))).alias("words"), F.min(F.when(~F.col("fits"), F.col("h"))).alias("h"))
+        ends = {r.no: (r.words, r.h) for r in ends.collect()}
+        for i, b, gap in cuts:
+            (e, h, first), (words, stop) = before[i], ends[i]
+            if words:
+                out.setdefault(i, []).append((b, h if b == e else LOWEST, stop - 1, math.floor(first)))
+            open_[i] = (b, stop + 1, gap - (words or 0)) if stop < HIGHEST else (b + 1, LOWEST, gap - (words or 0))
     return out
 
 
