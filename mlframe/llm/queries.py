@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mlframe.llm import bpe, langid, linededup, mix, neardup, quality, secrets, substring, tokens, topk
+from mlframe.llm import bpe, langid, linededup, mix, neardup, pq, quality, secrets, substring, tokens, topk, whiten
 from mlframe.llm.common import documents
-from mlframe.session import scratch_path
+from mlframe.llm.vectors import with_group_total
+from mlframe.session import materialize, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +130,55 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that lie in spans which stand elsewhere too, with a digest of the rest."""
     out = substring.cut_spans(documents(spark, sf_dir, "doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def embeddings(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(*cols)
+
+
+@query
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product-quantisation code of each vector, its error and the error of its label."""
+    vectors = embeddings(spark, sf_dir, "vec_id", "embedding", "label")
+    books = pq.fit(vectors)
+    coded = materialize(pq.compress(vectors, books).select("vec_id", "code", "error", "label"), "codes")
+    out = with_group_total(coded, "label", "error", "label_error", lambda df: materialize(df, "label-errors"))
+    return out.select("vec_id", "code", "error", "label_error", F.lit(books.digest() if books else None).alias("codebooks_sha256"))
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Plain assignment to all entries, round by round."""
+    near = ("SELECT vec_id, part, min_by(entry, (d, entry)) AS entry, min(d) AS d FROM (SELECT p.vec_id, p.part, b.entry, "
+            "list_sum(list_transform(list_zip(p.x, b.y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM p JOIN {b} b USING (part)) GROUP BY ALL")
+    ctes = ["k AS MATERIALIZED (SELECT vec_id, label, [floor(1024 * c::DOUBLE)::BIGINT FOR c IN embedding] AS v FROM embeddings "
+            "WHERE embedding IS NOT NULL AND len([1 FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0)",
+            "p AS MATERIALIZED (SELECT vec_id, part, v[part * (len(v) // 4) + 1:(part + 1) * (len(v) // 4)] AS x FROM k, range(4) r(part))",
+            "f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k QUALIFY entry < 256)",
+            "b0 AS MATERIALIZED (SELECT part, entry, x AS y FROM p JOIN f USING (vec_id))"]
+    for i in range(rounds):
+        ctes += [f"a{i} AS MATERIALIZED ({near.format(b=f'b{i}')})",
+                 f"c{i} AS (SELECT part, entry, i, floor(sum(x[i])::DOUBLE / count(*))::BIGINT AS m FROM a{i} JOIN p USING (vec_id, part), "
+                 "(SELECT unnest(range(1, (SELECT max(len(x)) FROM p) + 1)) AS i) GROUP BY ALL)",
+                 f"m{i} AS (SELECT part, entry, list(m ORDER BY i) AS y FROM c{i} GROUP BY ALL)",
+                 f"b{i + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{i}.y, b{i}.y) AS y FROM b{i} LEFT JOIN m{i} USING (part, entry))"]
+    ctes += [f"a{rounds} AS MATERIALIZED ({near.format(b=f'b{rounds}')})",
+             f"e AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)",
+             "l AS (SELECT label, sum(error)::BIGINT AS label_error FROM e JOIN k USING (vec_id) GROUP BY label)",
+             f"h AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})"]
+    return (f"WITH {', '.join(ctes)} SELECT vec_id, code, error, label_error, codebooks_sha256 "
+            "FROM e JOIN k USING (vec_id) JOIN l ON l.label IS NOT DISTINCT FROM k.label, h")
+
+
+ORACLES["op11_codes"] = _codes_sql()
+
+
+@query
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coordinates of each vector on the 32 leading components, scaled to variance one."""
+    vectors = embeddings(spark, sf_dir, "vec_id", "embedding")
+    fitted = whiten.fit(vectors)
+    rows = whiten.whitened(vectors, fitted).select("vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened"))
+    shares = [float(v) / fitted.trace for v in fitted.values] if fitted else []
+    return rows.select("vec_id", (F.col("place") + 1).alias("component"), F.lit(fitted.n if fitted else 0).cast("long").alias("n"), "deviation", "whitened",
+                       F.get(F.array(*map(F.lit, shares)).cast("array<double>"), F.col("place")).alias("explained"),
+                       F.lit(fitted.identity_error if fitted else None).cast("double").alias("identity_error"))
