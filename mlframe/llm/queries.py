@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mlframe.llm import bpe, langid, linededup, mix, neardup, pq, quality, secrets, substring, tokens, topk, whiten
+from mlframe.llm import bpe, langid, linededup, mix, neardup, pq, quality, secrets, substring, tokens, topk, toxicity, whiten
 from mlframe.llm.common import documents
 from mlframe.llm.vectors import with_group_total
 from mlframe.session import materialize, scratch_path
@@ -182,3 +182,12 @@ def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", (F.col("place") + 1).alias("component"), F.lit(fitted.n if fitted else 0).cast("long").alias("n"), "deviation", "whitened",
                        F.get(F.array(*map(F.lit, shares)).cast("array<double>"), F.col("place")).alias("explained"),
                        F.lit(fitted.identity_error if fitted else None).cast("double").alias("identity_error"))
+
+
+@query
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document, with whether its label was held out from learning."""
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels, training_rows()))
+    return scored.select("doc_id", (~training_rows()).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
