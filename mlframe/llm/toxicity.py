@@ -3,10 +3,10 @@
 Only texts confirmed as toxic are taken as labelled; everything else, a sample of all texts, is unlabelled and holds
 toxic ones at the rate of the class prior. A text is the set of its hashed words, word beginnings and 5-grams of
 letters. Two learners share the corrected risk: each feature gets log odds against the unlabelled frequency with the
-prior's share of positives taken off (never below nothing), and a small network on the strongest odds of a text
-minimises prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)); where the difference turns negative the step goes the
+prior's share of positives taken off (never below nothing), a word has the mean of its strongest odds, and a small
+network on the strongest words of a text minimises prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)); where the difference turns negative the step goes the
 other way, so that the network cannot fit the unlabelled toxic texts as clean. Texts that the network learns from
-are read with odds from the other folds of the sample.
+are read with odds from the other folds of the sample; any text gets the mean score over the odds of all folds.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 GRAM = 5
 STARTS = (3, 4, 5, 6)
 LONG_WORD = 64  # longer words are not kept in the cache
-POOLS = (1, 2, 3, 5, 10, 20)
+POOLS = (1, 2, 3, 5, 10)
+STRONGEST = 5  # features that speak for a word
 WIDTH = len(POOLS) + 3
 SMOOTH = 0.5
 FOLDS = 4  # folds of the sample
@@ -64,16 +65,27 @@ def text_features(text: str | None) -> np.ndarray:
     return np.unique(np.concatenate([_features[w] if len(w) <= LONG_WORD else _word_features(w) for w in words]))
 
 
-def pooled(odds: np.ndarray, features: np.ndarray) -> np.ndarray:
-    """What the network sees of a text: means of its strongest log odds, how many features it has and how many point to toxic."""
-    out = np.zeros(WIDTH)
-    if len(features):
-        mine = odds[features]
-        most = min(len(mine), POOLS[-1])
-        top = -np.sort(-(np.partition(mine, len(mine) - most)[len(mine) - most:]))
-        out[:len(POOLS)] = [top[:k].mean() for k in POOLS]
-        out[-3:] = np.log1p(len(mine)), np.log1p((mine > 1).sum()), np.log1p((mine > 3).sum())
-    return out
+class Words:
+    """The distinct words of texts, each by the mean of its strongest log odds, in every one of the given tables of odds."""
+
+    def __init__(self, odds: list[np.ndarray]):
+        self.odds = np.stack(odds, axis=1)
+        self.cache = Cache(self.word, 200_000)
+
+    def word(self, word: str) -> tuple[float, ...]:
+        mine = np.sort(self.odds[_word_features(word)], axis=0)[-STRONGEST:]
+        return tuple(mine.mean(axis=0).tolist())
+
+    def pooled(self, text: str | None) -> np.ndarray | None:
+        """What the network sees of a text, a row per table of odds: means of its strongest words, how many it has, how many point to toxic."""
+        words = set(LETTERS.findall((text or "").lower()))
+        if not words:
+            return None
+        mine = np.array([self.cache[w] if len(w) <= LONG_WORD else self.word(w) for w in words]).T
+        most = min(len(words), POOLS[-1])
+        top = -np.sort(-np.partition(mine, len(words) - most, axis=1)[:, len(words) - most:], axis=1)
+        some = [np.full(len(mine), len(words)), (mine > 1).sum(axis=1), (mine > 3).sum(axis=1)]
+        return np.column_stack([*(top[:, :k].mean(axis=1) for k in POOLS), *map(np.log1p, some)])
 
 
 def log_odds(positive: np.ndarray, n_positive: int, unlabelled: np.ndarray, n_unlabelled: int, prior: float) -> np.ndarray:
@@ -136,17 +148,20 @@ class Model:
     """What scoring needs; without odds (no confirmed toxic text) every text gets the prior."""
 
     prior: float
-    odds: np.ndarray | None = None
+    odds: list[np.ndarray] | None = None
     network: Network | None = None
+    words: Words | None = field(default=None, compare=False)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         out = np.full(len(texts), self.prior)
         if self.odds is None:
             return out
-        found = [text_features(t) for t in texts]
-        some = [i for i, f in enumerate(found) if len(f)]
+        if self.words is None:
+            object.__setattr__(self, "words", Words(self.odds))  # once a worker
+        found = [self.words.pooled(t) for t in texts]
+        some = [i for i, f in enumerate(found) if f is not None]
         if some:
-            out[some] = self.network.score(np.stack([pooled(self.odds, found[i]) for i in some]))
+            out[some] = self.network.score(np.concatenate([found[i] for i in some])).reshape(len(some), -1).mean(axis=1)
         return out
 
 
@@ -172,9 +187,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pooled_rows(odds: list[np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = [Words([o]) for o in odds]
         for batch in batches:
             _, fold, text = (batch.column(i).to_pylist() for i in range(3))
-            x = [pooled(odds[f], text_features(t)).tolist() for f, t in zip(fold, text)]
+            x = [[0.0] * WIDTH if (p := words[f].pooled(t)) is None else p[0].tolist() for f, t in zip(fold, text)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["kind", "x"])
     return run
 
@@ -225,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: Sample | Non
     order = np.lexsort((*x.T, kind))  # the same sums in every run
     x, kind = x[order], kind[order]
     network = Network().fit(x[kind == 1], x[kind == 0], prior)
-    return Model(prior, odds(list(range(FOLDS))), network)
+    return Model(prior, held_out, network)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -234,6 +250,6 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     A null or empty text and one without a letter get the class prior, as every text does if nothing toxic was confirmed.
     Repeated texts score alike; very long ones count each feature once; other columns pass through whatever their names.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)  # some 4 MB
+    held = docs.sparkSession.sparkContext.broadcast(model)  # some 16 MB
     fields = {"score": DOUBLE}
     return unpacked(map_text(docs, text, lambda texts: [held.value.score(texts)], fields), docs, score=F.col("score"))

@@ -25,7 +25,7 @@ def test_equals_sql(spark, name):
     assert compare(QUERIES[name](spark, FOLDER), connect(FOLDER), ORACLES[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"op7_topk"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"op7_topk", "op12_whiten"}))
 def test_one_row_per_document(spark, table, name):
     assert sorted(r.doc_id for r in QUERIES[name](spark, FOLDER).collect()) == sorted(table.doc_id)
 
