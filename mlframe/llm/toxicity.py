@@ -99,10 +99,10 @@ def log_odds(positive: np.ndarray, n_positive: int, unlabelled: np.ndarray, n_un
 class Network:
     """One hidden layer, trained on the non-negative risk by Adam on the whole sample."""
 
-    hidden: int = 12
+    hidden: int = 6
     steps: int = 1500
     rate: float = 0.02
-    decay: float = 1e-4
+    decay: float = 1e-3
     seed: int = 1
     weights: list[np.ndarray] = field(default_factory=list)
     mean: np.ndarray | None = None
