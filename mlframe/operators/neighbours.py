@@ -1,173 +1,239 @@
-"""Exact nearest neighbours as a distributed block join.
+"""Exact nearest neighbours by a ball tree and a distributed block join.
 
-Rows are assigned to their closest pivot (a bounded sample of the training rows). The
-triangle inequality on pivot distances rules out cell pairs that cannot hold a
-neighbour. What is left is cut into blocks of bounded size; each block pair is one
-co-group whose distances are computed with NumPy, and only its k best per query leave it.
+The training rows form a ball tree (see `balltree`), the query rows are sent down to the leaf they would lie in. The first
+round compares each query with its own leaf and so finds a k-th distance close to the final one. The second round walks
+the tree with blocks of queries: a cell is entered only if its ball reaches into the k-th distance of some query of the
+block. A block that meets a leaf is one row of work for a task: queries too far from the leaf are passed over, the rest is
+a matrix product, and only its k best per query leave the task.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mlframe.operators.ordering import hash_index, md5_int
+from mlframe.operators.balltree import BallTree, finite, grow, lists, root_of
 from mlframe.session import materialize
 
-MAX_PIVOTS = 1024
-
-
-def _pivots(train: DataFrame, key: str, vec: str, group: str, block: int) -> tuple[list, np.ndarray]:
-    """(groups, vectors) of the pivots: about one per block, at most MAX_PIVOTS in all."""
-    sizes = {r[0]: r[1] for r in train.groupBy(group).count().collect()}
-    if len(sizes) > MAX_PIVOTS:
-        raise ValueError(f"more than {MAX_PIVOTS} groups in {group}")
-    total = sum(sizes.values())
-    share = {g: max(1, min(math.ceil(n / block), int(MAX_PIVOTS * n / total))) for g, n in sizes.items()}
-    numbered = hash_index(train.select(key, vec, group), key, 0, "_n", [group])
-    table = train.sparkSession.createDataFrame(
-        list(share.items()), T.StructType([train.schema[group], T.StructField("_m", T.IntegerType())]))
-    numbered = numbered.join(F.broadcast(table), group)
-    rows = numbered.filter(F.col("_n") <= F.col("_m")).select(group, vec, "_n").collect()
-    rows.sort(key=lambda r: (str(r[0]), r["_n"]))
-    return [r[0] for r in rows], np.array([r[1] for r in rows], dtype=float)
-
-
-def _assign(df: DataFrame, vec: str, group: str, groups: list, pivots: np.ndarray) -> DataFrame:
-    """Add `_cell`, the closest pivot of the row's group, and `_dist` to it (no row without a pivot)."""
-    by_group: dict = {}
-    for i, g in enumerate(groups):
-        by_group.setdefault(g, []).append(i)
-
-    def closest(batches):
-        for pdf in batches:
-            cell = np.full(len(pdf), -1)
-            dist = np.zeros(len(pdf))
-            for g, at in pdf.groupby(group, sort=False).indices.items():
-                mine = by_group.get(g)
-                if mine is None:
+BLOCK = 1024
+PAIRS = 1 << 16  # pairs of rows measured at a time
+LOOSE, TINY = 1 + 1e-9, 1e-12  # bounds are taken a little wider than computed
+EPS = np.finfo(float).eps
+
+
+def k_best(queries: np.ndarray, reach: np.ndarray, rows: np.ndarray, k: int, spare: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) places of at least the k + spare closest rows of each query within its `reach`.
+
+    Distances come from a matrix product first; what may belong to the best is measured again, plainly.
+    """
+    shift = rows.mean(axis=0)
+    a, b = queries - shift, rows - shift
+    aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    rough = aa[:, None] + bb[None, :] - 2 * (a @ b.T)
+    slack = 8 * (rows.shape[1] + 8) * EPS * (np.sqrt(aa) + np.sqrt(bb.max(initial=0.0))) ** 2
+    need = min(k + spare, len(rows))
+    kth = np.partition(rough, need - 1, axis=1)[:, need - 1]
+    limit = np.minimum(kth, (reach * LOOSE + TINY) ** 2) + 2 * slack
+    at, place = np.nonzero(rough <= limit[:, None])
+    gaps = [np.sqrt(((queries[at[lo:lo + PAIRS]] - rows[place[lo:lo + PAIRS]]) ** 2).sum(axis=1)) for lo in range(0, len(at), PAIRS)]
+    return at, place, np.concatenate(gaps) if gaps else np.zeros(0)
+
+
+def _first_k(at: np.ndarray, place: np.ndarray, gap: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k smallest (gap, place) of each query, by query and rank."""
+    order = np.lexsort((place, gap, at))
+    start = np.searchsorted(at[order], at[order])
+    return order[np.arange(len(order)) - start < k]
+
+
+def _compare(k: int, exclude_self: bool):
+    """Blocks of queries against blocks of rows; see `_meet` for the columns."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                get = lambda name: batch.column(name)[i].values  # noqa: B023, E731
+                q_ids, t_ids, carry = get("q_ids"), get("t_ids"), get("t_carry")
+                y = get("q_cells").to_numpy(zero_copy_only=False).reshape(len(q_ids), -1)
+                x = get("t_cells").to_numpy(zero_copy_only=False).reshape(len(t_ids), -1)
+                reach = get("q_reach").to_numpy(zero_copy_only=False)
+                centre, radius = get("centre").to_numpy(zero_copy_only=False), batch.column("radius")[i].as_py()
+                near = np.flatnonzero(~(np.sqrt(((y - centre) ** 2).sum(axis=1)) - radius > reach * LOOSE + TINY))
+                if not len(near):
                     continue
-                x = np.stack(pdf[vec].to_numpy()[at]).astype(float)
-                best = np.full(len(at), np.inf)
-                which = np.zeros(len(at), dtype=int)
-                for i in mine:
-                    d = np.sqrt(((x - pivots[i]) ** 2).sum(axis=1))
-                    closer = d < best
-                    best[closer], which[closer] = d[closer], i
-                cell[at], dist[at] = which, best
-            out = pdf.assign(_cell=cell, _dist=dist)
-            yield out[out["_cell"] >= 0]
-
-    schema = T.StructType([*df.schema.fields, T.StructField("_cell", T.IntegerType()),
-                           T.StructField("_dist", T.DoubleType())])
-    return df.mapInPandas(closest, schema)
-
-
-def _cell_pairs(tstats, qstats, near, groups, pivots, k, block):
-    """(query cell, train cell, query blocks, train blocks) that may hold a k-th neighbour."""
-    pairs = []
-    by_group: dict = {}
-    for c in tstats:
-        by_group.setdefault(groups[c], []).append(c)
-    for a, (nq, rq) in qstats.items():
-        cells = by_group.get(groups[a], [])
-        gap = {c: float(np.sqrt(((pivots[a] - pivots[c]) ** 2).sum())) for c in cells}
-        bound = sorted(gap[c] + s for c in cells for s in near[c])[:k]
-        reach = rq + bound[-1] if len(bound) == k else math.inf
-        for c in cells:
-            nt, rt = tstats[c]
-            if gap[c] - rq - rt <= reach * (1 + 1e-9) + 1e-12:
-                pairs.append((a, c, math.ceil(nq / block), math.ceil(nt / block)))
-    return pairs
+                by_key = pc.sort_indices(t_ids).to_numpy()  # equal distances go to the smaller key
+                at, place, gap = k_best(y[near], reach[near], x[by_key], k, int(exclude_self))
+                at, place = near[at], by_key[place]
+                if exclude_self:
+                    other = ~pc.equal(q_ids.take(pa.array(at)), t_ids.take(pa.array(place))).to_numpy(zero_copy_only=False).astype(bool)
+                    at, place, gap = at[other], place[other], gap[other]
+                rank = np.empty(len(by_key), np.int64)
+                rank[by_key] = np.arange(len(by_key))
+                best = _first_k(at, rank[place], gap, k)
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(at[best])), t_ids.take(pa.array(place[best])), pa.array(gap[best]),
+                                                  carry.take(pa.array(place[best]))], ["id", "neighbour", "distance", "carry"])
+    return run
+
+
+def _blocks(rows: DataFrame, block: int, *values: str) -> DataFrame:
+    """Rows of a cell side by side, about `block` of them a row: (cell, part, ids, cells, n, one array per value)."""
+    crowded = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")).filter("parts > 1")
+    parted = rows.join(crowded, "cell", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int"))
+    m = F.collect_list(F.struct("id", "v", *values)).alias("m")
+    return parted.groupBy("cell", "part").agg(m, F.count(F.lit(1)).alias("n")).select(
+        "cell", "part", "n", F.col("m.id").alias("ids"), F.flatten("m.v").alias("cells"), *[F.col(f"m.{v}").alias(v) for v in values])
+
+
+def _walk(need: int):
+    """One step down the tree for blocks of queries; children that no query of the block reaches end here.
+
+    Queries with a k-th distance give the block its `near` reach from its centre. The others are bounded by the balls
+    that together hold enough rows: `bound` from the centre, twice their own distance to it (`far`) on top.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keep, names, leaf, bounds = [], [], [], []
+            far, near, bound = (batch.column(c).to_pylist() for c in ("far", "near", "bound"))
+            for i in range(batch.num_rows):
+                centre = batch.column("middle")[i].values.to_numpy(zero_copy_only=False)
+                balls = batch.column("balls")[i].values
+                radius, n = (balls.field(c).to_numpy(zero_copy_only=False) for c in ("radius", "n"))
+                gap = np.sqrt(((lists(balls.field("centre")) - centre) ** 2).sum(axis=1))
+                order = np.argsort(gap + radius, kind="stable")
+                enough = np.flatnonzero(np.cumsum(n[order]) >= need)
+                if len(enough):
+                    bound[i] = min(bound[i], float((gap + radius)[order[enough[0]]]))
+                reach = max(near[i], far[i] + bound[i])
+                into = np.flatnonzero(~(gap - radius > reach * LOOSE + TINY))
+                keep += [i] * len(into)
+                bounds += [bound[i]] * len(into)
+                names.append(balls.field("cell").take(pa.array(into)))
+                leaf.append(balls.field("leaf").take(pa.array(into)))
+            at = pa.array(keep, pa.int64())
+            kept = [batch.column(c).take(at) for c in ("home", "q_part", "middle", "near", "far")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(bounds, pa.float64()), pa.concat_arrays(names), pa.concat_arrays(leaf)],
+                                             ["home", "q_part", "middle", "near", "far", "bound", "node", "leaf"])
+    return run
+
+
+_STEP = "home string, q_part int, middle array<double>, near double, far double, bound double, node string, leaf boolean"
+
+
+def visits(tree: BallTree, blocks: DataFrame, need: int) -> DataFrame:
+    """(home, q_part, cell): the leaves beside its own that a block of queries has to be compared with."""
+    front = blocks.select(F.col("cell").alias("home"), F.col("part").alias("q_part"), "middle", "near", "far",
+                          F.lit(float("inf")).alias("bound"), F.substring_index("cell", "/", 1).alias("node"))
+    found = None
+    for children in tree.children:
+        balls = children.groupBy(F.col("parent").alias("node")).agg(F.collect_list(F.struct("cell", "centre", "radius", "n", "leaf")).alias("balls"))
+        step = materialize(front.join(balls, "node").mapInArrow(_walk(need), _STEP), "tree-walk")
+        met = step.filter(F.col("leaf") & (F.col("node") != F.col("home"))).select("home", "q_part", F.col("node").alias("cell"))
+        found = met if found is None else found.unionByName(met)
+        front = step.filter(~F.col("leaf")).drop("leaf")
+    return found
+
+
+class Search:
+    """The k closest training rows of each query row, in two rounds; `visits` and the blocks tell what the second one compares."""
+
+    def __init__(self, train: DataFrame, query: DataFrame, key: str, vec: str, k: int, within: str | None, exclude_self: bool,
+                 carry: Sequence[str], block: int):
+        self.k, self.exclude_self = k, exclude_self
+        taken = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]) if carry else F.struct(F.lit(0).alias("none"))
+
+        def side(df: DataFrame, *more: Column) -> DataFrame:
+            rows = df.select(root_of(within).alias("cell"), F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("v"), *more)
+            return rows.filter(finite("v"))
+
+        self.tree = grow(side(train, taken.alias("carry")), block)
+        asked = side(query).withColumn("dist", F.lit(None).cast("double"))
+        asked = materialize(self.tree.place(asked, self.tree.rows), "placed")
+        self.found = T.StructType([T.StructField("id", query.schema[key].dataType), T.StructField("neighbour", train.schema[key].dataType),
+                                   T.StructField("distance", T.DoubleType()), T.StructField("carry", self.tree.leaves.schema["carry"].dataType)])
+        cells = None
+        for c in self.tree.children:
+            part = c.filter("leaf").select("cell", "centre", "radius", F.col("n").alias("rows"))
+            cells = part if cells is None else cells.unionByName(part)
+        if cells is None:  # no training row
+            self.t_blocks = self.q_blocks = self.visits = None
+            self.first = train.sparkSession.createDataFrame([], self.found)
+            return
+        rows, spare = self.tree.leaves, k + int(exclude_self)
+        copies = cells.filter((F.col("radius") == 0) & (F.col("rows") > spare)).select("cell")
+        if not copies.isEmpty():  # equal rows are equally far from any query, which can want no more than the smallest keys
+            smallest = F.row_number().over(Window.partitionBy("cell").orderBy("id"))
+            few = rows.join(copies, "cell", "left_semi").withColumn("copy", smallest).filter(F.col("copy") <= spare).drop("copy")
+            rows = rows.join(copies, "cell", "left_anti").unionByName(few)
+        self.t_blocks = materialize(_blocks(rows, block, "carry").join(cells, "cell"), "row-blocks")
+        open_ended = asked.withColumn("reach", F.lit(float("inf")))
+        own = _blocks(open_ended, block, "reach").withColumn("home", F.col("cell"))
+        self.first = materialize(self._best(self._meet(own)), "own-leaf")
+        kth = self.first.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("kth")).filter(F.col("n") >= k).drop("n")
+        carried = asked.join(kth, "id", "left").withColumn("reach", F.coalesce("kth", F.lit(float("inf"))))
+        blocks = _blocks(carried.drop("kth"), block, "dist", "reach")
+        closed = F.zip_with("dist", "reach", lambda d, r: F.when(r < float("inf"), d + r))
+        still = F.zip_with("dist", "reach", lambda d, r: F.when(r < float("inf"), None).otherwise(2 * d))
+        lowest = F.lit(float("-inf"))
+        blocks = blocks.join(cells.select("cell", F.col("centre").alias("middle")), "cell").withColumns({
+            "near": F.coalesce(F.array_max(closed), lowest), "far": F.coalesce(F.array_max(still), lowest)})
+        self.q_blocks = materialize(blocks, "query-blocks")
+        self.visits = visits(self.tree, self.q_blocks, k + int(exclude_self))
+
+    def _meet(self, queries: DataFrame) -> DataFrame:
+        """Query blocks (with the `cell` to compare with) beside the row blocks of that cell, compared in the tasks."""
+        q = queries.select("cell", F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"), F.col("reach").alias("q_reach"))
+        t = self.t_blocks.select("cell", F.col("ids").alias("t_ids"), F.col("cells").alias("t_cells"), F.col("carry").alias("t_carry"), "centre", "radius")
+        return q.join(t, "cell").drop("cell").mapInArrow(_compare(self.k, self.exclude_self), self.found)
+
+    def _best(self, found: DataFrame) -> DataFrame:
+        order = Window.partitionBy("id").orderBy("distance", "neighbour")
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= self.k)
+
+    def result(self) -> DataFrame:
+        """(id, neighbour, distance, carry, rank), rows with at least one neighbour."""
+        if self.visits is None:
+            return self._best(self.first)
+        asked = self.q_blocks.select(F.col("cell").alias("home"), F.col("part").alias("q_part"), "ids", "cells", "reach")
+        second = self._meet(self.visits.join(asked, ["home", "q_part"]))
+        return self._best(self.first.drop("rank").unionByName(second))
+
+    def row_pairs(self) -> tuple[int, int]:
+        """(pairs of rows in blocks that meet, all pairs of a query and a training row of the tree)."""
+        if self.visits is None:
+            return 0, 0
+        t = self.t_blocks.groupBy("cell").agg(F.sum("n").alias("rows"))
+        q = self.q_blocks.select(F.col("cell").alias("home"), F.col("part").alias("q_part"), F.col("n").alias("asked"))
+        own = q.join(t, F.col("home") == F.col("cell")).select("asked", "rows")
+        others = self.visits.join(q, ["home", "q_part"]).join(t, "cell").select("asked", "rows")
+        met = own.unionByName(others).agg(F.sum(F.col("asked") * F.col("rows"))).first()[0] or 0
+        return met, (q.agg(F.sum("asked")).first()[0] or 0) * self.tree.rows
 
 
 def nearest(train: DataFrame, query: DataFrame, key: str, vec: str, k: int, within: str | None = None,
-            exclude_self: bool = False, carry: Sequence[str] = (), block: int = 2048) -> DataFrame:
+            exclude_self: bool = False, carry: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
     """(key, rank, neighbour, distance, carried columns): the k closest training rows of each query row.
 
-    Euclidean; ties go to the smaller neighbour key. `within` restricts neighbours to
-    rows of the same group, `exclude_self` leaves out the row with the query's own key,
-    `carry` brings columns of the neighbour along.
+    Euclidean; ties go to the smaller neighbour key. `within` restricts neighbours to rows of the same group,
+    `exclude_self` leaves out the row with the query's own key, `carry` brings columns of the neighbour along. Keys are
+    unique. A vector that is null, empty or holds a cell that is no finite number is nobody's neighbour. A query row with
+    such a vector, or without any row to compare with, stays with rank 1 and a null neighbour.
     """
-    spark = train.sparkSession
-    group = within or "_all"
-    wide = F.col(vec).cast("array<double>").alias(vec)
-
-    def side(df, extra=()):
-        base = df.select(key, wide, *([within] if within else [F.lit(0).alias(group)]), *extra)
-        return base
-
-    named = [F.col(c).alias(f"_c_{c}") for c in carry]
-    left, right = side(train, named), side(query)
-    groups, pivots = _pivots(left, key, vec, group, block)
-    # written once: the statistics and the block join both read them
-    left = materialize(_assign(left, vec, group, groups, pivots), "train")
-    right = materialize(_assign(right, vec, group, groups, pivots), "query")
-    need = k + (1 if exclude_self else 0)
-    ranked = left.select("_cell", "_dist").withColumn(
-        "_r", F.row_number().over(Window.partitionBy("_cell").orderBy("_dist")))
-    near: dict = {}
-    for r in ranked.filter(F.col("_r") <= need).collect():
-        near.setdefault(r["_cell"], []).append(r["_dist"])
-
-    def stats(df):
-        rows = df.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_dist").alias("far")).collect()
-        return {r["_cell"]: (r["n"], r["far"]) for r in rows}
-
-    pairs = _cell_pairs(stats(left), stats(right), near, groups, pivots, need, block)
-    draw = md5_int(F.col(key))
-
-    def with_pairs(df, own):  # at most MAX_PIVOTS² pairs, and one table per side
-        table = spark.createDataFrame(pairs, "_qc int, _tc int, _nq int, _nt int")
-        return df.withColumnRenamed("_cell", own).join(F.broadcast(table), own)
-
-    t = (with_pairs(left, "_tc").withColumn("_tb", (draw % F.col("_nt")).cast("int"))
-         .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1))))
-    q = (with_pairs(right, "_qc").withColumn("_qb", (draw % F.col("_nq")).cast("int"))
-         .withColumn("_tb", F.explode(F.sequence(F.lit(0), F.col("_nt") - 1))))
-    cells = ["_qc", "_qb", "_tc", "_tb"]
-    carried = [f"_c_{c}" for c in carry]
-    schema = T.StructType([
-        T.StructField(key, query.schema[key].dataType), T.StructField("neighbour", train.schema[key].dataType),
-        T.StructField("distance", T.DoubleType()), *[T.StructField(c, train.schema[o].dataType) for c, o in zip(carried, carry)]])
-
-    def best(qs: pd.DataFrame, ts: pd.DataFrame) -> pd.DataFrame:
-        if qs.empty or ts.empty:
-            return pd.DataFrame({f.name: [] for f in schema.fields})
-        ts = ts.sort_values(key, kind="stable")
-        names = ts[key].to_numpy()
-        x, y = np.stack(ts[vec].to_numpy()), np.stack(qs[vec].to_numpy())
-        rows, places, dists = [], [], []
-        for i, own in enumerate(qs[key].to_numpy()):
-            d = np.sqrt(((x - y[i]) ** 2).sum(axis=1))
-            if exclude_self:
-                d = np.where(names == own, np.inf, d)
-            order = np.argsort(d, kind="stable")[:k]
-            order = order[np.isfinite(d[order])]
-            rows += [own] * len(order)
-            places.append(order)
-            dists.append(d[order])
-        at = np.concatenate(places)
-        out = {key: rows, "neighbour": names[at], "distance": np.concatenate(dists)}
-        out.update({c: ts[c].to_numpy()[at] for c in carried})
-        return pd.DataFrame(out)
-
-    local = (q.select(*cells, key, vec).groupBy(*cells)
-             .cogroup(t.select(*cells, key, vec, *carried).groupBy(*cells)).applyInPandas(best, schema))
-    w = Window.partitionBy(key).orderBy("distance", "neighbour")
-    return (local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .select(key, "rank", "neighbour", "distance", *[F.col(f"_c_{c}").alias(c) for c in carry]))
+    found = Search(train, query, key, vec, k, within, exclude_self, carry, block).result()
+    named = [F.col(f"carry.c{i}").alias(c) for i, c in enumerate(carry)]
+    out = query.select(F.col(key).alias("_asked")).join(found, F.col("_asked") == F.col("id"), "left")
+    return out.select(F.col("_asked").alias(key), F.coalesce("rank", F.lit(1)).alias("rank"), "neighbour", "distance", *named)
 
 
 def knn_classify(train: DataFrame, query: DataFrame, key: str, vec: str, label: str, k: int = 5,
                  exclude_self: bool = False, **kw) -> DataFrame:
-    """Majority label of the k nearest rows, the smallest label on ties."""
+    """Majority label of the k nearest rows, the smallest label on ties; null without a neighbour."""
     nn = nearest(train, query, key, vec, k, exclude_self=exclude_self, carry=[label], **kw)
     votes = nn.groupBy(key, label).agg(F.count(F.lit(1)).alias("_n"))
     return votes.groupBy(key).agg(F.min_by(label, F.struct(-F.col("_n"), F.col(label))).alias("prediction"))
@@ -175,6 +241,6 @@ def knn_classify(train: DataFrame, query: DataFrame, key: str, vec: str, label:
 
 def knn_regress(train: DataFrame, query: DataFrame, key: str, vec: str, target: str, k: int = 5,
                 exclude_self: bool = False, **kw) -> DataFrame:
-    """Mean target of the k nearest rows."""
+    """Mean target of the k nearest rows; null without a neighbour."""
     nn = nearest(train, query, key, vec, k, exclude_self=exclude_self, carry=[target], **kw)
     return nn.groupBy(key).agg(F.avg(target).alias("prediction"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mlframe.operators import neighbours, resample, split
+from mlframe.operators import lsh, neighbours, resample, split
 from mlframe.plans.catalog import query, r6
 
 
@@ -229,3 +229,19 @@ def neighbour_mean(t):
     """I10."""
     train, test = _train_test(t)
     return neighbours.knn_regress(train, test, "vec_id", "embedding", "label", 5).withColumn("prediction", r6("prediction"))
+
+
+@query()
+def approximate_neighbours(t):
+    """I10, approximate: neighbours by projection hashing; `approximate_recall` measures them."""
+    train, test = _train_test(t)
+    return lsh.approximate_nearest(train, test, "vec_id", "embedding", 5).withColumn("distance", r6("distance"))
+
+
+@query(f"WITH {_TRAIN} SELECT count(*) AS asked, 5 * count(*) AS pairs, true AS reached FROM s WHERE split = 'test'")
+def approximate_recall(t):
+    """I10, approximate: at least 0.9 of the true neighbours of all query rows are found."""
+    train, test = _train_test(t)
+    found = lsh.approximate_nearest(train, test, "vec_id", "embedding", 5)
+    rate = lsh.measured_recall(found, neighbours.nearest(train, test, "vec_id", "embedding", 5), "vec_id")
+    return rate.select("asked", "pairs", (F.col("recall") >= 0.9).alias("reached"))

@@ -2,8 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mlframe.operators import neighbours, resample
-from mlframe.operators.neighbours import _cell_pairs, knn_classify, knn_regress, nearest
+from mlframe.operators import balltree, lsh, resample
+from mlframe.operators.neighbours import Search, k_best, knn_classify, knn_regress, nearest
 
 
 @pytest.fixture(scope="module")
@@ -51,11 +51,66 @@ def test_fewer_rows_than_neighbours(points):
     assert nearest(df.filter("id < 3"), df.filter("id >= 590"), "id", "v", 5).count() == 10 * 3
 
 
-def test_far_cells_are_ruled_out():
-    pivots = np.array([[0.0], [1.0], [100.0]])
-    pairs = _cell_pairs({0: (9, 0.5), 1: (9, 0.5), 2: (9, 0.5)}, {0: (9, 0.5), 2: (9, 0.5)},
-                        {0: [0.1] * 3, 1: [0.1] * 3, 2: [0.1] * 3}, [0, 0, 0], pivots, 3, 100)
-    assert {(a, c) for a, c, _, _ in pairs} == {(0, 0), (0, 1), (2, 2)}
+def test_most_pairs_of_clustered_rows_are_skipped(spark):
+    """Fifty clusters in eight dimensions: a query block meets few leaves beside its own."""
+    rng = np.random.default_rng(3)
+    centre = rng.normal(0, 50, (50, 8))
+    x = centre[rng.integers(0, 50, 6000)] + rng.normal(0, 1, (6000, 8))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, v array<double>").repartition(8)
+    search = Search(df.filter("id >= 500"), df.filter("id < 500"), "id", "v", 5, None, False, (), 64)
+    met, every = search.row_pairs()
+    assert every == 500 * 5500 and met < 0.1 * every
+    got = {}
+    for r in search.result().orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append(r["neighbour"])
+    assert got == brute(x, range(500), range(500, 6000), 5)
+
+
+def test_leaves_are_small_or_of_equal_rows(spark):
+    """One vector makes up a third of the rows; everything else fits its leaf, in two groups."""
+    rng = np.random.default_rng(5)
+    x = np.where(rng.random(900)[:, None] < 0.35, 7.0, rng.normal(0, 3, (900, 2)))
+    df = spark.createDataFrame([(i, v, i % 2) for i, v in enumerate(x.tolist())], "id long, v array<double>, g int")
+    rows = df.select(balltree.root_of("g").alias("cell"), "id", "v")
+    tree = balltree.grow(rows, 20)
+    leaves = tree.leaves.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("v").alias("vectors")).collect()
+    assert sum(r["n"] for r in leaves) == 900 and all(r["n"] <= 20 or r["vectors"] == 1 for r in leaves)
+    for c in tree.children:
+        for r in c.collect():
+            inside = [row["v"] for row in tree.leaves.filter(F.col("cell").startswith(r["cell"] + "/") | (F.col("cell") == r["cell"])).collect()] if r["n"] < 30 else []
+            assert all(np.sqrt(((np.array(v) - r["centre"]) ** 2).sum()) <= r["radius"] * (1 + 1e-12) for v in inside)
+
+
+def test_equals_brute_force_by_shuffled_pivots(points, monkeypatch):
+    """Pivots too large to be sent to the tasks meet their rows by cell and salt."""
+    monkeypatch.setattr(balltree, "TABLE_BYTES", 0)
+    monkeypatch.setattr(balltree, "GROUP_ROWS", 100)
+    df, x, g = points
+    got = found(nearest(df.filter("id >= 100"), df.filter("id < 100"), "id", "v", 4, within="g", block=16))
+    assert got == brute(x, range(100), range(100, 600), 4, lambda a, b: g[a] == g[b])
+
+
+@pytest.mark.parametrize("scale,shift", [(1.0, 0.0), (1e-3, 1e6), (1e5, 0.0)])
+def test_k_best_is_exact_where_matrix_products_round(scale, shift):
+    rng = np.random.default_rng(2)
+    rows = np.round(rng.normal(0, 2, (300, 5))) * scale + shift
+    asked = np.vstack([rows[:40], rng.normal(0, 2, (40, 5)) * scale + shift])
+    at, place, gap = k_best(asked, np.full(80, np.inf), rows, 7)
+    for i in range(80):
+        d = np.sqrt(((rows - asked[i]) ** 2).sum(axis=1))
+        want = np.lexsort((np.arange(300), d))[:7]
+        mine = at == i
+        order = np.lexsort((place[mine], gap[mine]))[:7]
+        assert place[mine][order].tolist() == want.tolist() and gap[mine][order].tolist() == d[want].tolist()
+
+
+def test_query_rows_without_candidates_stay(spark):
+    train = spark.createDataFrame([(1, [0.0, 0.0], "a"), (2, [1.0, 0.0], None), (3, None, "a"), (4, [float("nan"), 0.0], "a")], "id long, v array<double>, g string")
+    query = spark.createDataFrame([(11, [0.0, 1.0], "a"), (12, [0.0, 1.0], "b"), (13, [5.0, 0.0], None), (14, None, "a"), (15, [float("inf"), 0.0], "a")], train.schema)
+    got = {r["id"]: (r["rank"], r["neighbour"], r["distance"]) for r in nearest(train, query, "id", "v", 3, within="g").collect()}
+    assert got == {11: (1, 1, 1.0), 12: (1, None, None), 13: (1, 2, 4.0), 14: (1, None, None), 15: (1, None, None)}
+    assert {r["prediction"] for r in knn_classify(train.limit(0), query, "id", "v", "g").collect()} == {None}
+    assert nearest(train, query.limit(0), "id", "v", 2).count() == 0
 
 
 def test_votes_and_means(points):
@@ -111,7 +166,54 @@ def test_draws_are_reproducible(points, partitions):
     assert runs[0] == runs[1]
 
 
-def test_too_many_groups(points, monkeypatch):
-    monkeypatch.setattr(neighbours, "MAX_PIVOTS", 3)
-    with pytest.raises(ValueError):
-        nearest(points[0], points[0], "id", "v", 1, within="g")
+def test_more_groups_than_rows_of_a_leaf(spark):
+    df = spark.createDataFrame([(i, [float(i // 3), 0.0], f"group {i % 1500}") for i in range(4500)], "id long, v array<double>, g string")
+    got = nearest(df, df, "id", "v", 2, within="g", exclude_self=True)
+    assert got.count() == 9000 and got.filter("neighbour % 1500 <> id % 1500").count() == 0
+
+
+def test_many_copies_are_no_square_of_pairs(spark):
+    """Half of the rows are one vector, and all of them are asked: only the smallest keys of the copies are compared."""
+    x = [[1.0, 1.0] if i % 2 else [float(i), -1.0] for i in range(3000)]
+    df = spark.createDataFrame(list(enumerate(x)), "id long, v array<double>")
+    search = Search(df, df, "id", "v", 3, None, True, (), 64)
+    met, every = search.row_pairs()
+    assert met < 0.15 * every
+    got = {}
+    for r in search.result().filter("id % 2 = 1").orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append((r["neighbour"], r["distance"]))
+    assert got == {i: [(j, 0.0) for j in (1, 3, 5, 7) if j != i][:3] for i in range(1, 3000, 2)}
+
+
+def test_probing_finds_most_neighbours(spark):
+    rng = np.random.default_rng(9)
+    centre = rng.normal(0, 4, (60, 12))
+    x = centre[rng.integers(0, 60, 4000)] + rng.normal(0, 1, (4000, 12))
+    df = spark.createDataFrame([(i, v, i % 3) for i, v in enumerate(x.tolist())] + [(5000, None, 0)], "id long, v array<double>, g int")
+    train, query = df.filter("id >= 400"), df.filter("id < 400 or id = 5000")
+    hashing = lsh.fit(train, query, "id", "v", 5)
+    found = lsh.approximate_nearest(train, query, "id", "v", 5, hashing, carry=["g"])
+    rows = {(r["id"], r["rank"]): r for r in found.collect()}
+    exact = nearest(train, query, "id", "v", 5)
+    measured = lsh.measured_recall(found, exact, "id").first()
+    assert measured["asked"] == 400 and measured["pairs"] == 2000 and measured["recall"] >= 0.9
+    for (i, _), r in rows.items():
+        if r["neighbour"] is not None:
+            assert np.isclose(r["distance"], np.sqrt(((x[i] - x[r["neighbour"]]) ** 2).sum())) and r["g"] == r["neighbour"] % 3
+    assert rows[(5000, 1)]["neighbour"] is None
+    own = hashing.buckets(x[400:], 0)[:, :, 0]
+    probed = hashing.buckets(x[:400], hashing.probes)
+    met = np.mean([(own[:, :, None] == p[None]).any(axis=(1, 2)).mean() for p in probed])
+    assert met < 0.5  # less than half of the rows are candidates
+
+
+def test_probes_cross_the_nearest_walls():
+    hashing = lsh.Hashing(np.eye(2).reshape(2, 1, 2), np.zeros((1, 2)), 1.0, 1, 1.0)
+    keys = hashing.buckets(np.array([[0.1, 0.5], [0.5, 0.9], [-0.9, 0.5], [0.5, 1.5]]), 1)[:, 0]
+    assert keys[0, 1] == keys[2, 0] and keys[1, 1] == keys[3, 0]  # one cell down on the first axis, one up on the second
+
+
+def test_approximate_search_without_rows(spark):
+    df = spark.createDataFrame([(1, [0.0, 1.0])], "id long, v array<double>")
+    assert [tuple(r) for r in lsh.approximate_nearest(df.limit(0), df, "id", "v", 2).collect()] == [(1, 1, None, None)]
+    assert lsh.approximate_nearest(df, df.limit(0), "id", "v", 2).count() == 0
