@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from mlframe.operators.ordering import as_list, global_index
 from mlframe.operators.profile import numeric_columns
 from mlframe.operators.quantiles import exact_quantiles
+from mlframe.operators.ranks import cut_after, rank_keys
 from mlframe.sources.files import normalize_missing
 
 __all__ = ["binarize", "cast_numeric", "clip", "compact_column", "dedupe_first", "drop_columns", "drop_missing",
@@ -130,19 +131,21 @@ def compact_column(df: DataFrame, col: str, order_by, n: int) -> DataFrame:
 
 def slice_rows(df: DataFrame, order_by, lo: int = 0, hi: int | None = None) -> DataFrame:
     """Rows lo..hi-1 (0-based) in the given order; a negative bound counts from the end."""
-    if lo < 0 or (hi is not None and hi < 0):
-        n = df.count()
-        lo = max(0, n + lo) if lo < 0 else lo
-        hi = n + hi if hi is not None and hi < 0 else hi
-    indexed = global_index(df, order_by, "_row")
-    keep = F.col("_row") > lo
-    if hi is not None:
-        keep = keep & (F.col("_row") <= hi)
-    return indexed.filter(keep).drop("_row")
+    def bounds(n):
+        first = max(0, n + lo) if lo < 0 else lo
+        last = n if hi is None else n + hi if hi < 0 else hi
+        return first, last
+
+    order, n, found = rank_keys(df, order_by, bounds)
+    first, last = bounds(n)
+    upto = F.lit(True) if last >= n else order.upto(df, found.get(last))
+    after = F.lit(True) if first <= 0 else F.lit(False) if first >= n else ~order.upto(df, found.get(first))
+    return df.filter(upto & after)
 
 
 def head_n(df: DataFrame, order_by, n: int) -> DataFrame:
-    return df.orderBy(*as_list(order_by)).limit(n)
+    """The first n rows, in no particular order."""
+    return cut_after(df, order_by, n)[0]
 
 
 def round_half_even(df: DataFrame, cols: Sequence[str], digits: int = 0) -> DataFrame:

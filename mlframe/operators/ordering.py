@@ -167,16 +167,3 @@ def prefix_sum(df: DataFrame, sums: Mapping[str, Column], order_by,
     joined = _with_offsets(local, totals, part, list(sums))
     return joined.select(*[F.col(c) for c in df.columns],
                          *[(F.col(f"_off_{o}") + F.col(f"_run_{o}")).alias(o) for o in sums])
-
-
-def look_ahead_chunks(df: DataFrame, index: str, after: int, rows: int = 50_000) -> DataFrame:
-    """Cut long ordered series into `_chunk`s that also hold the next `after` rows.
-
-    `_own` marks a row in its home chunk. Windows over (series, _chunk) then see every
-    row they need while one long series spreads over many tasks.
-    """
-    rows = max(rows, after + 1)
-    home = F.floor((F.col(index) - 1) / rows).cast("long")
-    place = (F.col(index) - 1) % rows
-    chunks = F.when((home > 0) & (place < after), F.array(home, home - 1)).otherwise(F.array(home))
-    return (df.withColumn("_chunk", F.explode(chunks)).withColumn("_own", F.col("_chunk") == home))

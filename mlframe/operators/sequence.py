@@ -1,47 +1,40 @@
 """Sliding windows and shifted targets over ordered tables.
 
-A table is one series, or one per `partition_by` value. Rows are numbered once in
-value order; long series are then cut into overlapping chunks, so a single series
-that holds most rows is still spread over the cluster.
+A table is one series, or one per `partition_by` value. Rows are ordered once, in blocks that hold the rows
+behind them (see `halo`), so a single series that holds most rows is still spread over the cluster.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from mlframe.operators.ordering import as_list, global_index, look_ahead_chunks
+from mlframe.operators.halo import BLOCK_ROWS, look_ahead, value_at, windows_of
+from mlframe.operators.ordering import as_list, global_index
+from mlframe.operators.ranks import cut_after
 
-CHUNK_ROWS = 50_000
-
-
-def _chunked(df: DataFrame, order_by, partition_by, after: int, chunk_rows: int):
-    part = as_list(partition_by)
-    indexed = global_index(df, order_by, "step", part)
-    chunks = look_ahead_chunks(indexed, "step", after, chunk_rows)
-    return chunks, Window.partitionBy(*part, "_chunk").orderBy("step")
-
-
-def _cells(col: str, frame) -> Column:
-    """The column's values in the frame, nulls in their places."""
-    return F.transform(F.collect_list(F.struct(F.col(col).alias("cell"))).over(frame), lambda x: x["cell"])
+CHUNK_ROWS = BLOCK_ROWS
 
 
 def sliding_windows(df: DataFrame, cols: Sequence[str], order_by, timesteps: int, stride: int = 1,
                     partition_by: Sequence[str] = (), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Full windows of `timesteps` rows, one every `stride` rows, as one array column per input.
 
-    Keeps the columns of the window's first row and adds `step`, its 1-based place.
+    Keeps the columns of the window's first row and adds `step`, its 1-based place. All columns of `df` are ordered and
+    written once, so select the needed ones first.
     """
-    chunks, w = _chunked(df, order_by, partition_by, timesteps - 1, chunk_rows)
-    frame = w.rowsBetween(0, timesteps - 1)
-    named = {f"{c}_window": _cells(c, frame) for c in cols}
-    full = F.count(F.lit(1)).over(frame) == timesteps
-    out = chunks.withColumns({**named, "_full": full})
-    keep = F.col("_own") & F.col("_full") & ((F.col("step") - 1) % stride == 0)
-    return out.filter(keep).drop("_own", "_full", "_chunk")
+    made = [(f"{c}_window", T.ArrayType(df.schema[c].dataType), windows_of(df.columns.index(c), timesteps)) for c in cols]
+    return _look_ahead(df, order_by, partition_by, timesteps - 1, made, stride, chunk_rows)
+
+
+def _look_ahead(df: DataFrame, order_by, partition_by, ahead: int, made, stride: int, chunk_rows: int) -> DataFrame:
+    """`made`: (name, type, function) of each added column."""
+    makers = [m for _, _, m in made]
+    fields = [T.StructField(n, t) for n, t, _ in made]
+    return look_ahead(df, order_by, partition_by, ahead, lambda rows, at: [m(rows, at) for m in makers], fields, stride, chunk_rows)
 
 
 def window_xy(df: DataFrame, arr: str, x: str = "x", y: str = "y") -> DataFrame:
@@ -66,22 +59,17 @@ def hold_out_tail(df: DataFrame, step: str, horizon: int) -> tuple[DataFrame, Da
 def lead_target(df: DataFrame, col: str, n: int, order_by, partition_by: Sequence[str] = (), out: str | None = None,
                 chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """The value `n` rows ahead; rows without one are dropped."""
-    chunks, w = _chunked(df, order_by, partition_by, n, chunk_rows)
-    ahead = chunks.withColumns({"_ahead": F.lead(col, n).over(w), "_there": F.lead(F.lit(True), n).over(w)})
-    return ahead.filter(F.col("_own") & F.col("_there")).select(*df.columns, "step", F.col("_ahead").alias(out or f"{col}_ahead"))
+    made = [(out or f"{col}_ahead", df.schema[col].dataType, value_at(df.columns.index(col), n))]
+    return _look_ahead(df, order_by, partition_by, n, made, 1, chunk_rows)
 
 
 def window_horizon(df: DataFrame, cols: Sequence[str], target: str, order_by, timesteps: int, offset: int = 1,
                    stride: int = 1, partition_by: Sequence[str] = (), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Windows with the target's value `offset` rows after the window's last row (1 = next row)."""
     ahead = timesteps + offset - 1
-    chunks, w = _chunked(df, order_by, partition_by, ahead, chunk_rows)
-    frame = w.rowsBetween(0, timesteps - 1)
-    out = chunks.withColumns({
-        **{f"{c}_window": _cells(c, frame) for c in cols},
-        "target": F.lead(target, ahead).over(w), "_there": F.lead(F.lit(True), ahead).over(w)})
-    keep = F.col("_own") & F.col("_there") & ((F.col("step") - 1) % stride == 0)
-    return out.filter(keep).drop("_own", "_there", "_chunk")
+    made = [(f"{c}_window", T.ArrayType(df.schema[c].dataType), windows_of(df.columns.index(c), timesteps)) for c in cols]
+    made.append(("target", df.schema[target].dataType, value_at(df.columns.index(target), ahead)))
+    return _look_ahead(df, order_by, partition_by, ahead, made, stride, chunk_rows)
 
 
 def window_next(df: DataFrame, cols: Sequence[str], target: str, order_by, timesteps: int,
@@ -93,9 +81,9 @@ def window_next(df: DataFrame, cols: Sequence[str], target: str, order_by, times
 def score_tail(actual: DataFrame, predicted: DataFrame, n: int, order_by, actual_col: str, predicted_col: str) -> DataFrame:
     """RMSE of the last `n` rows of both tables, matched by position from the end."""
     def tail(df, col, out):
-        flipped = [F.col(c).desc() for c in as_list(order_by)]
-        return global_index(df.select(*as_list(order_by), F.col(col).alias(out)).orderBy(*flipped).limit(n),
-                            flipped, "_from_end").select("_from_end", out)
+        last = cut_after(df.select(*as_list(order_by), F.col(col).alias(out)), order_by, lambda rows: rows - n)[1]
+        return global_index(last, [F.col(c).desc() for c in as_list(order_by)], "_from_end").select("_from_end", out)
+
     pair = tail(actual, actual_col, "_a").join(tail(predicted, predicted_col, "_p"), "_from_end")
     err = F.col("_a").cast("double") - F.col("_p")
     return pair.agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(err * err)).alias("rmse"))

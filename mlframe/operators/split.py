@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mlframe.operators.ordering import as_list, global_index, hash_cuts, hash_index, md5_key
+from mlframe.operators.ranks import cut_after, rank_keys
 
 
 def test_rows(n: int, test_size: float) -> int:
@@ -87,23 +88,21 @@ def stratified_split(df: DataFrame, key, label: str, test_size: float = 0.25, se
 
 def three_way_split(df: DataFrame, order_by, n1: int, n2: int, out: str = "split") -> DataFrame:
     """Rows tagged by position: first n1 `train`, next n2 `validation`, the rest `test`."""
-    part = F.when(F.col("_row") <= n1, "train").when(F.col("_row") <= n1 + n2, "validation").otherwise("test")
-    return global_index(df, order_by, "_row").withColumn(out, part).drop("_row")
+    order, n, found = rank_keys(df, order_by, [n1, n1 + n2])
+
+    def upto(rank):
+        return F.lit(True) if rank >= n else order.upto(df, found.get(rank))
+    return df.withColumn(out, F.when(upto(n1), "train").when(upto(n1 + n2), "validation").otherwise("test"))
 
 
 def head_tail_split(df: DataFrame, order_by, test_size: float | None = None, n_head: int | None = None):
     """(head, tail) in the row order, at a row number or a fraction."""
-    if n_head is None:
-        n = df.count()
-        n_head = n - test_rows(n, test_size)
-    indexed = global_index(df, order_by, "_row")
-    return indexed.filter(F.col("_row") <= n_head).drop("_row"), indexed.filter(F.col("_row") > n_head).drop("_row")
+    return cut_after(df, order_by, (lambda n: n - test_rows(n, test_size)) if n_head is None else n_head)
 
 
 def validation_tail(df: DataFrame, order_by, fraction: float) -> tuple[DataFrame, DataFrame]:
     """(fit rows, validation rows): the last fraction of the rows, the fit part rounded down."""
-    n = df.count()
-    return head_tail_split(df, order_by, n_head=int(round(n * (1.0 - fraction), 9)))
+    return cut_after(df, order_by, lambda n: int(round(n * (1.0 - fraction), 9)))
 
 
 def _fold_plan(k: int):
@@ -167,8 +166,7 @@ def sample_k(df: DataFrame, key, k: int, seed: int = 0) -> DataFrame:
 
 def drop_tail(df: DataFrame, order_by, n: int) -> DataFrame:
     """All but the last n rows."""
-    total = df.count()
-    return global_index(df, order_by, "_row").filter(F.col("_row") <= total - n).drop("_row")
+    return cut_after(df, order_by, lambda total: total - n)[0]
 
 
 __all__ = ["aligned_split", "as_list", "assign_batches", "drop_tail", "head_tail_split", "join_blocks", "kfold",

@@ -8,6 +8,7 @@ from mlframe.operators import sequence
 from mlframe.plans.catalog import cells, query
 
 _ORDER = ["ts", "event_id"]
+_SEEN = ["event_id", "ts", "user_id", "value"]
 _SERIES = "s AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events)"
 _WHOLE = "s AS (SELECT event_id, 0 AS user_id, value, row_number() OVER (ORDER BY ts, event_id) AS step FROM events)"
 _PARTS = "s AS (SELECT p_partkey AS event_id, 0 AS user_id, p_retailprice AS value, row_number() OVER (ORDER BY p_partkey) AS step FROM part)"
@@ -24,21 +25,21 @@ def _windows(series: str, t: int, stride: int, need: int | None = None, last: in
 @query(_windows(_SERIES, 5, 2) + " SELECT event_id, step, pos, cell FROM w")
 def windows_per_user(t):
     """Windows of 5 rows every 2 rows, per user."""
-    out = sequence.sliding_windows(t("events"), ["value"], _ORDER, 5, 2, "user_id")
+    out = sequence.sliding_windows(t("events", *_SEEN), ["value"], _ORDER, 5, 2, "user_id")
     return cells(out, "value_window", "event_id", "step")
 
 
 @query(_windows(_WHOLE, 12, 6) + " SELECT event_id, step, pos, cell FROM w")
 def windows_over_table(t):
     """The whole table as one series, cut into small chunks."""
-    out = sequence.sliding_windows(t("events"), ["value"], _ORDER, 12, 6, chunk_rows=1000)
+    out = sequence.sliding_windows(t("events", *_SEEN), ["value"], _ORDER, 12, 6, chunk_rows=1000)
     return cells(out, "value_window", "event_id", "step")
 
 
 @query(_windows(_PARTS, 5, 1) + " SELECT event_id AS p_partkey, max(cell) FILTER (pos = 4) AS y, round(sum(cell) FILTER (pos < 4), 6) AS x_sum FROM w GROUP BY ALL")
 def window_inputs_and_target(t):
     """The last step of a window is its target."""
-    out = sequence.sliding_windows(t("part"), ["p_retailprice"], "p_partkey", 5)
+    out = sequence.sliding_windows(t("part", "p_partkey", "p_retailprice"), ["p_retailprice"], "p_partkey", 5)
     out = sequence.window_xy(out, "p_retailprice_window")
     total = F.aggregate("x", F.lit(0.0), lambda s, v: s + v)
     return out.select("p_partkey", "y", F.round(total, 6).alias("x_sum"))
@@ -51,7 +52,7 @@ FROM w, n WHERE step <= lim GROUP BY event_id
 """)
 def sequence_to_sequence(t):
     """First 3 steps to last 3 steps, the last 3 windows held out."""
-    out = sequence.sliding_windows(t("events"), ["value"], _ORDER, 10)
+    out = sequence.sliding_windows(t("events", *_SEEN), ["value"], _ORDER, 10)
     out = sequence.window_seq2seq(out, "value_window", "value_window", 3)
     train, _ = sequence.hold_out_tail(out, "step", 3)
     total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, v: s + v), 6)
@@ -61,7 +62,7 @@ def sequence_to_sequence(t):
 @query(_windows(_WHOLE, 10, 1) + " SELECT event_id, step, pos, cell FROM w WHERE step = (SELECT max(step) FROM w) AND pos < 3")
 def forecast_window(t):
     """The very last window feeds the forecast."""
-    out = sequence.sliding_windows(t("events"), ["value"], _ORDER, 10)
+    out = sequence.sliding_windows(t("events", *_SEEN), ["value"], _ORDER, 10)
     out = sequence.window_seq2seq(out, "value_window", "value_window", 3)
     _, last = sequence.hold_out_tail(out, "step", 3)
     return cells(last, "x", "event_id", "step")
@@ -73,7 +74,7 @@ FROM w JOIN s ON s.user_id = w.user_id AND s.step = w.step + 6 GROUP BY w.event_
 """)
 def window_then_next(t):
     """The target is the row after the window."""
-    out = sequence.window_next(t("events"), ["value"], "value", _ORDER, 6, "user_id")
+    out = sequence.window_next(t("events", *_SEEN), ["value"], "value", _ORDER, 6, "user_id")
     total = F.aggregate("value_window", F.lit(0.0), lambda s, v: s + v)
     return out.select("event_id", F.round(total, 6).alias("x_sum"), "target")
 
@@ -84,7 +85,7 @@ FROM w JOIN s ON s.step = w.step + 71 GROUP BY w.event_id, s.value
 """)
 def window_with_horizon(t):
     """Windows of 36 rows, the target 36 rows later, every 4 rows."""
-    out = sequence.window_horizon(t("events"), ["value"], "value", _ORDER, 36, 36, 4, chunk_rows=2000)
+    out = sequence.window_horizon(t("events", *_SEEN), ["value"], "value", _ORDER, 36, 36, 4, chunk_rows=2000)
     total = F.aggregate("value_window", F.lit(0.0), lambda s, v: s + v)
     return out.select("event_id", F.round(total, 6).alias("x_sum"), "target")
 
