@@ -12,7 +12,6 @@ are read with odds from the other folds of the sample; any text gets the mean sc
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,14 +20,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mlframe.llm.common import DOUBLE, Cache, map_text, unpacked
+from mlframe.llm.common import DOUBLE, map_text, mix64, unpacked
 from mlframe.session import materialize
 
 BUCKETS = 1 << 20
 LETTERS = re.compile(r"[^\W\d_]+")
 GRAM = 5
-STARTS = (3, 4, 5, 6)
-LONG_WORD = 64  # longer words are not kept in the cache
+STARTS = (3, 5, 6)
+LONG_WORD = 48  # longer words are hashed one by one and not kept
+WORDS = 8192  # words hashed at a time
+KEPT = 300_000  # words a worker keeps
 POOLS = (1, 2, 3, 5, 10)
 STRONGEST = 5  # features that speak for a word
 WIDTH = len(POOLS) + 3
@@ -47,45 +48,111 @@ class Sample:
     seed: int = 0
 
 
-def _word_features(word: str) -> np.ndarray:
-    marked = f"^{word}$"
-    parts = {word + "$", *(f"^{word[:k]}" for k in STARTS if len(word) >= k)}
-    parts.update(marked[i:i + GRAM] for i in range(len(marked) - GRAM + 1))
-    return np.unique(np.fromiter((zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in parts), np.int64, len(parts)))
+_KEYS = mix64(np.arange(1, 65, dtype=np.uint64))  # odd enough multipliers of the letters of a piece
 
 
-_features = Cache(_word_features)
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (mix64(h) & np.uint64(BUCKETS - 1)).astype(np.int32)
+
+
+def word_features(words: list[str]) -> np.ndarray:
+    """Buckets of the features of each word, a row a word; BUCKETS where there is none.
+
+    Columns: the whole word, its beginnings of STARTS letters, its GRAM-letter pieces, both ends marked.
+    """
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    codes = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    start = np.cumsum(size) - size
+    word = np.repeat(np.arange(len(words)), size)
+    place = np.arange(len(codes)) - start[word]
+    pieces = np.maximum(size - GRAM + 1, 0)
+    base = 1 + len(STARTS)
+    out = np.full((len(words), base + int(pieces.max(initial=0))), BUCKETS, np.int32)
+    out[:, 0] = _bucket(np.add.reduceat(codes * mix64(place.astype(np.uint64) + np.uint64(1000)), start))
+    padded = np.append(codes, np.zeros(max(STARTS) + 1, np.uint64))
+    for i, k in enumerate(STARTS):
+        has = np.flatnonzero(size >= k + 2)
+        h = np.full(len(has), k, np.uint64)
+        for j in range(k + 1):
+            h = h + padded[start[has] + j] * _KEYS[16 + j]
+        out[has, 1 + i] = _bucket(h)
+    at = np.flatnonzero(place < pieces[word])
+    h = np.zeros(len(at), np.uint64)
+    for j in range(GRAM):
+        h = h + padded[at + j] * _KEYS[j]
+    out[word[at], base + place[at]] = _bucket(h)
+    return out
+
+
+def _short_and_long(words: set[str]) -> tuple[list[str], list[str]]:
+    short = [w for w in words if len(w) <= LONG_WORD]
+    return short, [w for w in words if len(w) > LONG_WORD] if len(short) < len(words) else []
 
 
 def text_features(text: str | None) -> np.ndarray:
     """Distinct features of a whole text, ascending; none if it has no letter."""
-    words = set(LETTERS.findall((text or "").lower()))
-    if not words:
-        return np.zeros(0, np.int64)
-    return np.unique(np.concatenate([_features[w] if len(w) <= LONG_WORD else _word_features(w) for w in words]))
+    short, long = _short_and_long(set(LETTERS.findall((text or "").lower())))
+    parts = [word_features(short[lo:lo + WORDS]).ravel() for lo in range(0, len(short), WORDS)] + [word_features([w]).ravel() for w in long]
+    found = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int32)
+    return found[found < BUCKETS]
 
 
 class Words:
     """The distinct words of texts, each by the mean of its strongest log odds, in every one of the given tables of odds."""
 
     def __init__(self, odds: list[np.ndarray]):
-        self.odds = np.stack(odds, axis=1)
-        self.cache = Cache(self.word, 200_000)
-
-    def word(self, word: str) -> tuple[float, ...]:
-        mine = np.sort(self.odds[_word_features(word)], axis=0)[-STRONGEST:]
-        return tuple(mine.mean(axis=0).tolist())
-
-    def pooled(self, text: str | None) -> np.ndarray | None:
-        """What the network sees of a text, a row per table of odds: means of its strongest words, how many it has, how many point to toxic."""
-        words = set(LETTERS.findall((text or "").lower()))
-        if not words:
-            return None
-        mine = np.array([self.cache[w] if len(w) <= LONG_WORD else self.word(w) for w in words]).T
-        most = min(len(words), POOLS[-1])
-        top = -np.sort(-np.partition(mine, len(words) - most, axis=1)[:, len(words) - most:], axis=1)
-        some = [np.full(len(mine), len(words)), (mine > 1).sum(axis=1), (mine > 3).sum(axis=1)]
-        return np.column_stack([*(top[:, :k].mean(axis=1) for k in POOLS), *map(np.log1p, some)])
+        self.odds = np.vstack([np.stack(odds, axis=1), np.full((1, len(odds)), -np.inf, np.float32)])
+        self.places: dict[str, int] = {}
+        self.scores = np.zeros((KEPT, len(odds)), np.float32)
+
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        features = word_features(words)
+        top = min(STRONGEST, features.shape[1])
+        mine = np.partition(self.odds[features], features.shape[1] - top, axis=1)[:, features.shape[1] - top:]
+        there = np.isfinite(mine)
+        return np.where(there, mine, 0).sum(axis=1) / there.sum(axis=1)
+
+    def known(self, words: set[str]) -> None:
+        """Score the words that are not known yet; all are forgotten before they get too many."""
+        new = [w for w in words if w not in self.places]
+        if len(self.places) + len(new) > KEPT:
+            self.places, new = {}, list(words)
+        for lo in range(0, len(new), WORDS):
+            part, at = new[lo:lo + WORDS], len(self.places)
+            self.scores[at:at + len(part)] = self.word_scores(part)
+            self.places.update(zip(part, range(at, at + len(part))))
+
+    def pooled(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """What the network sees of each text, a row per table of odds: means of its strongest words, how many it has and
+        how many point to toxic. None for a text without a letter."""
+        out: list[np.ndarray | None] = []
+        sets = [_short_and_long(set(LETTERS.findall((t or "").lower()))) for t in texts]
+        lo = 0
+        while lo < len(texts):
+            hi, every = lo, set()
+            while hi < len(texts) and (hi == lo or len(every) + len(sets[hi][0]) <= KEPT // 2):
+                every.update(sets[hi][0])
+                hi += 1
+            many = len(every) > KEPT  # one text with more words than are kept
+            if not many:
+                self.known(every)
+            for short, long in sets[lo:hi]:
+                if not short and not long:
+                    out.append(None)
+                    continue
+                if many:
+                    parts = [self.word_scores(short[i:i + WORDS]) for i in range(0, len(short), WORDS)]
+                else:
+                    parts = [self.scores[np.fromiter(map(self.places.__getitem__, short), np.int64, len(short))]]
+                mine = np.concatenate([*parts, *(self.word_scores([w]) for w in long)]).T
+                n = mine.shape[1]
+                most = min(n, POOLS[-1])
+                top = -np.sort(-np.partition(mine, n - most, axis=1)[:, n - most:], axis=1)
+                means = np.cumsum(top, axis=1)
+                some = [np.full(len(mine), n), (mine > 1).sum(axis=1), (mine > 3).sum(axis=1)]
+                out.append(np.column_stack([*(means[:, min(k, most) - 1] / min(k, most) for k in POOLS), *map(np.log1p, some)]))
+            lo = hi
+        return out
 
 
 def log_odds(positive: np.ndarray, n_positive: int, unlabelled: np.ndarray, n_unlabelled: int, prior: float) -> np.ndarray:
@@ -158,7 +225,7 @@ class Model:
             return out
         if self.words is None:
             object.__setattr__(self, "words", Words(self.odds))  # once a worker
-        found = [self.words.pooled(t) for t in texts]
+        found = self.words.pooled(texts)
         some = [i for i, f in enumerate(found) if f is not None]
         if some:
             out[some] = self.network.score(np.concatenate([found[i] for i in some])).reshape(len(some), -1).mean(axis=1)
@@ -190,7 +257,12 @@ def _pooled_rows(odds: list[np.ndarray]):
         words = [Words([o]) for o in odds]
         for batch in batches:
             _, fold, text = (batch.column(i).to_pylist() for i in range(3))
-            x = [[0.0] * WIDTH if (p := words[f].pooled(t)) is None else p[0].tolist() for f, t in zip(fold, text)]
+            x: list[list[float]] = [[0.0] * WIDTH for _ in text]
+            for f, known in enumerate(words):
+                mine = [i for i, g in enumerate(fold) if g == f]
+                for i, p in zip(mine, known.pooled([text[i] for i in mine])):
+                    if p is not None:
+                        x[i] = p[0].tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["kind", "x"])
     return run
 
