@@ -60,14 +60,20 @@ def _with(batch, cells: list[str], dist: np.ndarray):
     return [put.get(name, batch.column(i)) for i, name in enumerate(batch.schema.names)]
 
 
-def descend(rows: DataFrame, pivots: DataFrame, most: int) -> DataFrame:
+def sent(pivots: DataFrame) -> dict[str, np.ndarray] | None:
+    """The pivots of each cell for the tasks, None if they are too many bytes."""
+    size = pivots.agg(F.sum(F.size("pivots") * F.size(F.get("pivots", F.lit(0)))) * 8).first()[0] or 0
+    if size > TABLE_BYTES:
+        return None
+    return {r["cell"]: np.array(r["pivots"]) for r in pivots.select("cell", "pivots").collect()}
+
+
+def descend(rows: DataFrame, pivots: DataFrame, table: dict[str, np.ndarray] | None, most: int) -> DataFrame:
     """One level down for the rows whose `cell` has pivots; `cell` and `dist` (to the centre of the cell) are replaced.
 
-    `most` is the number of rows a cell can have.
+    `table` is `sent(pivots)`; `most` is the number of rows a cell can have.
     """
-    size = pivots.agg(F.sum(F.size("pivots") * F.size(F.get("pivots", F.lit(0)))) * 8).first()[0] or 0
-    if size <= TABLE_BYTES:
-        table = {r["cell"]: np.array(r["pivots"]) for r in pivots.select("cell", "pivots").collect()}
+    if table is not None:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -105,14 +111,14 @@ class BallTree:
     """
 
     leaves: DataFrame
-    pivots: list[DataFrame] = field(default_factory=list)
+    pivots: list[tuple[DataFrame, dict[str, np.ndarray] | None]] = field(default_factory=list)
     children: list[DataFrame] = field(default_factory=list)
     rows: int = 0
 
     def place(self, rows: DataFrame, most: int) -> DataFrame:
         """Other rows, sent down the same way; a row of a group without cells stays at its root."""
-        for pivots in self.pivots:
-            rows = descend(rows, pivots, most)
+        for pivots, table in self.pivots:
+            rows = descend(rows, pivots, table, most)
         return rows
 
 
@@ -136,12 +142,13 @@ def grow(rows: DataFrame, leaf: int) -> BallTree:
     tree.rows = most = rows.count()
     for level in range(LEVELS if tree.rows else 0):
         pivots = materialize(_split_by(rows, level, leaf), "tree-pivots")
-        rows = materialize(descend(rows, pivots, most), "tree-rows")
+        table = sent(pivots)
+        rows = materialize(descend(rows, pivots, table, most), "tree-rows")
         centres = pivots.select(F.col("cell").alias("parent"), F.posexplode("pivots").alias("no", "centre")).withColumn("cell", F.concat_ws("/", "parent", F.col("no").cast("string")))
         stats = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("radius"))
         last = F.lit(level == LEVELS - 1)
         children = materialize(stats.join(centres.drop("no"), "cell").withColumn("leaf", (F.col("n") <= leaf) | (F.col("radius") == 0) | last), "tree-cells")
-        tree.pivots.append(pivots)
+        tree.pivots.append((pivots, table))
         tree.children.append(children)
         left, most = children.filter(~F.col("leaf")).agg(F.count(F.lit(1)), F.max("n")).first()
         if not left:

@@ -19,8 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mlframe.functions import metrics
+from mlframe.operators.boosting import SoftmaxBoosting
 from mlframe.operators.profile import class_weights
-from mlframe.operators.resample import draw_with_replacement
+from mlframe.operators.resample import bag_counts
+from mlframe.session import materialize
 
 REGRESSORS: dict[str, Callable] = {
     "linear": mlr.LinearRegression,
@@ -37,7 +39,7 @@ CLASSIFIERS: dict[str, Callable] = {
     "gbt": mlc.GBTClassifier,
     "mlp": mlc.MultilayerPerceptronClassifier,
 }
-TWO_CLASSES_ONLY = ("svm", "gbt")
+TWO_CLASSES_ONLY = ("svm",)
 SEEDED = ("tree", "forest", "gbt", "mlp")
 
 
@@ -51,15 +53,17 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
 
 def estimator(kind: str, name: str, label: str, features: str = "features", prediction: str = "prediction",
               classes: int = 2, seed: int = 0, weight: str | None = None, **params):
-    """A named MLlib estimator; two-class learners are wrapped one-versus-rest beyond two classes."""
+    """A named MLlib estimator; beyond two classes boosting takes its softmax form, other two-class learners one-versus-rest."""
     table = REGRESSORS if kind == "regression" else CLASSIFIERS
+    if kind == "classification" and name == "gbt" and classes > 2:
+        table = {"gbt": SoftmaxBoosting}
     common = {"labelCol": label, "featuresCol": features, "predictionCol": prediction}
     args = {**common, **params}
     if name in SEEDED:
         args.setdefault("seed", seed)
     if weight:
         args["weightCol"] = weight
-    if kind == "classification" and (name in ("logistic", "tree", "forest", "mlp") or (name == "gbt" and classes <= 2)):
+    if kind == "classification" and name != "svm":
         args["probabilityCol"] = f"{prediction}_prob"
         args["rawPredictionCol"] = f"{prediction}_raw"
     if kind == "classification" and classes > 2 and name in TWO_CLASSES_ONLY:
@@ -168,13 +172,22 @@ def fit_bag(df: DataFrame, key, kind: str, name: str, label: str, n: int = 10, b
             features: str = "features", seed: int = 0, **params) -> dict[str, object]:
     """n models of one kind on samples drawn with replacement (or all on the whole table).
 
+    All bags share one stored copy of the rows with their counts, which the fits take as weights.
     Bagged trees have a faster form in one job: the forest with all features per split.
     """
-    rows = df.count() if bootstrap else 0
+    stored = materialize(bag_counts(df, key, n, seed, "_drawn") if bootstrap else df, "bags")
     models = {}
     for i in range(n):
-        sample = draw_with_replacement(df, key, rows, seed + i) if bootstrap else df
-        models[f"bag_{i}"] = estimator(kind, name, label, features, prediction=f"bag_{i}", seed=seed + i, **params).fit(sample)
+        est = estimator(kind, name, label, features, prediction=f"bag_{i}", seed=seed + i, **params)
+        sample = stored
+        if bootstrap:
+            times = F.get("_drawn", F.lit(i))
+            sample = stored.filter(times > 0)
+            if est.hasParam("weightCol"):
+                sample, est = sample.withColumn("_times", times.cast("double")), est.copy({est.weightCol: "_times"})
+            else:  # a learner without weights sees the copies
+                sample = sample.withColumn("_copy", F.explode(F.sequence(F.lit(1), times.cast("int"))))
+        models[f"bag_{i}"] = est.fit(sample)
     return models
 
 

@@ -146,6 +146,23 @@ def draw_with_replacement(df: DataFrame, key, n: int, seed: int = 0) -> DataFram
     return hash_index(df, key, seed, "_i").join(draws, "_i").drop("_i")
 
 
+def bag_counts(df: DataFrame, key, bags: int, seed: int = 0, out: str = "drawn") -> DataFrame:
+    """The rows that some bag draws, with how often each bag draws them (an array, `bags` long).
+
+    A bag is as many draws with replacement as there are rows: exact multinomial counts. Draws are counted by place
+    before they meet a row, places are given to keys alone, and the table itself moves once for all bags.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    total = df.count()
+    bag, draw = F.floor(F.col("id") / F.lit(max(1, total))).cast("int"), F.col("id") % F.lit(max(1, total)) + 1
+    draws = df.sparkSession.range(total * bags).select(bag.alias("bag"), draw.alias("draw"))
+    place = (md5_int(F.lit(seed) + F.col("bag") + 1, F.col("draw")) % F.lit(max(1, total)) + 1).alias("_i")
+    times = F.array(*[F.count_if(F.col("bag") == b) for b in range(bags)]).alias(out)
+    counts = draws.select("bag", place).groupBy("_i").agg(times)
+    drawn = hash_index(df.select(*keys), keys, seed, "_i").join(counts, "_i").drop("_i")
+    return df.join(drawn, keys).select(*df.columns, out)
+
+
 def augment_with_replacement(df: DataFrame, key, n: int, seed: int = 0) -> DataFrame:
     """All rows (draw 0) and n rows drawn with replacement (draw 1..n)."""
     return df.withColumn("draw", F.lit(0).cast("long")).unionByName(draw_with_replacement(df, key, n, seed))

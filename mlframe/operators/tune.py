@@ -14,22 +14,14 @@ import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mlframe.operators import models, scale
 from mlframe.operators.split import kfold, sample_k, stratified_kfold
-
-
-def _parallel(jobs: Sequence[Callable[[], object]], threads: int) -> list:
-    if threads <= 1 or len(jobs) < 2:
-        return [job() for job in jobs]
-    with ThreadPool(min(threads, len(jobs))) as pool:
-        return pool.map(inheritable_thread_target(SparkSession.active())(lambda job: job()), jobs)
+from mlframe.session import in_threads
 
 
 def with_folds(df: DataFrame, key: str, k: int, seed: int = 0, label: str | None = None) -> DataFrame:
@@ -48,7 +40,7 @@ def cross_val_scores(df: DataFrame, make: Callable[[], object], label: str, kind
         model = make().fit(df.filter(F.col(fold) != f))
         return float(models.score(model.transform(df.filter(F.col(fold) == f)), label, kind))
 
-    scores = _parallel([lambda f=f: one(f) for f in folds], threads)
+    scores = in_threads([lambda f=f: one(f) for f in folds], threads)
     df.unpersist()
     return df.sparkSession.createDataFrame(list(zip(folds, scores)), "fold int, score double")
 
@@ -120,7 +112,7 @@ def cross_validate(df: DataFrame, est, candidates: Sequence[Mapping], label: str
         model = est.fit(df.filter(F.col(fold) != f), param_map(est, params))
         return models.score(model.transform(df.filter(F.col(fold) == f)), label, kind)
 
-    flat = _parallel([lambda c=c, f=f: one(c, f) for c in candidates for f in folds], threads)
+    flat = in_threads([lambda c=c, f=f: one(c, f) for c in candidates for f in folds], threads)
     df.unpersist()
     return [flat[i:i + len(folds)] for i in range(0, len(flat), len(folds))]
 
@@ -199,7 +191,7 @@ def try_estimators(train: DataFrame, test: DataFrame, label: str, kind: str, mak
             return name, models.score(makers[name]().fit(train).transform(test), label, kind), None
         except Exception as e:  # noqa: BLE001 - a failing estimator is a result here
             return name, None, type(e).__name__
-    rows = _parallel([lambda n=n: one(n) for n in makers], threads)
+    rows = in_threads([lambda n=n: one(n) for n in makers], threads)
     frame = train.sparkSession.createDataFrame(rows, "model string, score double, error string")
     return frame.orderBy(F.col("score").desc_nulls_last(), "model")
 

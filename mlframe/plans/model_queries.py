@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from mlframe.functions import arrays, metrics
@@ -244,6 +245,24 @@ def gradient_boosting(t):
     return _regression_scores(models.estimator("regression", "gbt", "l_extendedprice", maxIter=5).fit(train.persist()), test)
 
 
+def _price_classes(t):
+    """(train, test) of line items in ten classes of the price paid, seen through price, discount and tax."""
+    cols = ["l_extendedprice", "l_discount", "l_tax"]
+    paid = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    df = t("lineitem", *_LINE_KEY, *cols).withColumn("label", F.least(F.lit(9), F.floor(paid / 10_000)).cast("int"))
+    train, test = split.train_test_split(models.assemble(df, cols), _LINE_KEY, 0.2, 1)
+    return spread(train), test
+
+
+@query()
+def multiclass_boosting(t):
+    """Softmax boosting over ten classes; the probabilities of a row add up to one."""
+    train, test = _price_classes(t)
+    done = models.estimator("classification", "gbt", "label", classes=10, maxIter=2, maxDepth=4, stepSize=0.6).fit(train).transform(test)
+    total = F.aggregate(vector_to_array("prediction_prob"), F.lit(0.0), lambda a, b: a + b)
+    return metrics.score_table(done, {"n": F.count(F.lit(1)), "accuracy": metrics.accuracy("label", "prediction"), "whole": F.max(F.abs(total - 1)) < 1e-9})
+
+
 @query()
 def boosting_stopped_early(t):
     """I8: the number of trees kept with a validation part."""
@@ -328,6 +347,19 @@ def voted_classifiers(t):
     return metrics.score_table(done, {"hard": metrics.accuracy("label", "hard"), "soft": metrics.accuracy("label", "soft")})
 
 
+@query()
+def voted_boosting(t):
+    """Soft and hard vote of two boosted members and a linear one over ten classes."""
+    train, test = _price_classes(t)
+    train.persist()
+    made = {"shallow": ("gbt", {"maxIter": 1, "maxDepth": 3, "stepSize": 1.0}), "deep": ("gbt", {"maxIter": 1, "maxDepth": 5, "stepSize": 1.0}), "linear": ("logistic", {"maxIter": 10})}
+    members = {n: models.estimator("classification", kind, "label", prediction=n, classes=10, **p).fit(train) for n, (kind, p) in made.items()}
+    train.unpersist()
+    done = models.predict_all(members, test, keep_probability=True)
+    done = done.withColumns({"hard": models.hard_vote(list(members)), "soft": models.soft_vote([f"{m}_prob" for m in members])})
+    return metrics.score_table(done, {c: metrics.accuracy("label", c) for c in (*members, "hard", "soft")})
+
+
 @query()
 def stacked_models(t):
     """A ridge over out-of-fold predictions, inputs passed through."""

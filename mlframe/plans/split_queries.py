@@ -170,6 +170,17 @@ def augmented_with_draws(t):
     return resample.augment_with_replacement(df, "c_custkey", df.count() // 2, 6)
 
 
+@query(f"""
+WITH {_hashed('customer', 'c_custkey', 3)}, d AS (SELECT b.bag, unnest(range(1, (SELECT count(*) FROM customer) + 1)) AS draw FROM range(4) b(bag)),
+p AS (SELECT bag, 1 + {_u60("3 + bag + 1", 'draw')} % (SELECT count(*) FROM customer) AS rn, count(*) AS times FROM d GROUP BY ALL)
+SELECT c_custkey, bag, times FROM r JOIN p USING (rn)
+""")
+def bagged_draws(t):
+    """How often each of four bags draws a row."""
+    out = resample.bag_counts(t("customer", "c_custkey"), "c_custkey", 4, 3)
+    return out.select("c_custkey", F.posexplode("drawn").alias("bag", "times")).filter("times > 0")
+
+
 @query("SELECT n_nationkey, unnest(range(1, 4)) AS copy FROM nation")
 def rows_replicated(t):
     """Every row three times."""

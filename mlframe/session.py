@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: str | None = None
@@ -79,3 +82,11 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def in_threads(jobs: Sequence[Callable[[], object]], threads: int) -> list:
+    """Results of independent jobs that share some driver threads, in order."""
+    if threads <= 1 or len(jobs) < 2:
+        return [job() for job in jobs]
+    with ThreadPool(min(threads, len(jobs))) as pool:
+        return pool.map(inheritable_thread_target(SparkSession.active())(lambda job: job()), jobs)

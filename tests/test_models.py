@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mlframe.functions import metrics, rowfunc
-from mlframe.operators import encode, models, reduce, split, tune
+from mlframe.operators import encode, models, reduce, resample, split, tune
 from mlframe.plans import recipes
 from mlframe.sources import load_model, read_labelled_files, save_model
 
@@ -227,3 +227,32 @@ def test_recipes_learn(spark):
 def test_decoding(spark):
     df = spark.createDataFrame([(1, [0.2, 0.8])], "id int, p array<double>")
     assert encode.name_scores(df, "p", ["no", "yes"], ["id"]).first().asDict() == {"id": 1, "no": 0.2, "yes": 0.8}
+
+
+def test_bags_are_exact_draws_of_all_rows(spark):
+    df = spark.range(300).select("id", F.col("id").cast("double").alias("y"))
+    rows = resample.bag_counts(df, "id", 3, 1).collect()
+    for b in range(3):
+        assert sum(r["drawn"][b] for r in rows) == 300
+        assert 0.5 < sum(r["drawn"][b] > 0 for r in rows) / 300 < 0.75  # about 1 - 1/e of the rows
+    assert len({tuple(r["drawn"]) for r in rows}) > 3 and resample.bag_counts(df.limit(0), "id", 2).count() == 0
+
+
+@pytest.mark.parametrize("name", ["linear", "tree"])
+def test_counts_as_weights_fit_like_copies(spark, name):
+    df = models.assemble(spark.range(400).select("id", (F.col("id") % 37).cast("double").alias("a"), (F.col("id") % 11).cast("double").alias("b"),
+                                                 (F.col("id") % 37 * 2 + F.col("id") % 5).cast("double").alias("y")), ["a", "b"])
+    bag = models.fit_bag(df, "id", "regression", name, "y", 2, seed=4)
+    counts = resample.bag_counts(df, "id", 2, 4)
+    for i in range(2):
+        times = F.get("drawn", F.lit(i)).cast("int")
+        copies = counts.filter(times > 0).withColumn("c", F.explode(F.sequence(F.lit(1), times)))
+        plain = models.estimator("regression", name, "y", prediction=f"bag_{i}", seed=4 + i).fit(copies)
+        a, b = (sorted((r["id"], round(r[f"bag_{i}"], 6)) for r in m.transform(df).collect()) for m in (bag[f"bag_{i}"], plain))
+        assert np.allclose([v for _, v in a], [v for _, v in b], atol=1e-5)
+
+
+def test_bags_of_a_learner_without_weights(spark):
+    df = models.assemble(spark.range(60).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 2).cast("int").alias("y")), ["a"])
+    bag = models.fit_bag(df, "id", "classification", "mlp", "y", 2, layers=[1, 2, 2], maxIter=5)
+    assert models.predict_all(bag, df).count() == 60
