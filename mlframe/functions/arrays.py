@@ -83,3 +83,10 @@ def one_hot_tokens(arr, k: int) -> Column:
 def squared_distance(a, b) -> Column:
     parts = F.zip_with(_col(a), _col(b), lambda x, y: (x.cast("double") - y) * (x.cast("double") - y))
     return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
+
+
+def sums_by_position(arr: str, n: int) -> Column:
+    """n sums of an array of doubles: cells 0, n, 2n, ... to the first, 1, n + 1, ... to the second, and so on."""
+    def total(c):
+        return F.aggregate(F.filter(arr, lambda x, i: i % n == c), F.lit(0.0), lambda s, x: s + x)
+    return F.array(*[total(c) for c in range(n)])

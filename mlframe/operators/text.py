@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -113,7 +112,8 @@ def token_stream(df: DataFrame, arr: str, key) -> DataFrame:
 
 def bag_of_words(df: DataFrame, arr: str, keep: Sequence[str], size: int, out: str = "features") -> DataFrame:
     """Sparse word-count vectors of an id column, for the classifiers; an id is its own position, below `size`."""
-    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.ml.feature import CountVectorizerModel
 
-    counted = F.udf(lambda ids: Vectors.sparse(size, sorted(Counter(ids or []).items())), VectorUDT())
-    return df.select(*keep, counted(arr).alias(out))
+    words = df.select(*keep, F.transform(F.coalesce(arr, F.array().cast("array<int>")), lambda i: i.cast("string")).alias("_ids"))
+    counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(size)], inputCol="_ids", outputCol=out)
+    return counter.transform(words).drop("_ids")

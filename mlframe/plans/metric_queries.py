@@ -17,15 +17,16 @@ def _lines(t):
                                 (F.col("l_discount") * 5).alias("y2"), (F.col("l_tax") * 10 + F.col("l_discount")).alias("p2"))
 
 
-# Class scores of a row: a softmax of the first ten cells; the prediction is the best class.
-_SCORES = """sc AS (SELECT vec_id, label, [CAST(x AS DOUBLE) for x in embedding[1:10]] AS v FROM embeddings),
+# Ten class scores of a row: a softmax over the sums of its cells by position modulo ten; the prediction is the best class.
+_SCORES = """sc AS (SELECT vec_id, label, [list_sum([CAST(embedding[i] AS DOUBLE) FOR i IN range(1, len(embedding) + 1) IF i % 10 = (c + 1) % 10]) FOR c IN range(10)] AS v FROM embeddings),
 ex AS (SELECT vec_id, label, v, list_transform(v, lambda x: exp(10 * x)) AS e FROM sc),
 pr AS (SELECT vec_id, label, list_transform(e, lambda x: x / list_sum(e)) AS probs, list_position(v, list_max(v)) - 1 AS pred FROM ex)"""
 
 
 def _scores(t):
-    e = F.transform(F.slice("embedding", 1, 10), lambda x: F.exp(x.cast("double") * 10))
-    df = t("embeddings").withColumn("e", e)
+    wide = t("embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
+    e = F.transform(arrays.sums_by_position("x", 10), lambda s: F.exp(s * 10))
+    df = wide.withColumn("e", e)
     total = F.aggregate("e", F.lit(0.0), lambda s, x: s + x)
     df = df.withColumn("probs", F.transform("e", lambda x: x / total))
     return df.select("vec_id", "label", "probs", arrays.argmax("e").alias("pred"))
