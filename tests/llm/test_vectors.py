@@ -251,7 +251,7 @@ def test_risk_takes_the_prior_off():
 def test_toxicity_query(spark):
     truth = dict(duckdb.sql(f"SELECT doc_id, toxic FROM '{FOLDER}/labels.parquet'").fetchall())
     rows = QUERIES["op13_toxicity"](spark, FOLDER).collect()
-    assert len({r.doc_id for r in rows}) == len(rows) == duckdb.sql(f"SELECT count(*) FROM '{FOLDER}/documents.parquet'").fetchone()[0]
+    assert len({r.doc_id for r in rows}) == len(rows) == duckdb.sql(f"SELECT count(*) FROM '{FOLDER}/documents.parquet'").fetchall()[0][0]
     for r in rows:
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1
     assert set(truth) <= {r.doc_id for r in rows}
