@@ -65,19 +65,39 @@ def hash_index(df: DataFrame, key, seed: int, out: str = "row_index",
         *[F.col(c) for c in df.columns], (F.col("_off") + F.col("_rn")).cast("long").alias(out))
 
 
-def hash_cuts(df: DataFrame, key, seed: int, ranks: Callable[[dict], Mapping],
-              label: str | None = None, leaf: int = 5000, max_labels: int = 1000):
+def label_cuts(df: DataFrame, key, seed: int, label: str, ranks: Callable[[Column], Sequence[Column]], digits: int = 4) -> DataFrame:
+    """(_c, _n, _cuts): per value of `label`, its rows and the md5 digests that stand at some ranks of its hash order.
+
+    `ranks(n)` gives ascending 1-based ranks for a label of n rows; rank 0 gives the empty digest. Label and key
+    alone are read: rows are counted per label and digest prefix, and only the prefixes that hold a wanted
+    rank are put in order. Labels may be any number; a label of a third of all rows lies in 16^digits parts.
+    Nothing comes to the driver.
+    """
+    keyed = df.select(F.col(label).alias("_c"), md5_key(key, seed).alias("_h")).withColumn("_b", F.substring("_h", 1, digits))
+    sizes = keyed.groupBy("_c", "_b").agg(F.count(F.lit(1)).alias("_m"))
+    whole = F.sum("_m").over(Window.partitionBy("_c"))
+    sizes = materialize(sizes.select("_c", "_b", "_m", whole.alias("_n"), _exclusive_sum(F.col("_m"), ["_c"], "_b").alias("_off")), "cut-sizes")
+    steps = F.array(*[r.cast("long") for r in ranks(F.col("_n"))])
+    inside = F.filter(steps, lambda r: (r > F.col("_off")) & (r <= F.col("_off") + F.col("_m")))
+    held = materialize(sizes.select(F.col("_c").alias("_wc"), F.col("_b").alias("_wb"), "_off", inside.alias("_want")).filter(F.size("_want") > 0), "cut-parts")
+    near = keyed.join(held, F.col("_c").eqNullSafe(F.col("_wc")) & (F.col("_b") == F.col("_wb")))
+    place = F.col("_off") + F.row_number().over(Window.partitionBy("_c", "_b").orderBy("_h"))
+    at = near.withColumn("_rank", place).filter(F.array_contains("_want", F.col("_rank")))
+    found = at.groupBy(F.col("_c").alias("_fc")).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_h"))).alias("_at"))
+    labels = sizes.select("_c", "_n").distinct().join(found, F.col("_c").eqNullSafe(F.col("_fc")), "left")
+    cuts = F.transform(steps, lambda r: F.when(r == 0, F.lit("")).otherwise(F.try_element_at("_at", r)))
+    return materialize(labels.select("_c", "_n", cuts.alias("_cuts")), "cuts")
+
+
+def hash_cuts(df: DataFrame, key, seed: int, ranks: Callable[[dict], Mapping], leaf: int = 5000):
     """The md5 digests standing at given ranks of the hash order.
 
-    `ranks(sizes)` gets {label: row count} and returns {label: [rank, ...]} (1-based).
-    Returns (sizes, {label: {rank: digest}}). Each pass reads key and label only and
+    `ranks(sizes)` gets {0: row count} and returns {0: [rank, ...]} (1-based).
+    Returns (sizes, {0: {rank: digest}}). Each pass reads the key only and
     brings back at most 4096 prefix counts per open target, so a split needs no shuffle
     of the table: the caller filters on the digest.
     """
-    lab = F.col(label) if label else F.lit(0)
-    keyed = df.select(lab.alias("_c"), F.coalesce(lab.cast("string"), F.lit("")).alias("_t"), md5_key(key, seed).alias("_h"))
-    if label and keyed.select("_c").distinct().limit(max_labels + 1).count() > max_labels:
-        raise ValueError(f"more than {max_labels} labels in {label}")
+    keyed = df.select(F.lit(0).alias("_c"), F.lit("").alias("_t"), md5_key(key, seed).alias("_h"))
 
     def tag(width: int) -> Column:
         return F.concat_ws("|", F.substring("_h", 1, width), "_t")

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mlframe.operators.ordering import as_list, global_index, hash_cuts, hash_index, md5_key
+from mlframe.operators.ordering import as_list, global_index, hash_cuts, hash_index, label_cuts, md5_key
 from mlframe.operators.ranks import cut_after, rank_keys
 
 
@@ -23,17 +23,6 @@ def test_rows(n: int, test_size: float) -> int:
     return math.ceil(round(test_size * n, 9))
 
 
-def _by_label(df: DataFrame, label: str | None, expr: Mapping) -> Column:
-    """A literal per label value."""
-    if label is None:
-        return next(iter(expr.values()))
-    out = None
-    for c, e in expr.items():
-        cond = F.col(label).isNull() if c is None else F.col(label) == F.lit(c)
-        out = F.when(cond, e) if out is None else out.when(cond, e)
-    return out
-
-
 def _cut_part(h: Column, sizes_in_order: Sequence[tuple[str | int, int]], cuts: Mapping[int, str]) -> Column:
     """Name of the stretch of the hash order that holds the row."""
     out, upto, last = None, 0, sizes_in_order[-1][0]
@@ -45,8 +34,8 @@ def _cut_part(h: Column, sizes_in_order: Sequence[tuple[str | int, int]], cuts:
     return F.lit(last) if out is None else out.otherwise(F.lit(last))
 
 
-def _tag(df: DataFrame, key, seed: int, plan, label: str | None, out: str) -> DataFrame:
-    """Tag rows by `plan(n)` = [(name, size), ...] along the hash order of each label."""
+def _tag(df: DataFrame, key, seed: int, plan, out: str) -> DataFrame:
+    """Tag rows by `plan(n)` = [(name, size), ...] along the hash order."""
     def ranks(sizes):
         want = {}
         for c, n in sizes.items():
@@ -58,9 +47,23 @@ def _tag(df: DataFrame, key, seed: int, plan, label: str | None, out: str) -> Da
             want[c] = steps
         return want
 
-    sizes, cuts = hash_cuts(df, key, seed, ranks, label)
+    sizes, cuts = hash_cuts(df, key, seed, ranks)
+    h = md5_key(key, seed)
+    if not sizes:  # no rows
+        return df.withColumn(out, F.lit(plan(0)[-1][0]))
+    return df.withColumn(out, _cut_part(h, plan(sizes[0]), cuts[0]))
+
+
+def _tag_within(df: DataFrame, key, seed: int, label: str, names: Sequence, upto, out: str) -> DataFrame:
+    """Tag the rows of each label along its hash order: `upto(n)` holds the last ranks of all parts but the last.
+
+    The cuts stand in a table with a row per label, joined by label: Spark broadcasts it while it is small.
+    """
+    cuts = label_cuts(df, key, seed, label, upto)
     h = md5_key(key, seed)
-    return df.withColumn(out, _by_label(df, label, {c: _cut_part(h, plan(n), cuts[c]) for c, n in sizes.items()}))
+    place = F.size(F.filter("_cuts", lambda c: c < h))
+    tagged = df.join(cuts, F.col(label).eqNullSafe(F.col("_c")), "left").withColumn(out, F.element_at(F.array(*map(F.lit, names)), place + 1))
+    return tagged.drop("_c", "_n", "_cuts")
 
 
 def tag_split(df: DataFrame, key, test_size: float = 0.25, seed: int = 0, label: str | None = None,
@@ -69,7 +72,9 @@ def tag_split(df: DataFrame, key, test_size: float = 0.25, seed: int = 0, label:
     def plan(n):
         t = test_rows(n, test_size)
         return [("train", n - t), ("test", t)]
-    return _tag(df, key, seed, plan, label, out)
+    if label is None:
+        return _tag(df, key, seed, plan, out)
+    return _tag_within(df, key, seed, label, ["train", "test"], lambda n: [n - F.ceil(F.round(n * F.lit(float(test_size)), 9))], out)
 
 
 def train_test_split(df: DataFrame, key, test_size: float = 0.25, seed: int = 0, shuffle: bool = True,
@@ -113,12 +118,14 @@ def _fold_plan(k: int):
 
 def kfold(df: DataFrame, key, k: int = 5, seed: int = 0, out: str = "fold") -> DataFrame:
     """Folds 0..k-1 whose sizes differ by at most one."""
-    return _tag(df, key, seed, _fold_plan(k), None, out)
+    return _tag(df, key, seed, _fold_plan(k), out)
 
 
 def stratified_kfold(df: DataFrame, key, label: str, k: int = 5, seed: int = 0, out: str = "fold") -> DataFrame:
     """Folds 0..k-1, near equal within each label."""
-    return _tag(df, key, seed, _fold_plan(k), label, out)
+    # the first n % k folds hold one row more
+    return _tag_within(df, key, seed, label, list(range(k)),
+                       lambda n: [F.floor(n / k) * i + F.least(F.lit(i), n % k) for i in range(1, k)], out)
 
 
 def aligned_split(blocks: Sequence[DataFrame], key: str, test_size: float = 0.25, seed: int = 0):

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mlframe.functions.arrays import pad_sequence
 from mlframe.operators.ordering import as_list, global_index
+from mlframe.session import materialize
 
 # Characters that separate words besides the space.
 SEPARATORS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n'
 
-HEAD_WORDS = 200_000  # the most frequent words, joined by broadcast
+HEAD_WORDS = 200_000  # the most frequent words, held by every worker
 HEAD_CHARS = 64       # and only words up to this length, which bounds the broadcast in bytes
 
 
@@ -65,27 +71,49 @@ def vocab_size(vocab: DataFrame) -> DataFrame:
 
 def texts_to_sequences(df: DataFrame, text: str, key, vocab: DataFrame, out: str = "seq",
                        head: int = HEAD_WORDS) -> DataFrame:
-    """(key, out): known word ids in text order; unknown words are dropped.
+    """(key, out): known word ids in text order; unknown words are dropped, a null text gives no ids.
 
-    The index follows frequency, so the `head` words carry every hot key: they are joined
-    by broadcast (at most `head` short words), the rare rest by a shuffle join.
+    A text is translated in one pass where it lies: the index follows frequency, so the `head` most frequent
+    short words (bounded in rows and bytes) stand in a sorted array on each worker. Only what is left over,
+    words outside the head, is exploded and joined to the rest of the vocabulary, and only their texts are
+    joined back; keys must be unique.
     """
     key = as_list(key)
-    toks = df.select(*key, F.posexplode_outer(_pieces(text)).alias("pos", "word"))
-    toks = toks.filter((F.coalesce("pos", F.lit(0)) == 0) | (F.col("word") != ""))
     in_head = (F.col("idx") <= head) & (F.length("word") <= HEAD_CHARS)
-    top = F.broadcast(vocab.filter(in_head).select("word", "idx"))
-    # the first position stays even if unknown, so a text without known words keeps its row
-    known = (toks.join(top, "word", "left").select(*key, "pos", "idx")
-             .filter(F.col("idx").isNotNull() | (F.coalesce("pos", F.lit(0)) == 0)))
+    top = vocab.filter(in_head).select("word", F.col("idx").cast("long").alias("idx")).toArrow()
+    shared = df.sparkSession.sparkContext.broadcast(top)
+    cut = df.select(*key, words(text).alias("_w"))
+    schema = T.StructType([*[cut.schema[k] for k in key], T.StructField("_ids", T.ArrayType(T.LongType())), T.StructField("_left", T.ArrayType(T.StringType()))])
+    coded = cut.mapInArrow(_translate(shared), schema)
+    idx = vocab.schema["idx"].dataType.simpleString()
+    ids = F.coalesce("_ids", F.array().cast("array<bigint>"))
     rest = vocab.filter(~in_head).select("word", "idx")
-    if not rest.isEmpty():
-        rare = toks.join(top, "word", "left_anti").join(rest, "word").select(*key, "pos", "idx")
-        known = known.unionByName(rare)
-    # one group is one text: its ids are the output row itself
-    pair = F.when(F.col("idx").isNotNull(), F.struct("pos", "idx"))
-    seqs = known.groupBy(*key).agg(F.array_sort(F.collect_list(pair)).alias("_s"))
-    return seqs.select(*key, F.transform("_s", lambda s: s["idx"]).alias(out))
+    if rest.isEmpty():
+        return coded.select(*key, F.array_compact(ids).cast(f"array<{idx}>").alias(out))
+    coded = materialize(coded, "translated")
+    # _left holds a word where _ids holds none
+    rare = coded.select(*key, F.posexplode("_left").alias("pos", "word")).filter(F.col("word").isNotNull())
+    found = rare.join(rest, "word").groupBy(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(key)]).agg(
+        F.map_from_entries(F.collect_list(F.struct("pos", F.col("idx").cast("long")))).alias("_found"))
+    both = coded.join(found, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r{i}")) for i, k in enumerate(key)]), "left")
+    filled = F.when(F.col("_found").isNull(), ids).otherwise(F.transform(ids, lambda x, i: F.coalesce(x, F.try_element_at("_found", i))))
+    return both.select(*key, F.array_compact(filled).cast(f"array<{idx}>").alias(out))
+
+
+def _translate(shared):
+    """Batches of (key..., words) to (key..., ids, words without an id), list by list."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        known, ids = table["word"].combine_chunks(), table["idx"].combine_chunks()
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            flat, size = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0)
+            place = pc.index_in(flat.cast(known.type), value_set=known)
+            ends = np.concatenate([[0], np.cumsum(size.to_numpy(zero_copy_only=False))]).astype(np.int32)
+            left = pc.if_else(pc.is_null(place), flat, pa.scalar(None, flat.type))
+            made = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), part) for part in (ids.take(place), left)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], "_ids", "_left"])
+    return run
 
 
 def pad_sequences(df: DataFrame, arr: str, maxlen: int, padding: str = "pre", truncating: str = "pre",

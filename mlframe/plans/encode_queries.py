@@ -115,6 +115,20 @@ def one_hot_columns(t):
     return encode.one_hot(t("lineitem", *_KEYS, "l_returnflag"), "l_returnflag", "flag")
 
 
+@query("""
+WITH v AS (SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderpriority) AS p, dense_rank() OVER (ORDER BY o_custkey) AS c FROM orders),
+n AS (SELECT max(p) AS ps, max(c) AS cs FROM v)
+SELECT o_orderkey, p - 1 AS first_one, ps + c - 1 AS second_one, ps + cs AS width FROM v, n
+""")
+def wide_one_hot(t):
+    """Positions of the ones for columns with any number of categories."""
+    df = t("orders", "o_orderkey", "o_orderpriority", "o_custkey")
+    hot, fitted = encode.one_hot_sparse(df, ["o_orderpriority", "o_custkey"])
+    width = sum(n for n, _, _ in fitted.sizes.values())
+    return hot.select("o_orderkey", F.get("hot", F.lit(0)).cast("long").alias("first_one"), F.get("hot", F.lit(1)).cast("long").alias("second_one"),
+                      F.lit(width).cast("long").alias("width"))
+
+
 @query("""
 SELECT o_orderkey, """ + ", ".join(
     [f"""CAST(o_orderstatus = '{v}' AS INTEGER) AS "o_orderstatus_{v}" """ for v in "FOP"] +

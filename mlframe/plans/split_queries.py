@@ -78,6 +78,21 @@ def stratified_folds(t):
     return split.stratified_kfold(t("events", "event_id", "event_type"), "event_id", "event_type", 5, 1)
 
 
+@query(f"WITH {_hashed('orders', 'o_orderkey', 4, 'o_custkey')} SELECT o_orderkey, o_custkey, {_FOLD.format(k=3)} AS fold FROM r")
+def many_label_folds(t):
+    """T7 with thousands of labels."""
+    return split.stratified_kfold(t("orders", "o_orderkey", "o_custkey"), "o_orderkey", "o_custkey", 3, 4)
+
+
+@query(f"""
+WITH {_hashed('orders', 'o_orderkey', 6, 'o_custkey')}
+SELECT o_orderkey, o_custkey, CASE WHEN rn <= n - ceil(0.25 * n) THEN 'train' ELSE 'test' END AS split FROM r
+""")
+def many_label_split(t):
+    """T4 with thousands of labels."""
+    return split.tag_split(t("orders", "o_orderkey", "o_custkey"), "o_orderkey", 0.25, 6, "o_custkey")
+
+
 @query(f"""
 WITH {_hashed('orders', 'o_orderkey', 11)} SELECT o_orderkey, o_totalprice, o_orderstatus, o_orderpriority FROM r WHERE rn > n - ceil(0.1 * n)
 """)
