@@ -16,6 +16,7 @@ from __future__ import annotations
 import codecs
 import json
 import os
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -117,6 +118,9 @@ class FrontEnd:
         self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         # if it lower-cases letters and parts them from the stops behind them, plain words need no call of it
         self.simple = self.full("Qwertyuiopasdfghjklzxcvbnm.,") == ["qwertyuiopasdfghjklzxcvbnm", ".,"]
+        # leftmost, then longest; such plain words hold none of them if each has another character
+        self.marks = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+        self.plain = self.simple and all(re.search("[^A-Za-z.,]", a) for a in self.added)
 
     def full(self, text: str) -> list[str]:
         text = self.normal.normalize_str(text) if self.normal else text
@@ -130,16 +134,20 @@ class FrontEnd:
                 return [core.lower(), text[len(core):]] if len(core) < len(text) else [core.lower()]
         return self.full(text)
 
-    def parts(self, word: bytes) -> Iterator[str | int]:
+    def parts(self, word: bytes) -> list[str | int]:
         """Pre-tokens of a word and ids of the added tokens in it, leftmost and longest first."""
-        text = word.decode()
-        while text:
-            at, size = min(((text.find(a), -len(a)) for a in self.added if a in text), default=(len(text), 0))
-            if at:
-                yield from self.pieces(text[:at])
-            if size:
-                yield self.added[text[at:at - size]]
-            text = text[at - size:]
+        if self.plain:
+            core = word.rstrip(b".,")
+            if core.isalpha():
+                lower = core.lower().decode()
+                return [lower] if len(core) == len(word) else [lower, word[len(core):].decode()]
+        text, out, at = word.decode(), [], 0
+        for hit in self.marks.finditer(text) if self.marks else ():
+            if hit.start() > at:
+                out += self.pieces(text[at:hit.start()])
+            out.append(self.added[hit.group()])
+            at = hit.end()
+        return out + self.pieces(text[at:]) if at < len(text) else out
 
 
 def transduce(m: Merges, piece: str, hold: int | None = None) -> Iterator[int]:

@@ -4,6 +4,7 @@ Format. A table of segments in document order, each with `part`, `seg`, the docu
 count and the byte offset of each document in `body`, and the hash of the dictionary. `body` holds one
 zstandard frame per document over its ids as little-endian unsigned integers of `width` bytes. The
 dictionary stands in a table of its own beside them, as does the number of ids in front of each part. A
+segment also holds the number of ids before it in its part, and its least and greatest key. A
 reader of one document takes its segment, cuts `body` at the offset and inflates that frame only.
 
 Segments are rows that Spark writes and commits, so files appear whole or not at all in any store.
@@ -23,12 +24,14 @@ from pyspark.sql import functions as F
 
 from mlframe.llm.bpe import FrontEnd
 from mlframe.llm.common import Cache
+from mlframe.session import materialize
 
 END = 2
 SAMPLE_DOCS = 2048  # documents that train the dictionary, at most
 SAMPLE_CHARS = 4096  # of each of them, at most: the dictionary serves short documents
 DICTIONARY_BYTES = 64 << 10
 SEGMENT_BYTES = 1 << 20
+PART_BYTES = 64 << 20  # of texts in a part, about
 LEVEL = 3
 
 
@@ -44,12 +47,14 @@ class Encoder:
         self.model = self.front.tokenizer.model
         self.width = 2 if self.front.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.word = Cache(self.fresh, 400_000)
+        self.short = Cache(self.piece, 20_000)  # stops and the like, behind many words
+
+    def piece(self, piece: str) -> bytes:
+        return b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(piece)])
 
     def fresh(self, word: bytes) -> bytes:
-        ids: list[int] = []
-        for piece in self.front.parts(word):
-            ids += [piece] if isinstance(piece, int) else [t.id for t in self.model.tokenize(piece)]
-        return b"".join([i.to_bytes(self.width, "little") for i in ids])
+        return b"".join([p.to_bytes(self.width, "little") if isinstance(p, int) else self.short[p] if len(p) < 3 else self.piece(p)
+                         for p in self.front.parts(word)])
 
     def ids(self, text: str | None) -> bytes:
         return b"".join(map(self.word.__getitem__, text.encode().split())) if text else b""
@@ -61,49 +66,74 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def train_dictionary(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> bytes:
-    """A dictionary from at most SAMPLE_DOCS texts of at most SAMPLE_CHARS characters, in hash order.
+def dictionary_sample(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[list[str], int]:
+    """The SAMPLE_DOCS texts of at most SAMPLE_CHARS characters that come first in hash order, and an estimate of all texts' bytes.
+
+    A pass keeps the rows below a hash bound that should hold eight times as many; only if it holds too few
+    is the bound raised. Their hashes come to the driver, then the texts that are wanted.
+    """
+    rows, share = docs.count(), 0.0
+    hashed = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("h"), F.coalesce(F.octet_length(text), F.lit(0)).alias("bytes"),
+                         F.when(F.length(text).between(1, SAMPLE_CHARS), F.col(text)).alias("text"))
+    while True:
+        share = min(1.0, max(8 * SAMPLE_DOCS / max(rows, 1), 8 * share))
+        bound = (1 << 63) - 1 if share == 1.0 else int(share * 2.0 ** 64) - (1 << 63)
+        near = materialize(hashed.filter(F.col("h") <= F.lit(bound)), "token-sample")
+        fit = near.filter("text IS NOT NULL")
+        hashes = [r.h for r in fit.select("h").orderBy("h").limit(SAMPLE_DOCS).collect()]
+        if len(hashes) == SAMPLE_DOCS or share == 1.0:
+            break
+    seen = near.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
+    size = rows * (seen.bytes or 0) // max(seen.n, 1)
+    wanted = fit.filter(F.col("h") <= F.lit(hashes[-1])).orderBy("h", "text").limit(SAMPLE_DOCS) if hashes else None
+    return [r.text for r in wanted.collect()] if hashes else [], size
+
+
+def train_dictionary(texts: list[str], path: str) -> bytes:
+    """A dictionary from the ids of sample texts.
 
     Too few or too short samples make their own bytes the dictionary; without any it is empty.
     """
     import zstandard
 
-    rows = docs.filter((F.length(text) > 0) & (F.length(text) <= SAMPLE_CHARS)).select(F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("h"))
     coder = encoder(path)
     end = END.to_bytes(coder.width, "little")
-    samples = [coder.ids(r.text) + end for r in rows.orderBy("h", "text").limit(SAMPLE_DOCS).collect()]
+    samples = [coder.ids(t) + end for t in texts]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[:DICTIONARY_BYTES]
 
 
-SEGMENT = pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("width", pa.int32()), ("dictionary_hash", pa.int64()),
+SEGMENT = pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("ahead", pa.int64()), ("least", pa.int64()), ("most", pa.int64()), ("width", pa.int32()), ("dictionary_hash", pa.int64()),
                      ("keys", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("offsets", pa.list_(pa.int64())), ("body", pa.binary())])
-SEGMENT_SQL = "part int, seg int, width int, dictionary_hash long, keys array<long>, counts array<int>, offsets array<long>, body binary"
+SEGMENT_SQL = "part int, seg int, ahead long, least long, most long, width int, dictionary_hash long, keys array<long>, counts array<int>, offsets array<long>, body binary"
 
 
 def write_ids(docs: DataFrame, out: str, path: str, key: str = "doc_id", text: str = "text") -> None:
     """Write the ids of every text (null: empty), each with END appended, under `out`, in ascending `key` order.
 
-    Null keys come first; rows of one key are in the order of a hash of their texts.
+    Null keys come first; rows of one key are in the order of a hash of their texts. An empty text is END alone,
+    a text of any length is one frame, and an empty table leaves no segment. The number of parts follows the texts' bytes.
     """
     import zstandard
     import xxhash
 
     spark = docs.sparkSession
-    dictionary = train_dictionary(docs, path, key, text)
+    texts, size = dictionary_sample(docs, key, text)
+    dictionary = train_dictionary(texts, path)
     check = xxhash.xxh3_64_intdigest(dictionary) >> 1
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         part, seg, end = TaskContext.get().partitionId(), 0, END.to_bytes(coder.width, "little")
-        keys, counts, frames, held = [], [], [], 0
+        keys, counts, frames, held, ahead = [], [], [], 0, 0
 
         def segment() -> pa.RecordBatch:
             offsets = [0, *accumulate(map(len, frames))][:-1]
-            row = [part], [seg], [coder.width], [check], [keys], [counts], [offsets], [b"".join(frames)]
+            least, most = (min((k for k in keys if k is not None), default=None), max((k for k in keys if k is not None), default=None))
+            row = [part], [seg], [ahead], [least], [most], [coder.width], [check], [keys], [counts], [offsets], [b"".join(frames)]
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, SEGMENT)], schema=SEGMENT)
 
         for batch in batches:
@@ -116,13 +146,15 @@ def write_ids(docs: DataFrame, out: str, path: str, key: str = "doc_id", text: s
                 held += len(frame)
                 if held >= SEGMENT_BYTES:
                     yield segment()
+                    ahead += sum(counts)
                     keys, counts, frames, held, seg = [], [], [], 0, seg + 1
         if keys:
             yield segment()
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     tie = F.xxhash64("text")
-    laid = rows.repartitionByRange("key", tie).sortWithinPartitions("key", tie, "text")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES + 1)
+    laid = rows.repartitionByRange(parts, "key", tie).sortWithinPartitions("key", tie, "text")
     laid.mapInArrow(pack, SEGMENT_SQL).write.parquet(f"{out}/segments")
     spark.createDataFrame([(bytearray(dictionary), check)], "dictionary binary, dictionary_hash long").write.parquet(f"{out}/dictionary")
     ids = F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c)
@@ -132,15 +164,16 @@ def write_ids(docs: DataFrame, out: str, path: str, key: str = "doc_id", text: s
     spark.createDataFrame(base, "part int, base long").write.parquet(f"{out}/parts")
 
 
-FOUND = "part int, seg int, key long, place int, rel long, n_tokens long, ids binary"
+FOUND = "key long, start long, n_tokens long, ids binary"
 
 
 def read_ids(spark: SparkSession, out: str, key: int | None = None) -> DataFrame:
     """(key, start, n_tokens, ids) of each document, or of those with one `key`, from the files alone.
 
     `start` is the number of ids of all documents before it; `ids` are little-endian unsigned 32-bit
-    integers. A dictionary that does not match the segments' hash is an error. With `key`, only segments
-    that list it are read and only its frames inflated.
+    integers. A dictionary that does not match the segments' hash is an error. Each segment knows how many
+    ids stand before it in its part, so only a row per part is joined (by broadcast) and ids never move.
+    With `key`, the files skip segments whose range of keys leaves it out, and only its frames are inflated.
     """
     book = spark.read.parquet(f"{out}/dictionary").first()
     dictionary, check = bytes(book.dictionary), book.dictionary_hash
@@ -153,27 +186,18 @@ def read_ids(spark: SparkSession, out: str, key: int | None = None) -> DataFrame
             for r in batch.to_pylist():
                 if r["dictionary_hash"] != check:
                     raise ValueError("the segments were written with another dictionary")
-                rows, rel, body = [], 0, memoryview(r["body"])
-                for place, (k, n, a, b) in enumerate(zip(r["keys"], r["counts"], r["offsets"], [*r["offsets"][1:], len(body)])):
+                rows, start, body = [], r["base"] + r["ahead"], memoryview(r["body"])
+                for k, n, a, b in zip(r["keys"], r["counts"], r["offsets"], [*r["offsets"][1:], len(body)]):
                     if key is None or k == key:
                         ids = np.frombuffer(inflate.decompress(body[a:b]), f"<u{r['width']}").astype("<u4").tobytes()
-                        rows.append((r["part"], r["seg"], k, place, rel, n, ids))
-                    rel += n
+                        rows.append((k, start, n, ids))
+                    start += n
                 for at in range(0, len(rows), 1024):
-                    cols = zip(*rows[at:at + 1024])
-                    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)],
-                                                     ["part", "seg", "key", "place", "rel", "n_tokens", "ids"])
+                    cols, kinds = zip(*rows[at:at + 1024]), [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], ["key", "start", "n_tokens", "ids"])
 
     segments = spark.read.parquet(f"{out}/segments")
-    size = F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c)
-    from pyspark.sql import Window
-
-    ahead = segments.select("part", "seg", size.alias("n"))
-    run = F.sum("n").over(Window.partitionBy("part").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1))
-    base = spark.read.parquet(f"{out}/parts")
-    ahead = ahead.withColumn("before", F.coalesce(run, F.lit(0))).join(base, "part").select("part", "seg", (F.col("before") + F.col("base")).alias("from"))
     if key is not None:
-        segments = segments.filter(F.array_contains("keys", key))
-    found = segments.mapInArrow(unpack, FOUND).join(ahead, ["part", "seg"])
-    return found.select("key", (F.col("from") + F.col("rel")).alias("start"), "n_tokens", "ids")
+        segments = segments.filter((F.col("least") <= key) & (F.col("most") >= key))
+    base = spark.read.parquet(f"{out}/parts")
+    return segments.join(F.broadcast(base), "part").mapInArrow(unpack, FOUND)
