@@ -3,10 +3,12 @@
 A text's lines are hashed, and a hash rolling over each pair of neighbouring line hashes ends a chunk
 where it falls on one value in `DIVISOR`. The ends depend on two lines only, so a line put in or taken
 out moves at most the chunks around it. Chunks with two or more lines that are not blank are counted
-over the whole corpus by hash; of those that repeat, the texts are grouped by their full bytes and every
+over the whole corpus by hash; of those that repeat, the bytes of all texts of a hash are compared and every
 occurrence but the first (smallest key, then position) is removed.
 
-The counts travel as hashes and are summed before the shuffle; only the text of repeated chunks moves.
+The counts travel as hashes and are summed before the shuffle. The texts move twice: to the repeated hashes,
+and to the list of what each document loses. They are compared by the least and greatest text of a hash, so only
+a hash that stands for several texts needs its texts a third time. Joins are merges at any size.
 A chunk that a third of all documents share is one row per task after partial aggregation, and the join
 that marks its occurrences deals it over `SALTS` parts per repeated chunk.
 
@@ -46,6 +48,10 @@ def _laid(df: DataFrame, text: str) -> DataFrame:
     return _once(df, "ld_spans", F.zip_with(starts, F.col("ld_ends"), lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))))
 
 
+def _digest(chunk: Column) -> Column:
+    return F.xxhash64(chunk)
+
+
 def _part(span: Column) -> Column:
     return F.slice("ld_lines", span["lo"] + 1, span["hi"] - span["lo"])
 
@@ -56,7 +62,7 @@ def _chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
     parts = F.transform("ld_spans", lambda s: F.struct(
         (F.size(F.filter(_part(s), lambda x: x.rlike(WORD))) > 1).alias("whole"), F.array_join(_part(s), "\n").alias("chunk")))
     df = _laid(df, "text").select("ld_id", "ld_text", F.posexplode(parts).alias("no", "part")).filter("part.whole")
-    return df.select("ld_id", "ld_text", "no", F.col("part.chunk").alias("chunk"), F.xxhash64("part.chunk").alias("hash"))
+    return df.select("ld_id", "ld_text", "no", F.col("part.chunk").alias("chunk"), _digest(F.col("part.chunk")).alias("hash"))
 
 
 def removed_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -66,13 +72,21 @@ def removed_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     often = materialize(often, "ld-often")
     salted = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64("ld_id", "no"), F.lit(SALTS)).cast("int")
-    hits = materialize(chunks.withColumn("salt", salt).join(salted, ["hash", "salt"], "left_semi"), "ld-hits")
-    # equal bytes, not equal hashes: the text is part of the group; order by key (null first), text, place
+    hits = materialize(chunks.withColumn("salt", salt).join(salted.hint("merge"), ["hash", "salt"], "left_semi"), "ld-hits")
+    # equal bytes, not equal hashes; order by key (null first), text, place
     place = F.struct(F.col("ld_id").isNotNull().alias("has"), F.col("ld_id"), F.col("ld_text"), F.col("no"))
-    first = hits.groupBy("hash", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    gone = hits.withColumn("place", place).join(first.select("hash", "chunk", "salt", "first"), ["hash", "chunk", "salt"]).filter("place <> first")
-    return gone.groupBy("ld_id", "ld_text").agg(F.collect_set("no").alias("nos"))
+    byte = F.min("chunk") == F.max("chunk")
+    first = materialize(hits.groupBy("hash").agg(F.min(place).alias("first"), byte.alias("equal")), "ld-first")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    slim = hits.select("hash", "salt", place.alias("place"))
+    gone = slim.join(first.filter("equal").select("hash", "first", salts.alias("salt")).hint("merge"), ["hash", "salt"])
+    gone = gone.filter("place <> first").select("place")
+    mixed = first.filter("NOT equal").select("hash")
+    if not mixed.isEmpty():  # one hash for several texts: those are told apart by the texts themselves
+        odd = hits.join(mixed, "hash", "left_semi")
+        each = odd.groupBy("hash", "chunk").agg(F.min(place).alias("first")).withColumn("salt", salts)
+        gone = gone.unionByName(odd.withColumn("place", place).join(each, ["hash", "chunk", "salt"]).filter("place <> first").select("place"))
+    return gone.groupBy("place.ld_id", "place.ld_text").agg(F.collect_set("place.no").alias("nos"))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -85,7 +99,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     # numbered names keep the input's columns apart from working ones
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     cut = docs.toDF(*at.values()).withColumns({"id": F.col(at[key]), "text": F.col(at[text]), "hash": F.xxhash64(at[text])})
-    cut = cut.join(gone, F.col("id").eqNullSafe(F.col("ld_id")) & (F.col("hash") == F.col("ld_text")), "left")
+    cut = cut.join(gone.hint("merge"), F.col("id").eqNullSafe(F.col("ld_id")) & (F.col("hash") == F.col("ld_text")), "left")
     hit = F.col("nos").isNotNull()
     cut = _laid(cut, "text")
     left = F.array_except(F.sequence(F.lit(0), F.size("ld_spans") - 1), F.col("nos"))

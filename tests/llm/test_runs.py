@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from mlframe.llm import linededup
 
 SCHEMA = "doc_id long, text string"
@@ -52,3 +54,13 @@ def test_equal_rows_and_null_keys(spark):
     rows = [(1, "a\nb\nc"), (1, "a\nb\nc"), (None, "b\nc")]
     out = linededup.dedup_runs(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r.doc_id or 0, r.text, r.n_removed) for r in out) == [(0, "b\nc", 0), (1, "a", 2), (1, "a", 2)]
+
+
+def test_chunks_of_one_hash_are_told_apart_by_their_bytes(spark, monkeypatch):
+    passage = "\n".join(f"line {i} of the shared passage" for i in range(12))
+    rows = [(i, f"own {i} start\n{passage}\nown {i} end\nlast {i} line") for i in range(6)] + [(7, None), (8, ""), (9, passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, linededup.dedup_lines(df).collect()), key=str)
+    assert sum(r[-1] for r in want) > 0
+    monkeypatch.setattr(linededup, "_digest", lambda chunk: F.length(chunk).cast("long") % 2)
+    assert sorted(map(tuple, linededup.dedup_lines(df).collect()), key=str) == want
