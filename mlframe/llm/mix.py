@@ -117,8 +117,9 @@ def planned(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
         [(s, int(i), int(b)) for s, i, b in zip(cat["source"], cat["no"], cat["blocks"])], "s_source string, s_no int, s_blocks long")
 
     def placed(df: DataFrame, src: str, h: str, no: str, block: str) -> DataFrame:
-        joined = df.join(F.broadcast(sources), F.col(src).eqNullSafe(F.col("s_source")), "left")
-        return joined.withColumns({no: F.col("s_no"), block: F.pmod(F.col(h), F.col("s_blocks"))}).drop("s_source", "s_no", "s_blocks")
+        name, number, count = (fresh(df, c) for c in sources.columns)  # the input may have columns of these names
+        joined = df.join(F.broadcast(sources.toDF(name, number, count)), F.col(src).eqNullSafe(F.col(name)), "left")
+        return joined.withColumns({no: F.col(number), block: F.pmod(F.col(h), F.col(count))}).drop(name, number, count)
 
     blocks = placed(slim, "source", "h", "no", "block")
     got = blocks.groupBy("no", "block").agg(F.sum("size").alias("size")).toPandas().sort_values(["no", "block"])
@@ -162,12 +163,13 @@ def planned(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
     table = table.groupBy("b_no", "b_block").agg(F.sort_array(F.collect_list(F.struct("b_pass", "b_shard", "b_low", "b_high", "b_most"))).alias("b_draws"))
 
     out = placed(full, source, n.hash, n.no, n.block)
-    out = out.join(F.broadcast(table), (F.col(n.no) == F.col("b_no")) & (F.col(n.block) == F.col("b_block")), "left")
-    kept = F.filter("b_draws", lambda d: F.col(n.hash).between(d["b_low"], d["b_high"]) & (F.coalesce(n.size, F.lit(0)) <= d["b_most"]))
+    at = [fresh(out, c) for c in table.columns]
+    out = out.join(F.broadcast(table.toDF(*at)), (F.col(n.no) == F.col(at[0])) & (F.col(n.block) == F.col(at[1])), "left")
+    kept = F.filter(at[2], lambda d: F.col(n.hash).between(d["b_low"], d["b_high"]) & (F.coalesce(n.size, F.lit(0)) <= d["b_most"]))
     draws = F.transform(kept, lambda d: F.struct(d["b_pass"].alias("pass"), d["b_shard"].alias("shard")))
     out = out.withColumn(n.draws, F.coalesce(draws, F.array().cast("array<struct<pass:int,shard:int>>")))
     cat.attrs["shards"] = shards
-    return out.drop("b_no", "b_block", "b_draws"), cat, n
+    return out.drop(*at), cat, n
 
 
 def _edge_parts(blocks: DataFrame, at: list[tuple[int, int, float]]) -> dict[int, list[tuple[int, int, int, int]]]:

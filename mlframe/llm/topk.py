@@ -26,6 +26,7 @@ LEAF = 64
 SCALE = 1024
 SAFE = float(1 << 53)
 NONE = -(1 << 63)  # no k-th score known yet
+LOW, HIGH = NONE + 1, (1 << 63) - 1  # scores beyond these are set to them
 
 
 def fixed_point(vector: str | Column) -> Column:
@@ -35,6 +36,11 @@ def fixed_point(vector: str | Column) -> Column:
     return F.when(fine & (F.size(v) > 0), F.transform(v, lambda x: F.floor(x.cast("double") * SCALE)))
 
 
+def held(scores: np.ndarray) -> np.ndarray:
+    """Python integers kept within the 64-bit range; doubles are exact and far inside it."""
+    return np.minimum(np.maximum(scores, LOW), HIGH) if scores.dtype == object else scores
+
+
 class KDTree:
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.order = np.arange(len(ids))
@@ -62,7 +68,7 @@ class KDTree:
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """queries x nodes: the highest score that a point of the node's box can have."""
-        return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
+        return held(np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T)
 
     def search(self, query: np.ndarray, bound: np.ndarray, own: int, k: int, floor_score: int) -> list[tuple[int, int]]:
         """(score, id) of the k best rows but `own` that reach `floor_score`; ties go to smaller ids."""
@@ -77,7 +83,7 @@ class KDTree:
                     heapq.heappush(todo, (-bound[c], c))
                 continue
             lo, hi = self.span[node]
-            score = self.rows[lo:hi] @ query
+            score = held(self.rows[lo:hi] @ query)
             least = best[0][0] if len(best) == k else floor_score
             for j in np.flatnonzero(score >= least):
                 if (i := int(self.ids[lo + j])) != own:
@@ -131,19 +137,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_i
     """(query_id, rank, vec_id, score) of each query's k highest integer inner products.
 
     Components become floor(1024 x). Rows without a key and vectors that are null, empty or hold a null or
-    non-finite component take no part; vectors of different length do not meet. Rows that repeat a key are one row
-    if their vectors are equal, else the smallest vector counts; a row is never its own neighbour. Fewer than k candidates give them all.
+    non-finite component take no part; vectors of different length do not meet. Every row is a candidate, also
+    those that repeat a key, except for queries of its own key; queries that repeat a key are asked once, with the
+    smallest vector. Fewer than k candidates give them all, an empty table none. Scores that leave the 64-bit range are
+    set to its ends, and are ties there.
     """
     def cleaned(df: DataFrame) -> DataFrame:
         df = df.select(F.col(key).cast("long").alias("id"), fixed_point(vector).alias("v")).filter("id is not null and v is not null")
-        return df.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+        return df.withColumn("dim", F.size("v"))
 
     rows = materialize(cleaned(vectors), "kd-rows")
     total = rows.count()
     shards = max(1, -(-total // SHARD_ROWS))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    # by the row's place in the stored table: rows of one key are dealt out as any others
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
     shard = materialize(_stacked(rows, "shard"), "kd-shards")
-    asked = cleaned(queries).withColumns({"home": F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"), "least": F.lit(NONE)})
+    asked = cleaned(queries).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")).withColumns({"home": F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"), "least": F.lit(NONE)})
     asked = materialize(asked, "kd-queries")
     blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
 

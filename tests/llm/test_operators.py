@@ -244,20 +244,41 @@ def test_top_k(spark, scale):
     rows = [(i, [float(x) for x in x], "z") for i, x in enumerate(v)] + [(1000, None, "z"), (1100, [1.0, None] * 3, "z"), (1200, [math.nan] * 6, "z"), (None, [1.0] * 6, "z")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, shard string")
     fixed = [[math.floor(1024 * x) for x in row] for row in v.tolist()]
-    if scale > 1:
-        with pytest.raises(Exception, match="(?i)overflow|too large|int"):
-            topk.top_k(df, df.filter("vec_id % 100 = 0"), 3).collect()
-        return
     got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df, df.filter("vec_id % 100 = 0"), 10).collect()}
     want = {}
     for q in range(0, 700, 100):
-        order = sorted((-sum(a * b for a, b in zip(fixed[q], fixed[i])), i) for i in range(700) if i != q)
+        # scores beyond 64 bits are set to the ends of the range
+        inner = {i: max(1 - 2**63, min(2**63 - 1, sum(a * b for a, b in zip(fixed[q], fixed[i])))) for i in range(700) if i != q}
+        order = sorted((-s, i) for i, s in inner.items())
         want |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(order[:10])}
     assert got == want
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
     assert topk.top_k(df.filter("vec_id < 3"), df.filter("vec_id = 0")).count() == 2
 
 
+def test_top_k_takes_every_row_of_a_repeated_key(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [3.0, 0.0]), (1, [3.0, 0.0]), (2, [2.0, 0.0])], "vec_id long, embedding array<double>")
+    got = [(r["rank"], r.vec_id, r.score >> 20) for r in topk.top_k(df, df.filter("vec_id = 0"), 4).orderBy("rank").collect()]
+    assert got == [(1, 1, 3), (2, 1, 3), (3, 2, 2), (4, 1, 1)]
+
+
+def test_long_labelled_texts_are_learned_from(spark):
+    rows = [(1, "der die das und nicht " * 2000, "de"), (2, "the and of to in is " * 10, "en"), (3, "das und die nicht", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = langid.labelled_sample(df, F.col("doc_id") < 3)
+    assert {name for name, _ in samples} == {"de", "en"} and max(len(t) for _, t in samples) <= langid.SAMPLE_CHARS
+    assert langid.identify(df, samples).filter("doc_id = 3").first().lang_pred == "de"
+
+
+def test_mix_with_clashing_names(spark):
+    rows = [(i, "some words here " * (i % 5 + 1), "abc"[i % 3], 1, 2, 3, 4) for i in range(60)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, source string, x1 int, x2 int, x3 int, x4 int")
+    clash = plain.toDF("doc_id", "text", "source", "s_no", "s_blocks", "b_no", "B_draws")
+    got, want = (sorted(map(tuple, mix.mixed(d).collect())) for d in (clash, plain))
+    assert got == want and len(got) > 0
+    assert mix.mixed(clash).columns[:7] == clash.columns
+
+
 def test_token_files(spark, docs, none):
     library = Tokenizer.from_file(tokenizer_file())
     out = scratch_path(spark, "test-ids")
