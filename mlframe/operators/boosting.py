@@ -4,6 +4,10 @@ Each round fits, side by side, one regression tree per class to what is left of
 table of features, label and current scores. Leaves then get the Newton step of the multinomial loss, from one
 aggregate over (class, leaf), and the new scores are written for the next round. Scoring adds leaf values looked up in
 literal arrays, so it is one pass with one column of probabilities, as soft voting needs it.
+
+A tree tells values apart only by the bins of its features. Where the bins have far fewer combinations than there are
+rows, rows of equal bins and label become one row with the sum of their weights: residuals, splits and leaf values are
+the same, and the rounds no longer grow with the table.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from functools import reduce
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasMaxIter, HasPredictionCol, HasProbabilityCol, HasRawPredictionCol, HasSeed, HasStepSize, HasWeightCol
 from pyspark.ml.regression import DecisionTreeRegressor
@@ -24,6 +28,8 @@ from mlframe.session import in_threads, materialize
 
 CLASSES = 1000  # classes a model can have: each costs a tree a round
 MOST = 4.0  # largest step of a leaf
+DRAWN = 10_000  # rows the cut points of the bins come from, the square of the bins at least, as in MLlib's trees
+MERGE = 4  # rows a combination of bins and label has to stand for, on average
 
 
 class _Shared(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasProbabilityCol, HasRawPredictionCol, HasMaxIter, HasStepSize, HasSeed, HasWeightCol):
@@ -35,11 +41,47 @@ class _Shared(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasProbabilityCol,
         self._setDefault(maxIter=20, stepSize=0.3, maxDepth=5, minInstancesPerNode=1, maxBins=32, seed=0)
 
 
+def _once(value: Column, use) -> Column:
+    """`use(value)` with the value computed once; inside a lambda it would be computed again for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    raised = F.transform(scores, lambda s: F.exp(s - top))
-    total = F.aggregate(raised, F.lit(0.0), lambda a, b: a + b)
-    return F.transform(raised, lambda e: e / total)
+    raised = _once(F.array_max(scores), lambda top: F.transform(scores, lambda s: F.exp(s - top)))
+    total = lambda r: F.aggregate(r, F.lit(0.0), lambda a, b: a + b)
+    return _once(raised, lambda r: _once(total(r), lambda t: F.transform(r, lambda e: e / t)))
+
+
+def _steps(values: list[float], weights: list[float], most: int, total: float) -> list[float]:
+    """Cut points of one feature by the rule of MLlib's trees: between all values if they are few, else at even weight."""
+    weight_of: dict[float, float] = {}
+    for v, w in zip(values, weights):
+        weight_of[v] = weight_of.get(v, 0.0) + w
+    found = sorted(weight_of.items())
+    if len(found) - 1 <= most:
+        return [(a + b) / 2 for (a, _), (b, _) in zip(found, found[1:])]
+    stride = total / (most + 1)
+    cuts, upto, target = [], found[0][1], stride
+    for (a, _), (b, w) in zip(found, found[1:]):
+        before, upto = upto, upto + w
+        if abs(before - target) < abs(upto - target):
+            cuts.append((a + b) / 2)
+            target += stride
+    return cuts
+
+
+def _cut_points(rows: DataFrame, n: int, total: float, bins: int, seed: int) -> list[list[float]]:
+    """Cut points of every feature of `rows` (x, w), at most bins - 1 each."""
+    share = min(1.0, max(bins * bins, DRAWN) / n)
+    drawn = (rows if share == 1.0 else rows.sample(share, seed)).select(vector_to_array("x").alias("x"), "w").collect()
+    weights = [r["w"] for r in drawn]
+    return [_steps(list(column), weights, min(bins, n) - 1, share * total) for column in zip(*(r["x"] for r in drawn))]
+
+
+def _binned(features: str, cuts: list[list[float]]) -> Column:
+    """The bin numbers of a feature vector: how many cut points lie below each value."""
+    points = F.array(*[F.array(*map(F.lit, c)) if c else F.array().cast("array<double>") for c in cuts])
+    return F.transform(vector_to_array(features), lambda v, i: F.size(F.filter(F.get(points, i), lambda c: c < v)).cast("double"))
 
 
 class SoftmaxBoosting(Estimator, _Shared):
@@ -55,13 +97,22 @@ class SoftmaxBoosting(Estimator, _Shared):
     def _fit(self, df: DataFrame) -> SoftmaxBoostingModel:
         label, weight = F.col(self.getLabelCol()), F.col(self.getWeightCol()) if self.isDefined("weightCol") else F.lit(1.0)
         rows = df.select(F.col(self.getFeaturesCol()).alias("x"), label.cast("int").alias("y"), weight.cast("double").alias("w")).filter("y is not null")
-        sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.sum("w").alias("n")).limit(CLASSES + 1).collect()}
+        rows = materialize(rows, "boosting")
+        each = rows.groupBy("y").agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("rows")).limit(CLASSES + 1).collect()
+        sizes, n = {r["y"]: r["n"] for r in each}, sum(r["rows"] for r in each)
         many = max(sizes, default=0) + 1
         if len(sizes) > CLASSES or many > CLASSES or min(sizes, default=0) < 0:
             raise ValueError(f"labels must be whole numbers from 0 to {CLASSES - 1}")
         total = sum(sizes.values())
         start = [math.log(max(sizes.get(c, 0.0), 0.5) / max(total, 1.0)) for c in range(many)]
-        state = materialize(rows.withColumn("scores", F.array(*map(F.lit, start))), "boosting")
+        cuts = None
+        if n and self.getOrDefault("minInstancesPerNode") == 1:  # merged rows no longer tell how many they were
+            found = _cut_points(rows, n, total, self.getOrDefault("maxBins"), self.getSeed())
+            if found and math.prod(len(c) + 1 for c in found) * len(sizes) * MERGE <= n:
+                cuts = found
+                merged = rows.groupBy(_binned("x", cuts).alias("bins"), "y").agg(F.sum("w").alias("w"))
+                rows = materialize(merged.select(array_to_vector("bins").alias("x"), "y", "w"), "boosting")
+        state = rows.withColumn("scores", F.array(*map(F.lit, start)))
         rounds: list[list] = []
         for i in range(self.getMaxIter()):
             p = _softmax(F.col("scores"))
@@ -79,7 +130,7 @@ class SoftmaxBoosting(Estimator, _Shared):
             rounds.append([(m, v) for (_, m), v in zip(made, values)])
             if i + 1 < self.getMaxIter():
                 state = materialize(_added(placed, "scores", values).select("x", "y", "w", "scores"), "boosting")
-        return self._copyValues(SoftmaxBoostingModel(start, rounds))
+        return self._copyValues(SoftmaxBoostingModel(start, rounds, cuts))
 
 
 def _trees(est: SoftmaxBoosting, df: DataFrame, many: int, i: int) -> list:
@@ -118,12 +169,15 @@ def _added(df: DataFrame, scores: str, values: list[list[float]]) -> DataFrame:
 
 
 class SoftmaxBoostingModel(Model, _Shared):
-    """`start` scores per class and, per round and class, a tree with the values of its leaves."""
+    """`start` scores per class and, per round and class, a tree with the values of its leaves.
+
+    With `cuts` (cut points of each feature) the trees take bin numbers in place of the features.
+    """
 
-    def __init__(self, start: list[float], rounds: list[list]):
+    def __init__(self, start: list[float], rounds: list[list], cuts: list[list[float]] | None = None):
         super().__init__()
         self._defaults()
-        self.start, self.rounds = start, rounds
+        self.start, self.rounds, self.cuts = start, rounds, cuts
 
     @property
     def numClasses(self) -> int:
@@ -131,11 +185,14 @@ class SoftmaxBoostingModel(Model, _Shared):
 
     def _transform(self, df: DataFrame) -> DataFrame:
         kept = [F.col(f"`{c}`") for c in df.columns]
-        out = df.withColumn("_scores", F.array(*map(F.lit, self.start)))
+        out, features = df.withColumn("_scores", F.array(*map(F.lit, self.start))), self.getFeaturesCol()
+        if self.cuts is not None:
+            out, features = out.withColumn("_bins", array_to_vector(_binned(features, self.cuts))), "_bins"
+        used = [] if self.cuts is None else ["_bins"]
         for trees in self.rounds:
             for c, (tree, _) in enumerate(trees):
-                out = tree.transform(out, self.getFeaturesCol()).withColumnRenamed(tree.out, f"leaf{c}")
-            out = _added(out, "_scores", [v for _, v in trees]).select(*kept, "_scores")
+                out = tree.transform(out, features).withColumnRenamed(tree.out, f"leaf{c}")
+            out = _added(out, "_scores", [v for _, v in trees]).select(*kept, *used, "_scores")
         p = _softmax(F.col("_scores"))
         best = (F.array_position(F.col("_scores"), F.array_max("_scores")) - 1).cast("double")
         return out.select(*kept, array_to_vector("_scores").alias(self.getRawPredictionCol()), array_to_vector(p).alias(self.getProbabilityCol()),

@@ -64,6 +64,19 @@ def test_loss_falls_and_weights_count(rings):
     assert share(SoftmaxBoosting(maxIter=1, maxDepth=1, weightCol="w").fit(heavy)) > share(SoftmaxBoosting(maxIter=1, maxDepth=1).fit(df))
 
 
+def test_rows_of_equal_bins_are_merged(spark):
+    """With few combinations of bins the trees see one row for each, and the scores are those of all the rows."""
+    rng = np.random.default_rng(1)
+    x = np.stack([rng.integers(0, 5, 3000), rng.integers(0, 4, 3000)], axis=1).astype(float)
+    y = ((x.sum(axis=1) + rng.integers(0, 2, 3000)) % 3).astype(int)
+    df = spark.createDataFrame([(i, Vectors.dense(x[i]), int(y[i])) for i in range(3000)], ["id", "features", "label"])
+    est = SoftmaxBoosting(maxIter=2, maxDepth=3)
+    merged, plain = est.fit(df), est.copy({est.minInstancesPerNode: 2}).fit(df)  # every leaf holds more than two rows here
+    assert merged.cuts == [[0.5, 1.5, 2.5, 3.5], [0.5, 1.5, 2.5]] and plain.cuts is None
+    got, want = ([r["p"] for r in m.transform(df).orderBy("id").select(vector_to_array("probability").alias("p")).collect()] for m in (merged, plain))
+    assert np.allclose(got, want)
+
+
 def test_members_of_a_soft_vote(rings):
     df, _, y = rings
     members = {n: models.estimator("classification", "gbt", "label", prediction=n, classes=4, maxIter=2, maxDepth=d).fit(df) for n, d in (("a", 2), ("b", 4))}
