@@ -106,6 +106,13 @@ def cross_validate(df: DataFrame, est, candidates: Sequence[Mapping], label: str
                    threads: int = 4) -> list[list[float]]:
     """Fold scores of every candidate; all fits read one stored copy of the fold-tagged table."""
     df = df.persist()
+    try:
+        return _fold_scores(df, est, candidates, label, kind, fold, threads)
+    finally:
+        df.unpersist()
+
+
+def _fold_scores(df: DataFrame, est, candidates: Sequence[Mapping], label: str, kind: str, fold: str, threads: int) -> list[list[float]]:
     folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]
 
     def one(params, f):
@@ -113,7 +120,6 @@ def cross_validate(df: DataFrame, est, candidates: Sequence[Mapping], label: str
         return models.score(model.transform(df.filter(F.col(fold) == f)), label, kind)
 
     flat = in_threads([lambda c=c, f=f: one(c, f) for c in candidates for f in folds], threads)
-    df.unpersist()
     return [flat[i:i + len(folds)] for i in range(0, len(flat), len(folds))]
 
 
@@ -125,12 +131,16 @@ def _rating(score: float) -> float:
 def search(df: DataFrame, est, candidates: Sequence[Mapping], label: str, kind: str, fold: str = "fold",
            threads: int = 4, refit: bool = True):
     """Cross-validate every candidate, refit the best. Returns (result frame, best model, best params)."""
-    scores = cross_validate(df, est, candidates, label, kind, fold, threads)
-    means = [statistics.fmean(s) for s in scores]
-    stds = [statistics.pstdev(s) for s in scores]
-    frame = result_frame(df.sparkSession, candidates, means, stds)
-    best = dict(candidates[max(range(len(candidates)), key=lambda i: _rating(means[i]))])
-    return frame, est.fit(df, param_map(est, best)) if refit else None, best
+    df = df.persist()  # the last fit reads the stored copy as well
+    try:
+        scores = _fold_scores(df, est, candidates, label, kind, fold, threads)
+        means = [statistics.fmean(s) for s in scores]
+        stds = [statistics.pstdev(s) for s in scores]
+        frame = result_frame(df.sparkSession, candidates, means, stds)
+        best = dict(candidates[max(range(len(candidates)), key=lambda i: _rating(means[i]))])
+        return frame, est.fit(df, param_map(est, best)) if refit else None, best
+    finally:
+        df.unpersist()
 
 
 def result_frame(spark: SparkSession, candidates: Sequence[Mapping], means: Sequence[float], stds: Sequence[float]) -> DataFrame:

@@ -9,7 +9,7 @@ from mlframe.functions import arrays, metrics
 from mlframe.operators import models, reduce, resample, split, tune
 from mlframe.plans import recipes
 from mlframe.plans.catalog import cells, query, r6
-from mlframe.session import scratch_path, spread
+from mlframe.session import materialize, scratch_path, spread
 from mlframe.sources import load_model, read_labelled_files, save_model
 
 _LINE = ["l_quantity", "l_discount", "l_tax"]
@@ -369,7 +369,8 @@ def voted_boosting(t):
 def stacked_models(t):
     """A ridge over out-of-fold predictions, inputs passed through."""
     train, test = _lines(t)
-    folded = tune.with_folds(train.persist(), _LINE_KEY, 3, 4)
+    train = materialize(train.select(*_LINE_KEY, "features", "l_extendedprice"), "stack")
+    folded = tune.with_folds(train, _LINE_KEY, 3, 4).select("features", "l_extendedprice", "fold").persist()
     bases = {"linear": lambda n: models.estimator("regression", "linear", "l_extendedprice", prediction=n),
              "tree": lambda n: models.estimator("regression", "tree", "l_extendedprice", prediction=n)}
     return _regression_scores(models.fit_stack(folded, "fold", "l_extendedprice", bases), test)
@@ -452,7 +453,8 @@ _GRIDS = [{"maxDepth": [2, 4]}, {"minInstancesPerNode": [5, 50], "maxBins": [16]
 
 def _search_input(t, folds=3):
     train, test = _lines(t)
-    return tune.with_folds(train.persist(), _LINE_KEY, folds, 3).select("features", "l_extendedprice", "fold"), test
+    train = materialize(train.select(*_LINE_KEY, "features", "l_extendedprice"), "search")  # memory is left to the folds and the fits
+    return tune.with_folds(train, _LINE_KEY, folds, 3).select("features", "l_extendedprice", "fold"), test
 
 
 @query()
@@ -558,7 +560,8 @@ def parameter_sweep(t):
 @query()
 def scaler_comparison(t):
     """V13."""
-    return tune.compare_scalers(*_line_parts(t), _LINE, "l_extendedprice", "regression",
+    parts = [materialize(d.select(*_LINE, "l_extendedprice"), "parts") for d in _line_parts(t)]  # read by every scaler
+    return tune.compare_scalers(*parts, _LINE, "l_extendedprice", "regression",
                                 lambda label, kind: models.estimator(kind, "linear", label, regParam=0.1))
 
 
