@@ -356,7 +356,7 @@ def voted_classifiers(t):
 def voted_boosting(t):
     """Soft and hard vote of two boosted members and a linear one over ten classes."""
     train, test = _price_classes(t)
-    train = train.select("features", "label").persist()
+    train.persist()
     made = {"shallow": ("gbt", {"maxIter": 1, "maxDepth": 3, "stepSize": 1.0}), "deep": ("gbt", {"maxIter": 1, "maxDepth": 5, "stepSize": 1.0}), "linear": ("logistic", {"maxIter": 10})}
     members = {n: models.estimator("classification", kind, "label", prediction=n, classes=10, **p).fit(train) for n, (kind, p) in made.items()}
     train.unpersist()
@@ -369,8 +369,7 @@ def voted_boosting(t):
 def stacked_models(t):
     """A ridge over out-of-fold predictions, inputs passed through."""
     train, test = _lines(t)
-    train = materialize(train.select(*_LINE_KEY, "features", "l_extendedprice"), "stack")
-    folded = tune.with_folds(train, _LINE_KEY, 3, 4).select("features", "l_extendedprice", "fold").persist()
+    folded = tune.with_folds(train.persist(), _LINE_KEY, 3, 4).select("features", "l_extendedprice", "fold").persist()
     bases = {"linear": lambda n: models.estimator("regression", "linear", "l_extendedprice", prediction=n),
              "tree": lambda n: models.estimator("regression", "tree", "l_extendedprice", prediction=n)}
     return _regression_scores(models.fit_stack(folded, "fold", "l_extendedprice", bases), test)
@@ -453,8 +452,7 @@ _GRIDS = [{"maxDepth": [2, 4]}, {"minInstancesPerNode": [5, 50], "maxBins": [16]
 
 def _search_input(t, folds=3):
     train, test = _lines(t)
-    train = materialize(train.select(*_LINE_KEY, "features", "l_extendedprice"), "search")  # memory is left to the folds and the fits
-    return tune.with_folds(train, _LINE_KEY, folds, 3).select("features", "l_extendedprice", "fold"), test
+    return tune.with_folds(train.persist(), _LINE_KEY, folds, 3).select("features", "l_extendedprice", "fold"), test
 
 
 @query()
