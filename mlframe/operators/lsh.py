@@ -23,6 +23,7 @@ from mlframe.operators.neighbours import BLOCK, _blocks, _compare, nearest
 
 ASKED, SEEN = 256, 4096  # sampled queries with their true neighbours, and sampled rows that tell candidates
 PROJECTIONS, WIDTHS, MOST_TABLES = (2, 4, 8, 12, 16), (1.0, 2.0, 4.0), 32
+REPEATED = 1 << 14  # rows a task makes at a time, a row once for every bucket
 MARGIN = 0.04  # recall aimed at beyond the wanted one, as the sample is small
 
 
@@ -120,10 +121,12 @@ def fit(train: DataFrame, query: DataFrame, key: str, vec: str, k: int, recall:
 
 def _bucketed(rows: DataFrame, hashing: Hashing, probes: int) -> DataFrame:
     """Rows once per bucket, `cell` naming it."""
+    step = max(1, REPEATED // (hashing.axes.shape[1] * (1 + probes)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, BLOCK):
-                batch = whole.slice(lo, BLOCK)
+            for lo in range(0, whole.num_rows, step):
+                batch = whole.slice(lo, step)
                 keys = hashing.buckets(lists(batch.column("v")), probes).reshape(batch.num_rows, -1)
                 repeated = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), keys.shape[1])))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(str).tolist(), pa.string()), *repeated.columns], ["cell", *batch.schema.names])

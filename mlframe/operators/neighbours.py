@@ -3,12 +3,14 @@
 The training rows form a ball tree (see `balltree`), the query rows are sent down to the leaf they would lie in. The first
 round compares each query with its own leaf and so finds a k-th distance close to the final one. The second round walks
 the tree with blocks of queries: a cell is entered only if its ball reaches into the k-th distance of some query of the
-block. A block that meets a leaf is one row of work for a task: queries too far from the leaf are passed over, the rest is
-a matrix product, and only its k best per query leave the task.
+block. Blocks and leaves are dealt to groups of some GROUP rows, and a task takes one group of each side: a block is sent once
+for all the leaves of a group, queries too far from a leaf are passed over, the rest is a matrix product, and only the k best
+per query and group leave the task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -17,11 +19,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from mlframe.operators.balltree import BallTree, finite, grow, lists, root_of
 from mlframe.session import materialize
 
 BLOCK = 1024
+GROUP = 1 << 14  # rows of a group of blocks: what a task holds of either side
 PAIRS = 1 << 16  # pairs of rows measured at a time
 LOOSE, TINY = 1 + 1e-9, 1e-12  # bounds are taken a little wider than computed
 EPS = np.finfo(float).eps
@@ -52,6 +56,28 @@ def _first_k(at: np.ndarray, place: np.ndarray, gap: np.ndarray, k: int) -> np.n
     return order[np.arange(len(order)) - start < k]
 
 
+def _pairs(q_ids: pa.Array, y: np.ndarray, reach: np.ndarray, t_ids: pa.Array, x: np.ndarray, centre: np.ndarray, radius: float, k: int,
+           exclude_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) places of the k closest rows of a ball for each query that reaches it, by query and rank."""
+    near = np.flatnonzero(~(np.sqrt(((y - centre) ** 2).sum(axis=1)) - radius > reach * LOOSE + TINY))
+    if not len(near):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    by_key = pc.sort_indices(t_ids).to_numpy()  # equal distances go to the smaller key
+    at, place, gap = k_best(y[near], reach[near], x[by_key], k, int(exclude_self))
+    at, place = near[at], by_key[place]
+    if exclude_self:
+        other = ~pc.equal(q_ids.take(pa.array(at)), t_ids.take(pa.array(place))).to_numpy(zero_copy_only=False).astype(bool)
+        at, place, gap = at[other], place[other], gap[other]
+    rank = np.empty(len(by_key), np.int64)
+    rank[by_key] = np.arange(len(by_key))
+    best = _first_k(at, rank[place], gap, k)
+    return at[best], place[best], gap[best]
+
+
+def _numbers(values: pa.Array) -> np.ndarray:
+    return values.to_numpy(zero_copy_only=False)
+
+
 def _compare(k: int, exclude_self: bool):
     """Blocks of queries against blocks of rows; see `_meet` for the columns."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,24 +85,47 @@ def _compare(k: int, exclude_self: bool):
             for i in range(batch.num_rows):
                 get = lambda name: batch.column(name)[i].values  # noqa: B023, E731
                 q_ids, t_ids, carry = get("q_ids"), get("t_ids"), get("t_carry")
-                y = get("q_cells").to_numpy(zero_copy_only=False).reshape(len(q_ids), -1)
-                x = get("t_cells").to_numpy(zero_copy_only=False).reshape(len(t_ids), -1)
-                reach = get("q_reach").to_numpy(zero_copy_only=False)
-                centre, radius = get("centre").to_numpy(zero_copy_only=False), batch.column("radius")[i].as_py()
-                near = np.flatnonzero(~(np.sqrt(((y - centre) ** 2).sum(axis=1)) - radius > reach * LOOSE + TINY))
-                if not len(near):
+                y, x = _numbers(get("q_cells")).reshape(len(q_ids), -1), _numbers(get("t_cells")).reshape(len(t_ids), -1)
+                at, place, gap = _pairs(q_ids, y, _numbers(get("q_reach")), t_ids, x, _numbers(get("centre")), batch.column("radius")[i].as_py(), k, exclude_self)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(at)), t_ids.take(pa.array(place)), pa.array(gap), carry.take(pa.array(place))],
+                                                     ["id", "neighbour", "distance", "carry"])
+    return run
+
+
+def _compare_groups(k: int, exclude_self: bool, found: pa.Schema):
+    """A group of query blocks (each with the cells it `meets`) against a group of row blocks; a query's reach shrinks on the way."""
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        col = lambda table, name: table.column(name).combine_chunks()
+        if not asked.num_rows or not rows.num_rows:
+            return found.empty_table()
+        of_cell: dict[str, list[int]] = {}
+        for j, cell in enumerate(rows.column("cell").to_pylist()):
+            of_cell.setdefault(cell, []).append(j)
+        t_ids, t_cells, t_carry, centres, radii = (col(rows, c) for c in ("t_ids", "t_cells", "t_carry", "centre", "radius"))
+        q_ids, q_cells, q_reach, meets = (col(asked, c) for c in ("q_ids", "q_cells", "q_reach", "meets"))
+        out = []
+        for i in range(asked.num_rows):
+            ids, reach = q_ids[i].values, _numbers(q_reach[i].values).copy()
+            y = _numbers(q_cells[i].values).reshape(len(ids), -1)
+            at, gap, key, carry = np.zeros(0, np.int64), np.zeros(0), t_ids.values.slice(0, 0), t_carry.values.slice(0, 0)
+            for j in (j for cell in meets[i].as_py() for j in of_cell.get(cell, ())):
+                names, x = t_ids[j].values, _numbers(t_cells[j].values)
+                more, place, far = _pairs(ids, y, reach, names, x.reshape(len(names), -1), _numbers(centres[j].values), radii[j].as_py(), k, exclude_self)
+                if not len(more):
                     continue
-                by_key = pc.sort_indices(t_ids).to_numpy()  # equal distances go to the smaller key
-                at, place, gap = k_best(y[near], reach[near], x[by_key], k, int(exclude_self))
-                at, place = near[at], by_key[place]
-                if exclude_self:
-                    other = ~pc.equal(q_ids.take(pa.array(at)), t_ids.take(pa.array(place))).to_numpy(zero_copy_only=False).astype(bool)
-                    at, place, gap = at[other], place[other], gap[other]
-                rank = np.empty(len(by_key), np.int64)
-                rank[by_key] = np.arange(len(by_key))
-                best = _first_k(at, rank[place], gap, k)
-                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(at[best])), t_ids.take(pa.array(place[best])), pa.array(gap[best]),
-                                                  carry.take(pa.array(place[best]))], ["id", "neighbour", "distance", "carry"])
+                at, gap = np.concatenate([at, more]), np.concatenate([gap, far])
+                key = pa.concat_arrays([key, names.take(pa.array(place))])
+                carry = pa.concat_arrays([carry, t_carry[j].values.take(pa.array(place))])
+                rank = np.empty(len(key), np.int64)
+                rank[pc.sort_indices(key).to_numpy()] = np.arange(len(key))
+                best = _first_k(at, rank, gap, k)
+                at, gap, key, carry = at[best], gap[best], key.take(pa.array(best)), carry.take(pa.array(best))
+                last = np.flatnonzero(np.append(at[1:] != at[:-1], True))  # where a query has k rows by now, none further counts
+                full = last[np.bincount(at, minlength=len(ids))[at[last]] >= k]
+                reach[at[full]] = np.minimum(reach[at[full]], gap[full])
+            out.append(pa.Table.from_arrays([ids.take(pa.array(at)), key, pa.array(gap, pa.float64()), carry], names=found.names))
+        return pa.concat_tables(out)
     return run
 
 
@@ -185,6 +234,24 @@ class Search:
             "near": F.coalesce(F.array_max(closed), lowest), "far": F.coalesce(F.array_max(still), lowest)})
         self.q_blocks = materialize(blocks, "query-blocks")
         self.visits = visits(self.tree, self.q_blocks, k + int(exclude_self))
+        self.cores = train.sparkSession.sparkContext.defaultParallelism
+        self.groups = [max(math.ceil(n / GROUP), math.ceil(math.sqrt(2 * self.cores))) for n in (asked.count(), self.tree.rows)]
+
+    def _meet_groups(self) -> DataFrame:
+        """The visits, a group of query blocks beside a group of row blocks in a task."""
+        q_group = F.pmod(F.xxhash64("home", "q_part"), F.lit(self.groups[0])).cast("int").alias("q_group")
+        t_group = F.pmod(F.xxhash64("cell"), F.lit(self.groups[1])).cast("int").alias("t_group")
+        met = materialize(self.visits.select("home", "q_part", "cell", q_group, t_group), "visits")
+        asked = self.q_blocks.select(F.col("cell").alias("home"), F.col("part").alias("q_part"), F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"),
+                                     F.col("reach").alias("q_reach"))
+        asked = met.groupBy("home", "q_part", "q_group", "t_group").agg(F.collect_list("cell").alias("meets")).join(asked, ["home", "q_part"]).drop("home", "q_part")
+        rows = self.t_blocks.select("cell", F.col("ids").alias("t_ids"), F.col("cells").alias("t_cells"), F.col("carry").alias("t_carry"), "centre", "radius")
+        rows = met.select("cell", F.col("q_group").alias("for_q"), F.col("t_group").alias("own")).distinct().join(rows, "cell")
+        run = _compare_groups(self.k, self.exclude_self, to_arrow_schema(self.found))
+        # few bytes stand for much work, so the number of tasks is not left to the sizes
+        tasks = min(math.prod(self.groups), max(2 * self.cores, int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        asked, rows = asked.repartition(tasks, "q_group", "t_group"), rows.repartition(tasks, "for_q", "own")
+        return asked.groupBy("q_group", "t_group").cogroup(rows.groupBy("for_q", "own")).applyInArrow(run, self.found)
 
     def _meet(self, queries: DataFrame) -> DataFrame:
         """Query blocks (with the `cell` to compare with) beside the row blocks of that cell, compared in the tasks."""
@@ -200,8 +267,7 @@ class Search:
         """(id, neighbour, distance, carry, rank), rows with at least one neighbour."""
         if self.visits is None:
             return self._best(self.first)
-        asked = self.q_blocks.select(F.col("cell").alias("home"), F.col("part").alias("q_part"), "ids", "cells", "reach")
-        second = self._meet(self.visits.join(asked, ["home", "q_part"]))
+        second = self._meet_groups()
         return self._best(self.first.drop("rank").unionByName(second))
 
     def row_pairs(self) -> tuple[int, int]:

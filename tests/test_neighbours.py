@@ -217,3 +217,15 @@ def test_approximate_search_without_rows(spark):
     df = spark.createDataFrame([(1, [0.0, 1.0])], "id long, v array<double>")
     assert [tuple(r) for r in lsh.approximate_nearest(df.limit(0), df, "id", "v", 2).collect()] == [(1, 1, None, None)]
     assert lsh.approximate_nearest(df, df.limit(0), "id", "v", 2).count() == 0
+
+
+def test_groups_of_blocks_leave_k_rows_a_query(spark):
+    """Blocks that meet many leaves leave k rows a query and group of leaves, and the k closest are among them."""
+    x = np.random.default_rng(5).normal(size=(600, 6)).round(1)
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, v array<double>")
+    search = Search(df, df, "id", "v", 3, None, True, (), 32)
+    assert search._meet_groups().count() <= 3 * 600 * search.groups[1] < search.visits.count() * 32 * 3
+    gaps = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(gaps, np.inf)
+    want = {(i, r + 1, int(j)) for i in range(600) for r, j in enumerate(np.lexsort((np.arange(600), gaps[i]))[:3])}
+    assert {(r["id"], r["rank"], r["neighbour"]) for r in search.result().collect()} == want
