@@ -8,6 +8,10 @@ last token of the prefix in front of it. A later token starts at most `lookahead
 the longest token the merge list can build; once the token chains of the last `lookahead` prefixes agree
 on a boundary, everything in front of it is final and is emitted, and the buffer is cut there.
 
+That last token is the transducer's state, and it depends on the prefix alone. Pieces that fit the buffer
+many times over and share their beginnings therefore share states: `Merges.state` keeps those of
+prefixes, and only those that a boundary may fall on are asked for. Longer pieces are streamed (`settled`).
+
 Decoding is a state machine over ids as well: one step per id, a partial character carried over.
 """
 
@@ -19,7 +23,7 @@ import os
 import re
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 from itertools import chain
 
 import numpy as np
@@ -30,6 +34,9 @@ from mlframe.llm.common import BINARY, LONG, STRING, Cache, map_text, unpacked
 
 NEVER = 1 << 62
 CACHED_CHARS = 64  # longer words are encoded afresh, so the cache stays small
+STOPS = ".,!?;:#$%&*|"  # signs behind a word that the short way of the front end knows
+STOP_BYTES = STOPS.encode()
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 class Merges:
@@ -59,6 +66,7 @@ class Merges:
         #: The sufficient lookahead of the merge list, in symbols.
         self.lookahead = max(map(len, [*self.inner, *self.final]), default=1)
         self.apart = Cache(self.stay_apart, 200_000)
+        self.state = Cache(partial(self.ending, find=self.inner.get), 100_000)
 
     def stay_apart(self, pair: int) -> bool:
         """Whether two tokens side by side stay as they are.
@@ -79,6 +87,29 @@ class Merges:
             else:
                 b_ends, b = b_made[0], b_made[1]
 
+    def ending(self, prefix: str, find) -> int:
+        """The last token of a prefix: the longest that fits behind the last token of the prefix in front of it."""
+        fits, end = [], len(prefix)
+        for start in range(end - 1, max(end - self.lookahead, 0) - 1, -1):
+            token = find(prefix[start:])
+            if token is None:
+                break
+            if token >= 0:
+                fits.append((start, token))
+        for start, token in reversed(fits):
+            if not start or self.apart[self.state[prefix[:start]] << 32 | token]:
+                return token
+        raise ValueError("the merge list does not build its tokens from single symbols")
+
+    def short(self, piece: str) -> list[int]:
+        """Ids of a pre-token of at most CACHED_CHARS symbols (states call each other), as `transduce` gives them."""
+        out = [self.ending(piece, self.final.get)]
+        end = len(piece) - self.size[out[0]]
+        while end:
+            out.append(self.state[piece[:end]])
+            end -= self.size[out[-1]]
+        return out[::-1]
+
     def spell(self, token: int) -> tuple[int, ...]:
         """The symbols of a token, by undoing its merges."""
         if token not in self.symbols:
@@ -117,29 +148,39 @@ class FrontEnd:
         self.normal, self.cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         # if it lower-cases letters and parts them from the stops behind them, plain words need no call of it
-        self.simple = self.full("Qwertyuiopasdfghjklzxcvbnm.,") == ["qwertyuiopasdfghjklzxcvbnm", ".,"]
-        # leftmost, then longest; such plain words hold none of them if each has another character
+        self.simple = self.full("Qwertyuiopasdfghjklzxcvbnm" + STOPS) == ["qwertyuiopasdfghjklzxcvbnm", STOPS]
+        # the same for letters of two bytes, if it spells these byte by byte
+        wide = "".join(map(chr, range(0xC0, 0x100))).replace("\u00d7", "").replace("\u00f7", "")
+        self.latin = self.simple and self.full(wide + "A" + STOPS) == [spelled(wide.lower() + "a"), STOPS]
+        # leftmost, then longest; such plain words hold none of them if each has another sign
         self.marks = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.plain = self.simple and all(re.search("[^A-Za-z.,]", a) for a in self.added)
+        self.plain = self.simple and all(LATIN.sub("", a).strip(STOPS) for a in self.added)
 
     def full(self, text: str) -> list[str]:
         text = self.normal.normalize_str(text) if self.normal else text
         return [p for p, _ in self.cut.pre_tokenize_str(text)] if self.cut else [text]
 
+    def letters(self, core: bytes) -> str | None:
+        """The pre-token of a run of letters alone, or None if the front end has to be asked."""
+        if core.isalpha():
+            return core.lower().decode()
+        if self.latin and LATIN.fullmatch(text := core.decode()):
+            return spelled(text.lower())
+        return None
+
     def pieces(self, text: str) -> list[str]:
         """Pre-tokens of a text without white space and added tokens."""
-        if self.simple and text.isascii():
-            core = text.rstrip(".,")
-            if core.isalpha():
-                return [core.lower(), text[len(core):]] if len(core) < len(text) else [core.lower()]
+        if self.simple:
+            core = text.rstrip(STOPS)
+            if (lower := self.letters(core.encode())) is not None:
+                return [lower, text[len(core):]] if len(core) < len(text) else [lower]
         return self.full(text)
 
     def parts(self, word: bytes) -> list[str | int]:
         """Pre-tokens of a word and ids of the added tokens in it, leftmost and longest first."""
         if self.plain:
-            core = word.rstrip(b".,")
-            if core.isalpha():
-                lower = core.lower().decode()
+            core = word.rstrip(STOP_BYTES)
+            if (lower := self.letters(core)) is not None:
                 return [lower] if len(core) == len(word) else [lower, word[len(core):].decode()]
         text, out, at = word.decode(), [], 0
         for hit in self.marks.finditer(text) if self.marks else ():
@@ -216,9 +257,13 @@ class Codec:
         self.names.update({t["id"]: t["content"] for t in spec["added_tokens"]})
         self.decoder = (spec.get("decoder") or {}).get("type")
         self.piece = Cache(self.fresh, 120_000)
-        self.word = Cache(self.encode_word, 100_000)
+        self.word = Cache(self.encode_word, 200_000)
 
     def fresh(self, piece: str) -> bytes:
+        """Ids of a pre-token; one too long for the cache streams."""
+        if len(piece) <= CACHED_CHARS:
+            ids = self.merges.short(piece)
+            return struct.pack(f"<{len(ids)}I", *ids)
         return b"".join([struct.pack(f"<{len(ids)}I", *ids) for ids in settled(self.merges, piece)])
 
     def encode_piece(self, piece: str | int) -> bytes:
@@ -233,7 +278,9 @@ class Codec:
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
         words = text.encode().split() if text else []
-        return b"".join(self.word[w] if len(w) <= CACHED_CHARS else self.encode_word(w) for w in words)
+        if max(map(len, words), default=0) <= CACHED_CHARS:
+            return b"".join(map(self.word.__getitem__, words))
+        return b"".join([self.word[w] if len(w) <= CACHED_CHARS else self.encode_word(w) for w in words])
 
     def decode(self, ids: bytes, step: int = 4096) -> str:
         """The text of ids, special tokens included, `step` ids at a time.
@@ -242,14 +289,14 @@ class Codec:
         byte-level one their bytes are put together, and bytes that are no character become U+FFFD.
         """
         numbers, out = np.frombuffer(ids, "<u4"), []
-        partial = codecs.getincrementaldecoder("utf-8")("replace")
+        carry = codecs.getincrementaldecoder("utf-8")("replace")
         for at in range(0, len(numbers), step):
             names = map(self.names.__getitem__, numbers[at:at + step].tolist())
             if self.decoder == "ByteLevel":
-                out.append(partial.decode(b"".join(map(token_bytes, names))))
+                out.append(carry.decode(b"".join(map(token_bytes, names))))
             else:
                 out.append(" " * (at > 0) + " ".join(names))
-        return "".join(out) + partial.decode(b"", True)
+        return "".join(out) + carry.decode(b"", True)
 
 
 @lru_cache(maxsize=1)
@@ -260,6 +307,16 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+@lru_cache(maxsize=1)
+def letter_table() -> dict[int, str]:
+    return {b: c for c, b in byte_letters().items()}
+
+
+def spelled(text: str) -> str:
+    """A text in the letters that stand for its bytes."""
+    return text.encode().decode("latin-1").translate(letter_table())
+
+
 def token_bytes(name: str) -> bytes:
     table = byte_letters()
     return bytes(table[c] for c in name) if all(c in table for c in name) else name.encode()

@@ -1,6 +1,7 @@
 """Each operator against a plain version on small tables with nulls, empty and long texts, repeats and clashing names."""
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -308,6 +309,26 @@ def test_bpe(docs, none):
     assert bpe.encode(none, tokenizer_file()).count() == 0
 
 
+def test_plain_words_need_no_call_of_the_front_end(monkeypatch):
+    text = "Élève, Straße!! ÀÉ#$% naïve;|* word... ouble&&& Thþ"
+    want = Tokenizer.from_file(tokenizer_file()).encode(text, add_special_tokens=False).ids
+    coder, encoder = bpe.Codec(tokenizer_file()), tokens.Encoder(tokenizer_file())
+    monkeypatch.setattr(bpe.FrontEnd, "full", None)
+    assert np.frombuffer(coder.encode(text), "<u4").tolist() == want
+    assert np.frombuffer(encoder.ids(text), f"<u{encoder.width}").tolist() == want
+
+
+def test_states_of_shared_beginnings_are_kept():
+    m, r = bpe.Merges(json.load(open(tokenizer_file(), encoding="utf-8"))["model"]), random.Random(4)
+    for _ in range(2000):
+        piece = "".join(r.choices("etaonrish'x", k=r.randint(1, bpe.CACHED_CHARS)))
+        assert m.short(piece) == list(bpe.transduce(m, piece))
+    m.state.clear()
+    m.state.old = {}
+    m.short("thousandfold")
+    assert 0 < len(m.state) < len("thousandfold") - 1  # not every prefix is asked for
+
+
 def test_transducer_streams():
     merges = bpe.codec(tokenizer_file()).merges
     r = random.Random(7)
