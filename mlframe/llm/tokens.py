@@ -46,15 +46,15 @@ class Encoder:
         self.front = FrontEnd(path)
         self.model = self.front.tokenizer.model
         self.width = 2 if self.front.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.bytes = [i.to_bytes(self.width, "little") for i in range(1 + max(self.front.tokenizer.get_vocab(with_added_tokens=True).values()))]
         self.word = Cache(self.fresh, 400_000)
-        self.short = Cache(self.piece, 20_000)  # stops and the like, behind many words
+        self.piece = Cache(self.tokenized, 200_000)  # words in several forms and the stops behind them share their pieces
 
-    def piece(self, piece: str) -> bytes:
-        return b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(piece)])
+    def tokenized(self, piece: str) -> bytes:
+        return b"".join([self.bytes[t.id] for t in self.model.tokenize(piece)])
 
     def fresh(self, word: bytes) -> bytes:
-        return b"".join([p.to_bytes(self.width, "little") if isinstance(p, int) else self.short[p] if len(p) < 3 else self.piece(p)
-                         for p in self.front.parts(word)])
+        return b"".join([self.bytes[p] if isinstance(p, int) else self.piece[p] for p in self.front.parts(word)])
 
     def ids(self, text: str | None) -> bytes:
         return b"".join(map(self.word.__getitem__, text.encode().split())) if text else b""
