@@ -10,8 +10,9 @@ equal to their weighted Jaccard similarity.
 Candidates. `bands` x `rows` coordinates give bucket keys. At similarity 0.8 a pair shares no bucket with
 probability (1 - 0.8^5)^24 < 1e-4. Inside a bucket no pairs are spelled out: one member is compared
 with the rest, links join classes, and only members outside the first member's class become
-further pivots (1, 4, 16, ... a round) until no two members of different classes are uncompared. Pairs
-that cannot reach the threshold by their elements found nowhere else are left out. Each comparison counts the shared elements of both whole texts.
+further pivots (1, 32, 1024, ... a round) until no two members of different classes are uncompared. Pairs
+that cannot reach the threshold by their elements found nowhere else, or by the bits in which their sketches
+differ (`sketches`), are left out inside the join. Each comparison counts the shared elements of both whole texts.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ DOC_BITS = np.uint64(12)  # documents of one chunk, at most 4096
 CHUNK_WORDS = 200_000
 SLACK = 1e-9  # for similarities that equal the threshold
 GROUP = 1000  # pairs that share one copy of a pivot's elements
+SKETCH = [f"s{i}" for i in range(16)]  # 64 bits each
 
 
 def shingled(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,6 +113,22 @@ def band_keys(identity: np.ndarray) -> np.ndarray:
     return key.astype(np.int64)
 
 
+def sketches(doc: np.ndarray, element: np.ndarray, count: np.ndarray, docs: int) -> np.ndarray:
+    """docs x 16 signed words: bit i tells whether a text has an odd weight of elements of hash class i.
+
+    Each bit in which two texts differ is an element that the texts do not share, or more of it in one than
+    in the other. So the bits that differ are at most the weight of all such elements, whatever the texts.
+    """
+    out, bits = np.empty((docs, len(SKETCH)), np.int64), 64 * len(SKETCH)
+    edge = np.searchsorted(doc, np.arange(0, docs + 512, 512))
+    for at, a, b in zip(range(0, docs, 512), edge, edge[1:]):
+        size = min(512, docs - at)
+        place = (doc[a:b] - at) * bits + (element[a:b].astype(np.uint64) % np.uint64(bits)).astype(np.int64)
+        odd = np.bincount(place, weights=count[a:b], minlength=size * bits).astype(np.int64) & 1
+        out[at:at + size] = np.packbits(odd.astype(np.uint8).reshape(size, bits), axis=1).view(np.int64)
+    return out
+
+
 def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of at most 4096 texts and about `CHUNK_WORDS` words."""
     lo, size = 0, 0
@@ -143,11 +161,13 @@ def _features(weighted: bool):
             texts = [t.encode() for t in batch["text"]]
             for lo, hi in _chunks(texts):
                 doc, element, count = shingled(texts[lo:hi])
+                sketch = sketches(doc, element, count if weighted else np.ones(len(count)), hi - lo)
                 element = element.astype(np.uint32) if not weighted else element
                 edge = np.searchsorted(doc, np.arange(hi - lo + 1))
                 yield pd.DataFrame({"id": batch["id"].to_numpy()[lo:hi],
                                     "items": [np.sort(element[a:b]).tobytes() for a, b in zip(edge, edge[1:])],
-                                    "counts": [count[a:b].astype(np.uint32).tobytes() if weighted else b"" for a, b in zip(edge, edge[1:])]})
+                                    "counts": [count[a:b].astype(np.uint32).tobytes() if weighted else b"" for a, b in zip(edge, edge[1:])],
+                                    **{name: sketch[:, i] for i, name in enumerate(SKETCH)}})
     return run
 
 
@@ -192,7 +212,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     needed = reps.join(member.select("rep").distinct(), "rep", "left_semi").select("rep", "h1", "h2")
     whole = rows.join(needed, (rows["id"] == needed["rep"]) & (rows["h1"] == needed["h1"]) & (rows["h2"] == needed["h2"]), "left_semi")
     whole = whole.dropDuplicates(["id", "h1", "h2"]).select("id", "text")
-    features = materialize(whole.mapInPandas(_features(weighted), "id long, items binary, counts binary"), "dart-items")
+    features = materialize(whole.mapInPandas(_features(weighted), "id long, items binary, counts binary" + "".join(f", {s} long" for s in SKETCH)), "dart-items")
 
     member = materialize(_bounded(member, features, weighted, threshold), "dart-open")
 
@@ -205,13 +225,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
         if names is not None and pivots.isEmpty():
             break
         pairs = materialize(pairs.join(seen, ["a", "b"], "left_anti") if names is not None else pairs, "dart-pairs")
-        found = materialize(_check(pairs, features, weighted, threshold), "dart-checked").filter("linked").select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        if names is None or not found.isEmpty():
-            names = components(links)
+        if names is None or not pairs.isEmpty():
+            found = materialize(_check(pairs, features, weighted, threshold), "dart-checked").filter("linked").select("a", "b")
+            links = found if links is None else links.unionByName(found)
+            if names is None or not found.isEmpty():
+                names = components(links)
         done = done.unionByName(pivots)
         seen = seen.unionByName(pairs.select("a", "b"))
-        width *= 4
+        width *= 32
     known = reps.join(names, reps["rep"] == names["id"], "left").select("h1", "h2", "rep", F.coalesce("comp", "rep").alias("class_id"))
     out = signed.select("id", "h1", "h2").join(known, ["h1", "h2"], "left")
     has = F.col("id").isNotNull()
@@ -232,7 +253,7 @@ def _shared(reps: DataFrame) -> DataFrame:
 
 
 def _bounded(member: DataFrame, features: DataFrame, weighted: bool, threshold: float) -> DataFrame:
-    """`member` with `u`, the weight of a text's elements that no other candidate has.
+    """`member` with `sketch` and `u`, the weight of a text's elements that no other candidate has.
 
     These can't be shared, so x and y share at most min(n_x - u_x, n_y - u_y) of at least
     max(n_x + u_y, n_y + u_x). Texts that by this bound reach the threshold with nobody leave here.
@@ -246,10 +267,12 @@ def _bounded(member: DataFrame, features: DataFrame, weighted: bool, threshold:
                 yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), [len(f) for f in found]), "c": np.concatenate(counts).astype(np.int64),
                                     "item": np.concatenate(found).astype(np.uint64).view(np.int64)})
 
-    item = features.mapInPandas(items, "id long, c long, item long")
+    item = features.select("id", "items", "counts").mapInPandas(items, "id long, c long, item long")
     alone = item.groupBy("item").agg(F.count("*").alias("texts"), F.min("id").alias("id"), F.min("c").alias("c")).filter("texts = 1")
     alone = alone.groupBy("id").agg(F.sum("c").alias("u")).withColumnRenamed("id", "uid")
-    out = member.join(alone, member["rep"] == alone["uid"], "left").drop("uid").withColumn("u", F.coalesce("u", F.lit(0)))
+    known = features.select("id", F.struct(*SKETCH).alias("sketch")).join(alone, F.col("id") == alone["uid"], "left")
+    known = known.select("id", "sketch", F.coalesce("u", F.lit(0)).alias("u"))
+    out = member.join(known, member["rep"] == known["id"]).drop("id")
     return out.filter(F.col("n") - F.col("u") + SLACK >= threshold * F.col("n"))
 
 
@@ -257,19 +280,23 @@ def _pairs(member: DataFrame, names: DataFrame | None, done: DataFrame, width: i
            threshold: float) -> tuple[DataFrame, DataFrame]:
     """Comparisons still open: each bucket's next pivots against its members of other classes."""
     if names is None:
-        pivots = materialize(member.groupBy("key").agg(F.max_by("rep", "rank").alias("pivot"), F.max_by("n", "rank").alias("pn"), F.max_by("u", "rank").alias("pu")), "dart-pivots")
+        pivots = materialize(member.groupBy("key").agg(F.max_by("rep", "rank").alias("pivot"), F.max_by("n", "rank").alias("pn"), F.max_by("u", "rank").alias("pu"), F.max_by("sketch", "rank").alias("psketch")), "dart-pivots")
         pairs = member.join(pivots, "key").filter("rep <> pivot")
     else:
-        now = member.join(names, member["rep"] == names["id"], "left").select("key", "rep", "n", "u", "size", "rank", F.coalesce("comp", "rep").alias("comp"))
+        now = member.join(names, member["rep"] == names["id"], "left").select("key", "rep", "n", "u", "sketch", "size", "rank", F.coalesce("comp", "rep").alias("comp"))
         home = now.groupBy("key").agg(F.max_by("comp", "rank").alias("home"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
         now = materialize(now.join(home.select("key", "home"), "key"), "dart-open")
         outside = now.filter("comp <> home").join(done, (now["key"] == done["key"]) & (now["rep"] == done["pivot"]), "left_anti")
         turn = F.pmod(F.xxhash64("rep"), F.lit(width))
-        pivots = outside.groupBy("key", turn.alias("turn")).agg(F.max(F.struct("rank", "rep", "n", "u", "comp")).alias("p"))
-        pivots = materialize(pivots.select("key", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.u").alias("pu"), F.col("p.comp").alias("pcomp")), "dart-pivots")
+        pivots = outside.groupBy("key", turn.alias("turn")).agg(F.max(F.struct("rank", "rep", "n", "u", "comp", "sketch")).alias("p"))
+        pivots = materialize(pivots.select("key", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.u").alias("pu"), F.col("p.comp").alias("pcomp"), F.col("p.sketch").alias("psketch")), "dart-pivots")
         pairs = now.join(pivots, "key").filter("comp <> pcomp")
     pairs = pairs.filter(
         F.least(F.col("n") - F.col("u"), F.col("pn") - F.col("pu")) + SLACK >= threshold * F.greatest(F.col("n") + F.col("pu"), F.col("pn") + F.col("u")))
+    # texts that differ by d of the weight n + pn reach it if d (1 + threshold) is at most (n + pn) (1 - threshold)
+    apart = sum((F.bit_count(F.col(f"sketch.{s}").bitwiseXOR(F.col(f"psketch.{s}"))) for s in SKETCH[1:]),
+                F.bit_count(F.col(f"sketch.{SKETCH[0]}").bitwiseXOR(F.col(f"psketch.{SKETCH[0]}"))))
+    pairs = pairs.filter(apart * (1 + threshold) <= (F.col("n") + F.col("pn")) * (1 - threshold) + 2 * SLACK)
     pairs = pairs.select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b"), F.ceil(F.col("size") / GROUP).alias("groups"))
     return pairs.groupBy("a", "b").agg(F.max("groups").alias("groups")), pivots.select("key", "pivot")
 

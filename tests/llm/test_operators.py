@@ -141,6 +141,29 @@ def test_near_duplicates_in_a_large_group(spark):
     assert {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()} == want
 
 
+def test_sketches_bound_what_two_texts_do_not_share(spark, monkeypatch):
+    r = random.Random(12)
+    base = [f"w{r.randrange(5000)}" for _ in range(150)]
+    edited = []
+    for _ in range(150):  # words left out: copies share such places, so few of their elements stand nowhere else
+        gone = set(r.sample(range(len(base)), r.choice([1, 2, 5, 6])))
+        edited.append(" ".join(w for i, w in enumerate(base) if i not in gone))
+    for weighted in (False, True):
+        doc, element, count = neardup.shingled([t.encode() for t in edited])
+        weight = count if weighted else np.ones(len(count), np.int64)
+        bits = np.unpackbits(neardup.sketches(doc, element, weight, len(edited)).view(np.uint8), axis=1)
+        held = [Counter(dict(zip(element[doc == i].tolist(), weight[doc == i].tolist()))) for i in range(len(edited))]
+        for i in range(40):
+            apart = [((held[i] - x) + (x - held[i])).total() for x in held]
+            assert all(int((bits[i] ^ b).sum()) <= d for b, d in zip(bits, apart))
+    compared, check = [], neardup._check
+    monkeypatch.setattr(neardup, "_check", lambda pairs, *more: compared.append(pairs.count()) or check(pairs, *more))
+    rows = list(enumerate([" ".join(base), *edited]))
+    out = {x.doc_id: x.class_id for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == near_classes(dict(rows)) and len(set(out.values())) > 30
+    assert sum(compared) < 3 * len(rows)
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     r = np.random.default_rng(4)
     item = r.integers(1, 2**62, 900).astype(np.uint64)
