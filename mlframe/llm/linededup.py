@@ -127,24 +127,21 @@ def _lines(pair: Column) -> Column:
 def removed_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(ld_id, ld_text, lines): the numbers of the lines to remove, per document that loses any. See `dedup_runs`.
 
-    Pairs are counted and marked by a hash of their lines alone; only for those whose hash repeats is the
-    text cut out, and pairs are equal if their bytes are.
+    Pairs travel as SHA-256 digests of their bytes, one row of about 60 bytes per pair, so no text is shuffled here.
     """
     df = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("ld_id"), F.xxhash64(text).alias("ld_text"), F.col(text).alias("text"))
-    slim = _paired(df, "text").select("ld_id", "ld_text", F.posexplode(F.transform("ld_pairs", lambda p: F.xxhash64(_lines(p)))).alias("no", "hash"))
-    often = materialize(slim.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "ld-often")
+    pairs = F.transform("ld_pairs", lambda p: F.struct(F.unhex(F.sha2(F.array_join(_lines(p), "\n"), 256)).alias("digest"), p.alias("at")))
+    slim = _paired(df, "text").select("ld_id", "ld_text", F.posexplode(pairs).alias("no", "pair"))
+    slim = materialize(slim.select("ld_id", "ld_text", "no", "pair.digest", "pair.at"), "ld-pairs")
+    place = F.struct(F.col("ld_id").isNotNull().alias("has"), F.col("ld_id"), F.col("ld_text"), F.col("no"))
+    # counted before the first places are sought: most pairs stand once
+    often = materialize(slim.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"), "ld-often")
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     salt = F.pmod(F.xxhash64("ld_id", "no"), F.lit(SALTS)).cast("int")
-    marked = slim.withColumn("salt", salt).join(often.withColumn("salt", salts), ["hash", "salt"], "left_semi")
-    marked = materialize(marked.groupBy(F.col("ld_id").alias("m_id"), F.col("ld_text").alias("m_text")).agg(F.collect_set("no").alias("nos")), "ld-marked")
-    cut = _paired(df.join(marked, F.col("ld_id").eqNullSafe(F.col("m_id")) & (F.col("ld_text") == F.col("m_text"))), "text")
-    pair = F.transform("nos", lambda k: F.struct(k.alias("no"), F.get(F.col("ld_pairs"), k).alias("at")))
-    pair = F.transform(pair, lambda p: F.struct(p["no"].alias("no"), p["at"].alias("at"), F.array_join(_lines(p["at"]), "\n").alias("chunk")))
-    hits = cut.select("ld_id", "ld_text", F.explode(pair).alias("p")).select("ld_id", "ld_text", "p.no", "p.at", "p.chunk")
-    hits = materialize(hits.withColumn("hash", F.xxhash64("chunk")), "ld-hits")
-    place = F.struct(F.col("ld_id").isNotNull().alias("has"), F.col("ld_id"), F.col("ld_text"), F.col("no"))
-    first = hits.groupBy("hash", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    gone = hits.withColumns({"place": place, "salt": salt}).join(first.withColumn("salt", salts), ["hash", "chunk", "salt"])
+    hits = slim.withColumn("salt", salt).join(often.withColumn("salt", salts).hint("merge"), ["digest", "salt"], "left_semi")
+    hits = materialize(hits, "ld-hits")
+    first = materialize(hits.groupBy("digest").agg(F.min(place).alias("first")), "ld-first")
+    gone = hits.withColumn("place", place).join(first.withColumn("salt", salts).hint("merge"), ["digest", "salt"])
     same = F.col("ld_id").eqNullSafe(F.col("first.ld_id")) & (F.col("ld_text") == F.col("first.ld_text"))
     # the pair next to the first one shares a line with it: "a a a" holds "a a" once
     gone = gone.filter((F.col("place") != F.col("first")) & ~(same & (F.col("no") == F.col("first.no") + 1)))
@@ -156,15 +153,15 @@ def dedup_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """`docs` without the repeated runs of lines in `text`, plus `n_lines` and `n_removed` (long).
 
     A line goes if it lies in a run of two or more lines that are not blank, with the blank lines between
-    them, whose bytes also stand earlier (smaller key, null first, then text hash, then place), not
-    overlapping. So every repeated run goes to its true ends, and the first occurrence of a line stays.
+    them, whose bytes (compared by SHA-256) also stand earlier (smaller key, null first, then text hash, then
+    place), not overlapping. So every repeated run goes to its true ends, and the first occurrence of a line stays.
     Any such run is made of pairs of neighbouring lines that stand earlier, so pairs are all that is looked
     up. Null, empty and equal rows are treated as in `dedup_lines`.
     """
     gone = materialize(removed_pairs(docs, key, text), "ld-gone")
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     cut = docs.toDF(*at.values()).withColumns({"id": F.col(at[key]), "text": F.col(at[text]), "hash": F.xxhash64(at[text])})
-    cut = cut.join(gone, F.col("id").eqNullSafe(F.col("ld_id")) & (F.col("hash") == F.col("ld_text")), "left")
+    cut = cut.join(gone.hint("merge"), F.col("id").eqNullSafe(F.col("ld_id")) & (F.col("hash") == F.col("ld_text")), "left")
     cut = _once(cut, "ld_lines", F.split("text", "\n", -1))
     hit = F.col("lines").isNotNull()
     left = F.array_except(F.sequence(F.lit(1), F.size("ld_lines")), F.col("lines"))

@@ -64,3 +64,15 @@ def test_chunks_of_one_hash_are_told_apart_by_their_bytes(spark, monkeypatch):
     assert sum(r[-1] for r in want) > 0
     monkeypatch.setattr(linededup, "_digest", lambda chunk: F.length(chunk).cast("long") % 2)
     assert sorted(map(tuple, linededup.dedup_lines(df).collect()), key=str) == want
+
+
+def test_pairs_move_without_their_texts(spark, monkeypatch):
+    """What is stored and shuffled per pair is a digest, whatever the length of its lines."""
+    stored, keep = {}, linededup.materialize
+    monkeypatch.setattr(linededup, "materialize", lambda df, stem: stored.setdefault(stem, keep(df, stem)))
+    long = "x" * 5000
+    rows = [(k, f"own {k}\n{long} one\n{long} two\nend {k}") for k in range(30)]
+    assert found(spark, rows) == plain(rows)
+    for df in stored.values():
+        assert not [f for f in df.schema.fields if f.dataType.simpleString() == "string"]
+        assert max(len(str(r.asDict()).encode()) for r in df.collect()) < 1000
