@@ -8,6 +8,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,6 +53,13 @@ def document_counts(df: DataFrame, text: str) -> DataFrame:
 def build_vocab(df: DataFrame, text: str, order_by) -> DataFrame:
     """(word, cnt, idx): idx 1.. by falling count, ties by first occurrence in row order."""
     order_by = as_list(order_by)
+    if len(order_by) == 1 and isinstance(df.schema[order_by[0]].dataType, T.IntegralType):
+        # key and position as one number, which is aggregated by hashing where a struct is sorted; a null key stands first
+        start = F.coalesce(F.col(order_by[0]).cast("decimal(20,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(20,0)")) * F.lit(1 << 31)
+        placed = tokens(df.select(start.cast("decimal(38,0)").alias("_start"), text), text, "_start")
+        place = (F.col("_start") + F.col("pos")).cast("decimal(38,0)")
+        seen = placed.groupBy("word").agg(F.count(F.lit(1)).alias("cnt"), F.min(place).alias("_f0"))
+        return global_index(seen, [F.col("cnt").desc(), "_f0"], "idx").select("word", "cnt", "idx")
     first = F.min(F.struct(*order_by, "pos")).alias("first")
     seen = tokens(df, text, order_by).groupBy("word").agg(F.count(F.lit(1)).alias("cnt"), first)
     flat = seen.select("word", "cnt", *[F.col("first")[c].alias(f"_f{i}") for i, c in enumerate([*order_by, "pos"])])
@@ -139,9 +147,31 @@ def token_stream(df: DataFrame, arr: str, key) -> DataFrame:
 
 
 def bag_of_words(df: DataFrame, arr: str, keep: Sequence[str], size: int, out: str = "features") -> DataFrame:
-    """Sparse word-count vectors of an id column, for the classifiers; an id is its own position, below `size`."""
-    from pyspark.ml.feature import CountVectorizerModel
+    """Sparse word-count vectors of an id column, for the classifiers; an id is its own position, below `size`.
 
-    words = df.select(*keep, F.transform(F.coalesce(arr, F.array().cast("array<int>")), lambda i: i.cast("string")).alias("_ids"))
-    counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(size)], inputCol="_ids", outputCol=out)
-    return counter.transform(words).drop("_ids")
+    Ids are counted a batch of rows at a time and the cells stored; they are read back as vectors, so nothing that
+    grows with the vocabulary passes the driver.
+    """
+    none = F.array().cast("array<bigint>")
+    ids = df.select(*keep, F.coalesce(F.col(arr).cast("array<bigint>"), none).alias("_ids"))
+    kept = [ids.schema[k] for k in keep]
+    cells = ids.mapInArrow(_count_ids(max(1, size), out), T.StructType([*kept, T.StructField(out, VectorUDT.sqlType())]))
+    return materialize(cells, "vectors", T.StructType([*kept, T.StructField(out, VectorUDT())]))
+
+
+def _count_ids(size: int, out: str):
+    """Batches of (kept..., ids) to (kept..., cells of a sparse vector): sorted ids below `size` and how often each occurs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, n = batch.column(batch.num_columns - 1), batch.num_rows
+            ids = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False)
+            rows = np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            known = (ids >= 0) & (ids < size)
+            cell, times = np.unique(rows[known] * size + ids[known], return_counts=True)
+            ends = pa.array(np.searchsorted(cell, np.arange(n + 1) * size).astype(np.int32))
+            made = pa.StructArray.from_arrays(
+                [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)),
+                 pa.ListArray.from_arrays(ends, pa.array((cell % size).astype(np.int32))),
+                 pa.ListArray.from_arrays(ends, pa.array(times.astype(np.float64)))], ["type", "size", "indices", "values"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*batch.schema.names[:-1], out])
+    return run

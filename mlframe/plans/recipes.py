@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from mlframe.functions import metrics
 from mlframe.operators import clean, encode, models, split, text
-from mlframe.session import materialize
 
 
 def calendar_regression(df: DataFrame, key: str, ts: str, target: str, test_size: float = 0.2, seed: int = 0,
@@ -40,7 +39,7 @@ def text_classification(df: DataFrame, key: str, texts: Sequence[str], label: st
     known = text.cap_vocab(vocab, num_words) if num_words else vocab
     seqs = text.texts_to_sequences(merged, "_text", [key, label], known)  # the label goes along, not back by a join
     width = text.vocab_size(known).first()[0] or 1
-    ready = materialize(text.bag_of_words(seqs, "seq", [key, label], width), "vectors")  # read by the split, the fit and the scores
+    ready = text.bag_of_words(seqs, "seq", [key, label], width)  # stored: read by the split, the fit and the scores
     train, test = split.train_test_split(ready, key, test_size, seed)
     train.persist()
     model = models.estimator("classification", "logistic", label, maxIter=20, regParam=0.01).fit(train)

@@ -9,6 +9,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _local_root: str | None = None
 _written: list[str] = []
@@ -63,15 +64,15 @@ def release_scratch(spark: SparkSession) -> int:
     return n
 
 
-def materialize(df: DataFrame, stem: str = "step") -> DataFrame:
-    """Write `df` to the shared folder and read it back.
+def materialize(df: DataFrame, stem: str = "step", schema: T.StructType | None = None) -> DataFrame:
+    """Write `df` to the shared folder and read it back, under another schema of the same cells if one is given.
 
     The copy fixes row placement and generated ids, survives the loss of an
     executor, and keeps column pruning for the readers.
     """
     path = scratch_path(df.sparkSession, stem)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -44,3 +44,27 @@ def test_word_vectors_keep_every_id(spark):
     got = {r.k: r.features for r in text.bag_of_words(df, "ids", ["k"], 10).collect()}
     assert got[1].size == 10 and dict(zip(got[1].indices.tolist(), got[1].values.tolist())) == {5: 2.0, 9: 1.0}
     assert got[2].numNonzeros() == 0
+
+
+def test_vocabulary_order_at_the_ends_of_the_keys(spark):
+    rows = [(None, "z z null"), (-(1 << 63), "low y"), ((1 << 63) - 1, "high"), (-1, "minus y"), (0, "x nought"), (5, "high x"), (7, None)]
+    df = spark.createDataFrame(rows, "k long, t string")
+    got = [(r.word, r.cnt) for r in text.build_vocab(df, "t", "k").orderBy("idx").collect()]
+    assert got == [("z", 2), ("y", 2), ("x", 2), ("high", 2), ("null", 1), ("low", 1), ("minus", 1), ("nought", 1)]
+    plan = text.build_vocab(df.repartition(2), "t", "k")
+    by_struct = text.build_vocab(df.withColumn("k2", F.lit(0)), "t", ["k", "k2"])
+    assert sorted(map(tuple, plan.collect())) == sorted(map(tuple, by_struct.collect()))
+
+
+def test_word_vectors_take_no_vocabulary_to_the_driver(spark, monkeypatch):
+    from pyspark.ml.feature import CountVectorizerModel
+
+    def none_asked(*args, **kw):
+        raise AssertionError("a list of all words was made on the driver")
+    monkeypatch.setattr(CountVectorizerModel, "from_vocabulary", none_asked)
+    df = spark.createDataFrame([(1, "a", [2, 0, None, 2, 11, -1]), (2, None, None), (3, "c", [9] * 30_000)], "k long, y string, ids array<bigint>")
+    got = {r.k: (r.y, r.features) for r in text.bag_of_words(df, "ids", ["k", "y"], 10).collect()}
+    assert {k: (y, v.size, v.indices.tolist(), v.values.tolist()) for k, (y, v) in got.items()} == {
+        1: ("a", 10, [0, 2], [1.0, 2.0]), 2: (None, 10, [], []), 3: ("c", 10, [9], [30_000.0])}
+    huge = text.bag_of_words(df, "ids", ["k"], (1 << 31) - 1)
+    assert {r.k: r.features.numNonzeros() for r in huge.collect()} == {1: 3, 2: 0, 3: 1}
