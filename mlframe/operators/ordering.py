@@ -94,46 +94,39 @@ def hash_cuts(df: DataFrame, key, seed: int, ranks: Callable[[dict], Mapping], l
 
     `ranks(sizes)` gets {0: row count} and returns {0: [rank, ...]} (1-based).
     Returns (sizes, {0: {rank: digest}}). Each pass reads the key only and
-    brings back at most 4096 prefix counts per open target, so a split needs no shuffle
-    of the table: the caller filters on the digest.
+    brings back at most 4096 prefix counts per open target, the last one `leaf` digests each or 100,000 in all, so a
+    split needs no shuffle of the table: the caller filters on the digest. Two passes find one cut of 400 million rows.
     """
-    keyed = df.select(F.lit(0).alias("_c"), F.lit("").alias("_t"), md5_key(key, seed).alias("_h"))
-
-    def tag(width: int) -> Column:
-        return F.concat_ws("|", F.substring("_h", 1, width), "_t")
-
-    width, scope, sizes, text, targets = 3, keyed, {}, {}, None
+    keyed = df.select(md5_key(key, seed).alias("_h"))
+    width, scope, sizes, targets = 3, keyed, {}, None
     while True:
-        by_label: dict = {}
-        rows = scope.groupBy("_c", "_t", F.substring("_h", 1, width).alias("_p")).count().collect()
-        for r in sorted(rows, key=lambda r: r["_p"]):
-            by_label.setdefault(r["_c"], []).append((r["_p"], r["count"]))
-            text[r["_c"]] = r["_t"]
+        rows = scope.groupBy(F.substring("_h", 1, width).alias("_p")).count().collect()
+        buckets = sorted((r["_p"], r["count"]) for r in rows)
         if targets is None:
-            sizes = {c: sum(n for _, n in buckets) for c, buckets in by_label.items()}
+            sizes = {0: sum(n for _, n in buckets)} if buckets else {}
             targets = [(c, rank, rank, "") for c, rs in ranks(sizes).items() for rank in rs]
-        biggest, narrowed = 0, []
+        wanted, narrowed = {}, []
         for c, rank, rest, prefix in targets:
-            for p, n in (b for b in by_label[c] if b[0].startswith(prefix)):
+            for p, n in (b for b in buckets if b[0].startswith(prefix)):
                 if rest <= n:
                     narrowed.append((c, rank, rest, p))
-                    biggest = max(biggest, n)
+                    wanted[p] = n
                     break
                 rest -= n
             else:
                 raise ValueError(f"rank {rank} is beyond the {sizes[c]} rows of {c!r}")
         targets = narrowed
-        scope = keyed.filter(tag(width).isin(sorted({f"{p}|{text[c]}" for c, _, _, p in targets})))
-        if biggest <= leaf or width >= 30:
+        scope = keyed.filter(F.substring("_h", 1, width).isin(sorted(wanted)))
+        if sum(wanted.values()) <= max(100_000, leaf * len(wanted)) or width >= 30:
             break
         width += 3
     cuts: dict = {c: {} for c in sizes}
     if targets:
         found: dict = {}
         for r in scope.collect():
-            found.setdefault((r["_c"], r["_h"][:width]), []).append(r["_h"])
+            found.setdefault(r["_h"][:width], []).append(r["_h"])
         for c, rank, rest, p in targets:
-            cuts[c][rank] = sorted(found[(c, p)])[rest - 1]
+            cuts[c][rank] = sorted(found[p])[rest - 1]
     return sizes, cuts
 
 

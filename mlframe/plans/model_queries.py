@@ -295,11 +295,11 @@ def bagged_models(t):
     """Three trees on samples drawn with replacement, their mean; and the one-job form."""
     train, test = _lines(t)
     train.persist()
-    bag = models.fit_bag(train, _LINE_KEY, "regression", "tree", "l_extendedprice", 3, seed=2)
-    voted = models.predict_all(bag, test).withColumn("prediction", models.mean_vote(list(bag)))
-    fast = models.fit_tree_bag(train, "regression", "l_extendedprice", 10).transform(test)
-    return recipes.regression_report(voted, "l_extendedprice").withColumn("form", F.lit("samples")).unionByName(
-        recipes.regression_report(fast, "l_extendedprice").withColumn("form", F.lit("one job")))
+    rows = train.select(*_LINE_KEY, "features", "l_extendedprice")  # what moves with the draws
+    bag = models.fit_bag(rows, _LINE_KEY, "regression", "tree", "l_extendedprice", 3, seed=2)
+    voted = models.predict_all(bag, test).withColumn("voted", models.mean_vote(list(bag)))
+    both = models.fit_tree_bag(train, "regression", "l_extendedprice", 10).transform(voted)
+    return recipes.regression_reports(both, "l_extendedprice", {"samples": "voted", "one job": "prediction"})
 
 
 # Scores of three members for four classes: the sums of a vector's cells by position modulo twelve.

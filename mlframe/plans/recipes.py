@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
@@ -22,6 +22,15 @@ def calendar_regression(df: DataFrame, key: str, ts: str, target: str, test_size
     return model, models.batch_score(model, test, [key, target])
 
 
+def regression_reports(scored: DataFrame, target: str, forms: Mapping[str, str]) -> DataFrame:
+    """The regression report of several predicted columns, named in `form`, from one pass over the rows."""
+    kinds = {"rmse": metrics.rmse, "r2": metrics.r2, "mae": metrics.mae}
+    cells = {f"{m}_{i}": f(target, c) for i, c in enumerate(forms.values()) for m, f in kinds.items()}
+    wide = metrics.score_table(scored, {"n": F.count(F.lit(1)), **cells})
+    rows = [F.struct("n", *[F.col(f"{m}_{i}").alias(m) for m in kinds], F.lit(form).alias("form")) for i, form in enumerate(forms)]
+    return wide.select(F.inline(F.array(*rows)))
+
+
 def regression_report(scored: DataFrame, target: str) -> DataFrame:
     return metrics.score_table(scored, {
         "n": F.count(F.lit(1)), "rmse": metrics.rmse(target, "prediction"), "r2": metrics.r2(target, "prediction"),

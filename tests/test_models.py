@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from mlframe.functions import metrics, rowfunc
 from mlframe.operators import encode, models, reduce, resample, split, tune
-from mlframe.plans import recipes
+from mlframe.operators.ordering import hash_cuts, md5_key
+from mlframe.plans import QUERIES, recipes
 from mlframe.sources import load_model, read_labelled_files, save_model
 
 
@@ -256,3 +257,34 @@ def test_bags_of_a_learner_without_weights(spark):
     df = models.assemble(spark.range(60).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 2).cast("int").alias("y")), ["a"])
     bag = models.fit_bag(df, "id", "classification", "mlp", "y", 2, layers=[1, 2, 2], maxIter=5)
     assert models.predict_all(bag, df).count() == 60
+
+
+def test_reports_of_several_columns_in_one_pass(spark):
+    df = spark.range(50).select(F.col("id").cast("double").alias("y"), (F.col("id") * 1.5).alias("a"), (F.col("id") % 7).cast("double").alias("b"))
+    for rows in (df, df.limit(0)):
+        got = recipes.regression_reports(rows, "y", {"first": "a", "second": "b"})
+        assert got.columns == ["n", "rmse", "r2", "mae", "form"]
+        want = [(*recipes.regression_report(rows.withColumn("prediction", F.col(c)), "y").first(), form) for c, form in (("a", "first"), ("b", "second"))]
+        assert [tuple(r) for r in got.collect()] == want
+
+
+def test_bagged_models_read_the_test_rows_once(spark):
+    report = QUERIES["bagged_models"](spark, "/root/testdata/sf0.001")
+    assert report._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    assert [r["form"] for r in report.collect()] == ["samples", "one job"]
+    spark.catalog.clearCache()
+
+
+def test_cuts_among_many_rows_of_a_prefix_take_two_passes(spark, monkeypatch):
+    df = spark.range(12_000).select((F.col("id") % 2).alias("k"))
+    digests = sorted(r[0] for r in df.select(md5_key("k", 3)).collect())
+    passes, collect = [], type(df).collect
+
+    def counted(self):
+        passes.append(1)
+        return collect(self)
+    monkeypatch.setattr(type(df), "collect", counted)
+    sizes, cuts = hash_cuts(df, "k", 3, lambda sizes: {0: [1, 6_000, 6_001, 12_000]})
+    assert sizes == {0: 12_000} and cuts == {0: {r: digests[r - 1] for r in (1, 6_000, 6_001, 12_000)}}
+    assert len(passes) == 2
+    assert hash_cuts(df.limit(0), "k", 3, lambda sizes: {}) == ({}, {})
