@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mlframe.llm import bpe, langid, linededup, mix, neardup
-from mlframe.llm.common import documents
+from mlframe.llm.common import documents, small_batches
 from mlframe.llm.queries import tokenizer_file
 from mlframe.session import materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null text or no letter) go."""
+    small_batches(spark)
     samples = langid.labelled_sample(docs, F.lit(True))
     found = langid.identify(docs, samples)
     return found.filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
@@ -26,6 +27,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays."""
+    small_batches(spark)
     return neardup.first_of_each(docs)
 
 
@@ -36,6 +38,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with a digest of the text decoded from them."""
+    small_batches(spark)
     back = bpe.encode(docs.select("doc_id", "source", "text"), tokenizer_file(), decoded=True)
     return back.select("doc_id", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 

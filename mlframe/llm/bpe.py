@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mlframe.llm.common import BINARY, LONG, STRING, Cache, map_text, unpacked
+from mlframe.llm.common import BINARY, LONG, STRING, Cache, held, map_text, unpacked
 
 NEVER = 1 << 62
 CACHED_CHARS = 64  # longer words are encoded afresh, so the cache stays small
@@ -322,10 +322,9 @@ def token_bytes(name: str) -> bytes:
     return bytes(table[c] for c in name) if all(c in table for c in name) else name.encode()
 
 
-@lru_cache(maxsize=1)
 def codec(path: str) -> Codec:
     """One per worker process."""
-    return Codec(path)
+    return held(("bpe", path), lambda: Codec(path))
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", decoded: bool = False) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Hashable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +59,47 @@ LONG, DOUBLE, BOOL, STRING, BINARY = ("long", pa.int64()), ("double", pa.float64
 
 
 MAP_ROWS = 512  # texts that a task holds at a time beside their Arrow batch
+BATCH_ROWS = 1024  # rows of an Arrow batch after `small_batches`, at most
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have this session's Arrow batches hold at most BATCH_ROWS rows; a smaller setting stays.
+
+    Whole texts run to kilobytes. At Spark's 10,000 rows a batch is some 30 MB, held several times over
+    outside the heap of the executor and in each of its workers. Results do not depend on it.
+    """
+    if not 0 < int(spark.conf.get(ARROW_ROWS)) <= BATCH_ROWS:
+        spark.conf.set(ARROW_ROWS, BATCH_ROWS)
+
+
+@cache
+def _trim() -> Callable[[int], int] | None:
+    """The C library's call that returns free memory to the system, where it has one (glibc)."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Return the free memory that Arrow and the C library keep: idle workers share the machine with later stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+_held: dict[Hashable, object] = {}
+
+
+def held(key: Hashable, build: Callable[[], object]):
+    """The large model of this worker process, made by `build`. There is one at a time: another key drops it first.
+
+    Workers are used again by later stages, which would otherwise run beside the models of all earlier ones.
+    """
+    if key not in _held:
+        _held.clear()
+        gc.collect()  # models hold caches that refer back to them
+        release()
+        _held[key] = build()
+    return _held[key]
 
 
 def map_text(docs: DataFrame, text: str, fn, fields: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
@@ -72,6 +116,7 @@ def map_text(docs: DataFrame, text: str, fn, fields: dict[str, tuple[str, pa.Dat
                 made = fn(row.field(at).to_pylist())
                 made = [pa.array(values, kind) for values, (_, kind) in zip(made, fields.values())]
                 yield pa.RecordBatch.from_arrays([row, *made], ["row", *fields])
+            release()
 
     return packed(docs).mapInArrow(run, ", ".join([f"row {row_type(docs)}", *(f"{n} {t}" for n, (t, _) in fields.items())]))
 

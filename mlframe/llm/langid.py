@@ -12,13 +12,13 @@ the automata of all languages in step, one table look-up per character.
 from __future__ import annotations
 
 from collections import Counter
-from functools import cache, lru_cache
+from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mlframe.llm.common import DOUBLE, STRING, map_text, unpacked
+from mlframe.llm.common import DOUBLE, STRING, held, map_text, unpacked
 
 SAMPLE_CHARS = 24_000  # of each language, at most
 SAMPLE_DOCS = 64  # of each language, at most
@@ -133,10 +133,9 @@ class Parser:
         return total * np.array(self.bits)[None, :] / np.maximum(size, 1)[:, None]
 
 
-@lru_cache(maxsize=1)
 def parser(samples: tuple[tuple[str, str], ...]) -> Parser:
     """One per worker process."""
-    return Parser(samples)
+    return held(("langid", samples), lambda: Parser(samples))
 
 
 def labelled_sample(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[tuple[str, str], ...]:

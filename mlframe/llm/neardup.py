@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mlframe.llm.common import hashed_words, mix64
+from mlframe.llm.common import hashed_words, mix64, release
 from mlframe.llm.components import components
 from mlframe.session import materialize
 
@@ -152,6 +152,7 @@ def _sign(weighted: bool):
                 n = np.bincount(doc, weights=weight, minlength=hi - lo).astype(np.int64)
                 yield pd.DataFrame({"id": batch["id"].to_numpy()[lo:hi], "h1": batch["h1"].to_numpy()[lo:hi], "h2": batch["h2"].to_numpy()[lo:hi],
                                     "n": n, "keys": [row if c else row[:0] for row, c in zip(keys, n)]})
+            release()
     return run
 
 
@@ -168,6 +169,7 @@ def _features(weighted: bool):
                                     "items": [np.sort(element[a:b]).tobytes() for a, b in zip(edge, edge[1:])],
                                     "counts": [count[a:b].astype(np.uint32).tobytes() if weighted else b"" for a, b in zip(edge, edge[1:])],
                                     **{name: sketch[:, i] for i, name in enumerate(SKETCH)}})
+            release()
     return run
 
 
@@ -188,6 +190,7 @@ def _similar(weighted: bool, threshold: float):
                     both, size = int((a[np.minimum(pos, len(a) - 1)] == b).sum()), len(a) + len(b)
                 linked.append(both + SLACK >= threshold * (size - both))
             yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "linked": linked})
+            release()
     return run
 
 
