@@ -22,6 +22,7 @@ from mlframe.functions import metrics
 from mlframe.operators.boosting import SoftmaxBoosting
 from mlframe.operators.profile import class_weights
 from mlframe.operators.resample import bag_counts
+from mlframe.operators.wide import WideLogistic
 from mlframe.session import materialize
 
 REGRESSORS: dict[str, Callable] = {
@@ -41,6 +42,7 @@ CLASSIFIERS: dict[str, Callable] = {
 }
 TWO_CLASSES_ONLY = ("svm",)
 SEEDED = ("tree", "forest", "gbt", "mlp")
+WIDE = 1 << 18  # features up to which the driver holds the coefficients of a logistic fit and their history, some 60 MB
 
 
 def assembler(cols: Sequence[str], out: str = "features") -> VectorAssembler:
@@ -52,9 +54,14 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
 
 
 def estimator(kind: str, name: str, label: str, features: str = "features", prediction: str = "prediction",
-              classes: int = 2, seed: int = 0, weight: str | None = None, **params):
-    """A named MLlib estimator; beyond two classes boosting takes its softmax form, other two-class learners one-versus-rest."""
+              classes: int = 2, seed: int = 0, weight: str | None = None, width: int = 0, **params):
+    """A named MLlib estimator; beyond two classes boosting takes its softmax form, other two-class learners one-versus-rest.
+
+    A logistic fit of two classes that is told to expect more than WIDE features (`width`) keeps its coefficients in a table.
+    """
     table = REGRESSORS if kind == "regression" else CLASSIFIERS
+    if kind == "classification" and name == "logistic" and width > WIDE and classes == 2:
+        table = {"logistic": WideLogistic}
     if kind == "classification" and name == "gbt" and classes > 2:
         table = {"gbt": SoftmaxBoosting}
     common = {"labelCol": label, "featuresCol": features, "predictionCol": prediction}

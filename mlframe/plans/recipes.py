@@ -50,8 +50,9 @@ def text_classification(df: DataFrame, key: str, texts: Sequence[str], label: st
     width = text.vocab_size(known).first()[0] or 1
     ready = text.bag_of_words(seqs, "seq", [key, label], width)  # stored: read by the split, the fit and the scores
     train, test = split.train_test_split(ready, key, test_size, seed)
-    train.persist()
-    model = models.estimator("classification", "logistic", label, maxIter=20, regParam=0.01).fit(train)
+    if width <= models.WIDE:  # beyond, the fit stores the rows its own way
+        train.persist()
+    model = models.estimator("classification", "logistic", label, width=width, maxIter=20, regParam=0.01).fit(train)
     train.unpersist()
     from pyspark.ml.functions import vector_to_array
     scored = model.transform(test).withColumn("score", vector_to_array("prediction_prob")[1])
