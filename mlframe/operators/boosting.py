@@ -144,22 +144,20 @@ def _trees(est: SoftmaxBoosting, df: DataFrame, many: int, i: int) -> list:
 
     out = in_threads([lambda c=c: one(c) for c in range(many)], 8)
     df.unpersist()
-    return [(c, _Leaves(m, f"leaf{c}")) for c, m in out]
+    return [(c, _Leaves(m)) for c, m in out]
 
 
 class _Leaves:
-    """A fitted tree that adds the number of a row's leaf."""
+    """A fitted tree that adds the number of a row's leaf, and nothing else: a step of the plan for each tree."""
 
-    def __init__(self, model, out: str):
-        self.model, self.out = model, out
+    def __init__(self, model):
+        self.model = model.copy({model.predictionCol: ""})
 
     def numLeaves(self) -> int:
         return (self.model.numNodes + 1) // 2
 
     def transform(self, df: DataFrame, features: str = "x") -> DataFrame:
-        model = self.model.copy({self.model.featuresCol: features})
-        kept = df.columns
-        return model.transform(df).select(*[F.col(f"`{c}`") for c in kept], F.col(self.model.getLeafCol()).alias(self.out))
+        return (self.model if features == "x" else self.model.copy({self.model.featuresCol: features})).transform(df)
 
 
 def _added(df: DataFrame, scores: str, values: list[list[float]]) -> DataFrame:
@@ -183,16 +181,23 @@ class SoftmaxBoostingModel(Model, _Shared):
     def numClasses(self) -> int:
         return len(self.start)
 
-    def _transform(self, df: DataFrame) -> DataFrame:
+    def _scored(self, df: DataFrame, features: str) -> DataFrame:
         kept = [F.col(f"`{c}`") for c in df.columns]
-        out, features = df.withColumn("_scores", F.array(*map(F.lit, self.start))), self.getFeaturesCol()
-        if self.cuts is not None:
-            out, features = out.withColumn("_bins", array_to_vector(_binned(features, self.cuts))), "_bins"
-        used = [] if self.cuts is None else ["_bins"]
+        out = df.withColumn("_scores", F.array(*map(F.lit, self.start)))
         for trees in self.rounds:
-            for c, (tree, _) in enumerate(trees):
-                out = tree.transform(out, features).withColumnRenamed(tree.out, f"leaf{c}")
-            out = _added(out, "_scores", [v for _, v in trees]).select(*kept, *used, "_scores")
+            for tree, _ in trees:
+                out = tree.transform(out, features)
+            out = _added(out, "_scores", [v for _, v in trees]).select(*kept, "_scores")
+        return out
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        kept = [F.col(f"`{c}`") for c in df.columns]
+        if self.cuts is None:
+            out = self._scored(df, self.getFeaturesCol())
+        else:  # a combination of bins goes through the trees once, however many rows have it
+            binned = df.withColumn("_bins", _binned(self.getFeaturesCol(), self.cuts))
+            each = self._scored(binned.select("_bins").distinct().withColumn("_x", array_to_vector("_bins")), "_x")
+            out = binned.join(each.select("_bins", "_scores"), "_bins", "left")
         p = _softmax(F.col("_scores"))
         best = (F.array_position(F.col("_scores"), F.array_max("_scores")) - 1).cast("double")
         return out.select(*kept, array_to_vector("_scores").alias(self.getRawPredictionCol()), array_to_vector(p).alias(self.getProbabilityCol()),

@@ -357,7 +357,7 @@ def voted_boosting(t):
     """Soft and hard vote of two boosted members and a linear one over ten classes."""
     train, test = _price_classes(t)
     train.persist()
-    made = {"shallow": ("gbt", {"maxIter": 1, "maxDepth": 3, "stepSize": 1.0}), "deep": ("gbt", {"maxIter": 1, "maxDepth": 5, "stepSize": 1.0}), "linear": ("logistic", {"maxIter": 10})}
+    made = {"shallow": ("gbt", {"maxDepth": 3}), "deep": ("gbt", {"maxDepth": 5}), "linear": ("logistic", {})}  # all rounds of a learner
     members = {n: models.estimator("classification", kind, "label", prediction=n, classes=10, **p).fit(train) for n, (kind, p) in made.items()}
     train.unpersist()
     done = models.predict_all(members, test, keep_probability=True)

@@ -100,3 +100,32 @@ def test_score_floors_of_the_queries(spark, name, least):
     assert all(row[c] >= v for c, v in least.items())
     if name == "multiclass_boosting":
         assert row["whole"]
+
+
+def test_members_of_the_voted_query_take_all_their_rounds(spark, monkeypatch):
+    taken, fit = [], SoftmaxBoosting._fit
+
+    def short(self, df):
+        taken.append((self.getMaxIter(), self.getStepSize(), self.getOrDefault("maxDepth")))
+        return fit(self.copy({self.maxIter: 1}), df)
+    monkeypatch.setattr(SoftmaxBoosting, "_fit", short)
+    members, estimator = {}, models.estimator
+
+    def noted(kind, name, label, **params):
+        members[params["prediction"]] = estimator(kind, name, label, **params)
+        return members[params["prediction"]]
+    monkeypatch.setattr(models, "estimator", noted)
+    QUERIES["voted_boosting"](spark, "/root/testdata/sf0.001")
+    assert taken == [(20, 0.3, 3), (20, 0.3, 5)] and members["linear"].getMaxIter() == 100
+
+
+def test_rows_of_equal_bins_are_scored_once(spark):
+    rows = [(i, Vectors.dense(float(i % 6), float(i % 4)), (i % 6 + i % 4) % 3) for i in range(1200)]
+    df = spark.createDataFrame(rows, ["id", "features", "label"])
+    model = SoftmaxBoosting(maxIter=1, maxDepth=2).fit(df)
+    seen, scored = [], model._scored
+    model._scored = lambda part, features: seen.append(part.count()) or scored(part, features)
+    out = model.transform(df.union(df.filter("id < 3")))
+    assert out.columns == ["id", "features", "label", "rawPrediction", "probability", "prediction"]
+    got = sorted((r["id"], r["features"]) for r in out.collect())
+    assert got == sorted((i, x) for i, x, _ in rows + rows[:3]) and seen == [12]
